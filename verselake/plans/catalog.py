@@ -1,11 +1,778 @@
-"""Every query of the engine, by name, with its SQL twin where there is one."""
+"""Every query of the engine, by name, with its SQL twin where there is one.
+
+The driver's tables hold no audio, so customers stand for speakers, orders for clips, events for frames and notes,
+conversations for recognised texts, documents for transcripts and embeddings for voice vectors.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from verselake.functions import text as T
+from verselake.operators import align, corpus, metrics, music, registry, search, speakers, splits, summary
+from verselake.session import ship_package, table
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return f(lambda name: table(spark, sf_dir, name))
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def transcripts(t) -> DataFrame:
+    return t("documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("body"), F.col("doc_id").cast("double").alias("mtime"))
+
+
+PHRASE, SHORT = "with that", "zu"
+_SNIPPET = """CASE WHEN strpos(body, '{q}') > 0 THEN
+  (CASE WHEN greatest(strpos(body, '{q}') - 12, 1) > 1 THEN '…' ELSE '' END)
+  || substr(body, greatest(strpos(body, '{q}') - 12, 1), strpos(body, '{q}') - greatest(strpos(body, '{q}') - 12, 1)) || '[{q}]'
+  || substr(body, strpos(body, '{q}') + {n}, least(strpos(body, '{q}') + {n} - 1 + 12, length(body)) - strpos(body, '{q}') - {n} + 1)
+  || (CASE WHEN strpos(body, '{q}') + {n} - 1 + 12 < length(body) THEN '…' ELSE '' END)
+  ELSE substr(body, 1, 48) END"""
+
+
+def _snippet(q: str) -> str:
+    return _SNIPPET.format(q=q, n=len(q))
+
+
+@query(f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS body, lower(coalesce(source, '')) AS lt, lower(coalesce(text, '')) AS lb FROM documents),
+c AS (
+  SELECT *, (length(lb) - length(replace(lb, '{PHRASE}', ''))) // {len(PHRASE)} + (length(lt) - length(replace(lt, '{PHRASE}', ''))) // {len(PHRASE)} AS f,
+    greatest(length(lt) - 2, 0) + greatest(length(lb) - 2, 0) AS dl FROM d),
+g AS (SELECT count(*) AS n, count(*) FILTER (WHERE f > 0) AS k, avg(dl) AS a FROM c)
+SELECT doc_id, round(-greatest(ln((n - k + 0.5) / (k + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a)), 9) AS score,
+  {_snippet(PHRASE)} AS snippet
+FROM c, g WHERE f > 0 ORDER BY -greatest(ln((n - k + 0.5) / (k + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a)), doc_id LIMIT 20""")
+def search_match_bm25(t):
+    return search.search(transcripts(t), PHRASE, 20).select("doc_id", F.round("score", 9).alias("score"), "snippet")
+
+
+@query(f"""
+SELECT doc_id, {_snippet(SHORT)} AS snippet FROM (SELECT doc_id, source AS title, coalesce(text, '') AS body FROM documents)
+WHERE contains(lower(body), '{SHORT}') OR contains(lower(title), '{SHORT}') ORDER BY doc_id DESC LIMIT 25""")
+def search_like_short(t):
+    return search.search(transcripts(t), SHORT, 25).select("doc_id", "snippet")
+
+
+@query("SELECT doc_id, substr(text, 1, 80) AS snippet FROM documents ORDER BY doc_id DESC LIMIT 50")
+def search_browse_recent(t):
+    return search.search(transcripts(t), "", 0).select("doc_id", "snippet")
+
+
+@query(f"SELECT doc_id, {_snippet(PHRASE)} AS snippet FROM (SELECT doc_id, text AS body FROM documents)")
+def search_snippet(t):
+    return transcripts(t).select("doc_id", T.snippet("body", PHRASE).alias("snippet"))
+
+
+@query("SELECT doc_id, title, n_chars FROM (SELECT doc_id, source AS title, n_chars FROM documents) WHERE doc_id = 7")
+def transcript_by_id(t):
+    docs = transcripts(t).join(t("documents").select("doc_id", "n_chars"), "doc_id")
+    return search.get(docs, 7).select("doc_id", "title", "n_chars")
+
+
+@query("""
+WITH i AS (SELECT doc_id, n_chars + (CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) AS mtime FROM documents WHERE doc_id % 7 <> 0),
+f AS (SELECT doc_id, n_chars AS mtime, doc_id % 11 <> 0 AS ok FROM documents WHERE doc_id % 3 <> 0)
+SELECT coalesce(i.doc_id, f.doc_id) AS doc_id,
+  CASE WHEN f.doc_id IS NULL THEN 'delete' WHEN NOT ok THEN (CASE WHEN i.doc_id IS NOT NULL THEN 'keep' ELSE 'skip' END)
+    WHEN i.doc_id IS NULL THEN 'insert' WHEN i.mtime <> f.mtime THEN 'replace' ELSE 'keep' END AS action
+FROM i FULL JOIN f ON i.doc_id = f.doc_id""")
+def index_reconcile(t):
+    docs = t("documents")
+    index = docs.filter("doc_id % 7 <> 0").select("doc_id", (F.col("n_chars") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("mtime"))
+    files = docs.filter("doc_id % 3 <> 0").select("doc_id", F.col("n_chars").alias("mtime"), (F.col("doc_id") % 11 != 0).alias("readable"))
+    return search.reconcile(index, files)
+
+
+@query("""
+SELECT doc_id, substr(coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], ''), 1, 80) AS title
+FROM documents""")
+def doc_title_first_line(t):
+    return t("documents").select("doc_id", T.first_line("text").alias("title"))
+
+
+_SENTENCES = f"""
+list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{T.SENTENCE}'.replace('\\n', chr(10))), lambda s: trim(s)), lambda s: s <> '')"""
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents))")
+def sentence_split(t):
+    return summary.sentence_rows(t("documents"))
+
+
+_IGNORED = T.SUMMARY_IGNORED.replace("'", "''")
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, i, s[i] AS sentence, len(s) AS total FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents))),
+ch AS (SELECT doc_id, i, unnest(string_split(translate(sentence, '{_IGNORED}', ''), '')) AS ch FROM s),
+w AS (SELECT doc_id, i, ch, count(*) AS n FROM ch WHERE ch <> '' GROUP BY ALL),
+f AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, ch) AS f FROM w),
+r AS (SELECT doc_id, i, round(sum(n * f)::DOUBLE / sum(n), 9) AS score FROM f GROUP BY ALL),
+k AS (
+  SELECT s.*, score, row_number() OVER (PARTITION BY s.doc_id ORDER BY score DESC NULLS LAST, s.i) AS rk, count(score) OVER (PARTITION BY s.doc_id) AS known
+  FROM s LEFT JOIN r ON s.doc_id = r.doc_id AND s.i = r.i)
+SELECT doc_id, string_agg(sentence, '' ORDER BY i) AS summary FROM k
+WHERE total <= 5 OR (rk <= 5 AND (score IS NOT NULL OR known = 0)) GROUP BY doc_id""")
+def extractive_summary(t):
+    return summary.summarize(t("documents"), 5)
+
+
+@query("SELECT doc_id, replace(replace(replace(text, 'there', 'THERE'), 'the', 'ze'), 'on', 'om') AS text FROM documents")
+def glossary_replace(t):
+    return t("documents").select("doc_id", T.replace_longest_first("text", [("on", "om"), ("there", "THERE"), ("the", "ze")]).alias("text"))
+
+
+def _recognised(t) -> DataFrame:
+    """Conversation turns as recognised texts with invented measures; some turns become credit lines or outros."""
+    key = F.col("conv_id") * 100 + F.col("turn")
+    text = F.when(key % 17 == 0, F.lit("字幕由 Some 社群提供")).when(key % 13 == 0, F.lit("歡迎訂閱，按讚分享！")).when(key % 11 == 0, F.lit("  ")).otherwise(F.col("text"))
+    prob = F.when(key % 5 != 0, (key % 10) / 10.0)
+    return t("conversations").select("conv_id", "turn", "role", text.alias("hyp"), prob.alias("no_speech_prob"), ((key % 8) / 500.0).alias("rms"))
+
+
+_RECOGNISED = """
+k AS (SELECT *, conv_id * 100 + turn AS key FROM conversations),
+h AS (
+  SELECT conv_id, turn, role, CASE WHEN key % 17 = 0 THEN '字幕由 Some 社群提供' WHEN key % 13 = 0 THEN '歡迎訂閱，按讚分享！' WHEN key % 11 = 0 THEN '  ' ELSE text END AS hyp,
+    CASE WHEN key % 5 <> 0 THEN (key % 10) / 10.0::DOUBLE END AS p, (key % 8) / 500.0::DOUBLE AS rms FROM k),
+n AS (SELECT *, lower(translate(translate(coalesce(trim(hyp), ''), '讚赞', '贊贊'), ' ，,。.!?！？、；;：:"“”‘’（）()[]【】<>《》·-_/' || chr(39) || chr(9) || chr(13) || chr(10), '')) AS z FROM h),
+g AS (
+  SELECT *, regexp_matches(z, '字幕.{0,20}社群提供|社群提供.{0,8}字幕|請不吝.{0,24}打賞|明鏡與點點') AS credit,
+    contains(z, '歡迎訂閱按贊分享') AS outro, coalesce(p >= 0.6, false) AS silent, rms <= 0.008 AS quiet FROM n)"""
+
+
+@query(f"WITH {_RECOGNISED} SELECT conv_id, turn, credit OR (silent AND quiet) OR (outro AND (silent OR quiet)) AS dropped FROM g")
+def hallucination_gate(t):
+    return _recognised(t).select("conv_id", "turn", T.should_drop(F.trim(F.coalesce("hyp", F.lit(""))), "no_speech_prob", "rms", 0.6, 0.008).alias("dropped"))
+
+
+@query(f"""
+WITH {_RECOGNISED}
+SELECT role, count(*) AS n, round(avg((trim(hyp) <> '')::INT), 5) AS nonempty_rate, round(avg((trim(hyp) <> '' AND credit)::INT), 5) AS credit_rate,
+  round(avg((trim(hyp) <> '' AND NOT (credit OR (silent AND quiet) OR (outro AND (silent OR quiet))))::INT), 5) AS post_gate_leak_rate FROM g GROUP BY role""")
+def hallucination_stats(t):
+    return metrics.hallucination_stats(_recognised(t), ["role"], 0.6, 0.008)
+
+
+_PUNCT = T.SCORE_PUNCTUATION.replace("'", "''")
+
+
+@query(f"SELECT item_id, translate(lower(text), '{_PUNCT}', '') AS text FROM benchmark")
+def score_normalize_ascii(t):
+    return t("benchmark").select("item_id", T.score_normalize("text", ascii_only=True).alias("text"))
+
+
+@query()
+def score_normalize_unicode(t):
+    return t("documents").select("doc_id", T.score_normalize("text").alias("text"))
+
+
+@query()
+def training_normalize(t):
+    lang = F.when(F.col("doc_id") % 2 == 0, "nan").otherwise(F.col("lang"))
+    return t("documents").select("doc_id", T.training_normalize("text", lang, [("the", "ze")], lower_en=True).alias("text"))
+
+
+@query(r"SELECT doc_id, coalesce(nullif(trim(regexp_replace(text || ' (abc)', '[（(][^（()）]*[a-zA-Z][^（()）]*[)）]', '', 'g')), ''), trim(text)) AS text FROM documents")
+def gloss_strip(t):
+    return t("documents").select("doc_id", T.strip_gloss(F.concat("text", F.lit(" (abc)"))).alias("text"))
+
+
+def _pairs(t) -> DataFrame:
+    """Each turn's text against the next turn's, cut to 60 characters, ASCII only."""
+    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    cut = lambda c: F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", ""), 1, 60)
+    return t("conversations").withColumn("n", nxt).filter("n is not null").select("conv_id", "role", cut(F.col("text")).alias("ref"), cut(F.col("n")).alias("hyp"))
+
+
+_PAIRS = """
+p AS (
+  SELECT conv_id, role, substr(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), 1, 60) AS ref, substr(regexp_replace(n, '[^ -~]', '', 'g'), 1, 60) AS hyp
+  FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n IS NOT NULL)"""
+
+
+@query(f"WITH {_PAIRS} SELECT role, round(sum(levenshtein(ref, hyp))::DOUBLE / sum(length(ref)), 6) AS cer, round(avg((ref <> hyp)::INT), 6) AS wer_compat FROM p GROUP BY role")
+def cer_micro(t):
+    return _pairs(t).groupBy("role").agg(F.round(metrics.cer(), 6).alias("cer"), F.round(metrics.wer_compat(), 6).alias("wer_compat"))
+
+
+@query()
+def mer_micro(t):
+    return metrics.error_rates(_pairs(t), ["role"])
+
+
+@query("""
+WITH m AS (SELECT l_returnflag AS source, avg(l_discount) AS v FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1),
+b AS (SELECT l_returnflag AS source, avg(l_discount) AS b FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
+SELECT source, round(v, 9) AS v, round(b, 9) AS baseline, round((b - v) / b, 9) AS gain FROM m JOIN b USING (source)""")
+def metric_vs_baseline(t):
+    of = lambda s: t("lineitem").filter(F.col("l_linestatus") == s).groupBy(F.col("l_returnflag").alias("source")).agg(F.avg("l_discount").alias("v"))
+    return metrics.against_baseline(of("O"), of("F"), "source", "v").select("source", *(F.round(c, 9).alias(c) for c in ("v", "baseline", "gain")))
+
+
+@query("SELECT l_linestatus AS source, round(sum(l_tax) / sum(l_quantity), 4) AS rtf FROM lineitem GROUP BY 1")
+def real_time_factor(t):
+    return t("lineitem").groupBy(F.col("l_linestatus").alias("source")).agg(metrics.rtf("l_tax", "l_quantity").alias("rtf"))
+
+
+@query()
+def alignment_error(t):
+    w = lambda shift: F.collect_list(F.struct(F.col("event_type").alias("word"), (F.col("value") + shift).alias("start"), (F.col("value") + shift + 1).alias("end")))
+    words = t("events").groupBy("user_id").agg(F.array_sort(w(0.05)).alias("pred"), F.array_sort(w(0.0)).alias("gold"))
+    return words.select("user_id", metrics.alignment_error_ms(F.col("pred"), F.col("gold")).alias("error_ms"))
+
+
+def _split(t) -> DataFrame:
+    orders = t("orders").select(F.col("o_orderkey").alias("stem"), F.col("o_orderpriority").alias("source"))
+    speaker = t("orders").select(F.col("o_orderkey").alias("stem"), F.col("o_custkey").alias("speaker")).filter("stem % 97 <> 0")
+    return splits.speaker_split(orders, orders.filter("stem % 10 = 3").select("stem"), speaker.withColumn("speaker", F.col("speaker").cast("string")))
+
+
+_SPLIT = """
+c AS (SELECT o_orderkey AS stem, o_orderpriority AS source FROM orders),
+s AS (SELECT o_orderkey AS stem, CAST(o_custkey AS VARCHAR) AS speaker FROM orders WHERE o_orderkey % 97 <> 0),
+ts AS (SELECT DISTINCT speaker FROM s WHERE stem % 10 = 3),
+dev AS (
+  SELECT speaker FROM (SELECT speaker, row_number() OVER (ORDER BY count(*) DESC, speaker) AS r FROM s
+    WHERE speaker NOT IN (SELECT speaker FROM ts) GROUP BY speaker) WHERE r BETWEEN 10 AND 12),
+x AS (
+  SELECT c.stem, source, coalesce(speaker, '') AS speaker,
+    CASE WHEN c.stem % 10 = 3 THEN 'test' WHEN speaker IN (SELECT speaker FROM ts) THEN NULL WHEN speaker IN (SELECT speaker FROM dev) THEN 'dev' ELSE 'train' END AS split
+  FROM c LEFT JOIN s ON c.stem = s.stem)"""
+
+
+@query(f"WITH {_SPLIT} SELECT stem, source, speaker, split, CASE WHEN split IS NULL THEN 'speaker_leak' END AS drop_reason FROM x")
+def split_speaker_disjoint(t):
+    return _split(t).select("stem", "source", "speaker", "split", "drop_reason")
+
+
+@query(f"""
+WITH {_SPLIT} SELECT source, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'dev') AS dev,
+  count(*) FILTER (WHERE split = 'test') AS test FROM x GROUP BY source""")
+def split_report_pivot(t):
+    return splits.report(_split(t), "source")
+
+
+@query(f"WITH {_SPLIT} SELECT 'speaker_leak' AS drop_reason, count(*) AS n FROM x WHERE split IS NULL HAVING count(*) > 0")
+def split_drop_reasons(t):
+    return splits.drop_reasons(_split(t))
+
+
+@query(f"WITH {_SPLIT} SELECT split, count(DISTINCT speaker) FILTER (WHERE speaker <> '') AS speakers FROM x WHERE split IS NOT NULL GROUP BY split")
+def split_speakers_distinct(t):
+    return splits.speakers_by_split(_split(t))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN r <= 30 THEN 'test' WHEN r <= 40 THEN 'dev' ELSE 'train' END AS split FROM (
+  SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS r FROM part)""")
+def split_by_rank(t):
+    return splits.by_rank(t("part").select("p_partkey"), "p_partkey")
+
+
+@query("""
+SELECT s_suppkey, s_nationkey, CASE WHEN r <= 2 THEN 'test' WHEN r <= 4 THEN 'dev' ELSE 'train' END AS split FROM (
+  SELECT s_suppkey, s_nationkey, dense_rank() OVER (ORDER BY s_nationkey DESC) AS r FROM supplier)""")
+def split_last_songs(t):
+    return splits.last_songs(t("supplier").select("s_suppkey", "s_nationkey"), "s_nationkey")
+
+
+@query("""
+WITH r AS (SELECT 'neg_' || p_partkey AS stem, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS text FROM part WHERE p_partkey % 2 = 0
+  UNION ALL SELECT 'cv_' || p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END FROM part WHERE p_partkey % 2 = 1)
+SELECT stem, trim(text) = '' AND starts_with(stem, 'neg_') AS negative, CASE WHEN trim(text) = '' AND NOT starts_with(stem, 'neg_') THEN 'empty_text' END AS drop_reason,
+  CASE WHEN starts_with(stem, 'neg_') THEN 'negatives' ELSE 'nan' END AS source FROM r""")
+def manifest_negatives(t):
+    stem = F.concat(F.when(F.col("p_partkey") % 2 == 0, "neg_").otherwise("cv_"), F.col("p_partkey").cast("string"))
+    rows = t("part").select(stem.alias("stem"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name")).alias("text"))
+    return splits.keep_text_rows(rows).select("stem", "negative", "drop_reason", splits.route_source("stem").alias("source"))
+
+
+@query("""
+WITH m AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders WHERE o_orderstatus = 'P'),
+g AS (SELECT greatest(max(m.n), (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') // 10) AS target FROM m)
+SELECT o_orderkey, CAST(c AS INTEGER) AS copy FROM (SELECT o_orderkey, unnest(range(0, CAST((target - i - 1) // n + 1 AS BIGINT))) AS c FROM m, g)
+UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderstatus <> 'P'""")
+def oversample_ratio(t):
+    rows = t("orders").select("o_orderkey", (F.col("o_orderstatus") == "P").alias("small"))
+    return splits.oversample(rows, "small", "o_orderkey", 10.0).select("o_orderkey", "copy")
+
+
+@query()
+def sample_fraction(t):
+    return splits.hash_sample(t("orders").select("o_orderkey"), "o_orderkey", 0.15)
+
+
+def _clips(t) -> DataFrame:
+    return t("orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") % 20).alias("dur"))
+
+
+@query()
+def pack_windows(t):
+    packed = corpus.pack_windows(_clips(t), "o_custkey", ["o_orderkey"])
+    return packed.select("o_custkey", "o_orderkey", "bin", F.round("bin_dur", 6).alias("bin_dur"))
+
+
+@query()
+def pack_statistics(t):
+    packed = corpus.pack_windows(_clips(t), "o_custkey", ["o_orderkey"])
+    return corpus.pack_stats(corpus.packed_rows(packed, "o_custkey", ["o_orderkey"], "o_orderkey"))
+
+
+_EPOCH = "epoch_us(ts) / 1e6::DOUBLE"
+
+
+def _seconds() -> F.Column:
+    """Seconds since 1970 of a time without zone."""
+    return F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+
+
+def _lines(t) -> DataFrame:
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    text = F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type"))
+    base = t("events").withColumn("s", _seconds() - 1704067200)
+    return base.select(F.col("user_id").alias("song_id"), pos.alias("pos"), F.col("s").alias("start"), text.alias("text"), F.lit(2_000_000.0).alias("duration"))
+
+
+_LINES = f"""
+e AS (
+  SELECT user_id AS song_id, CAST(row_number() OVER w - 1 AS INTEGER) AS pos, {_EPOCH} - 1704067200 AS start, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS text
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+l AS (
+  SELECT song_id, pos, start, least(coalesce(lead(start) OVER (PARTITION BY song_id ORDER BY pos), 2000000.0), start + 25, 2000000.0) AS "end", text FROM e),
+k AS (SELECT song_id, pos, start, "end", text FROM l WHERE text <> '' AND start < 2000000.0 AND "end" > start)"""
+
+
+@query(f'WITH {_LINES} SELECT song_id, pos, round(start, 6) AS start, round("end", 6) AS "end", text FROM k')
+def line_ends_lead(t):
+    return corpus.line_ends(_lines(t)).select("song_id", "pos", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text")
+
+
+def _gaps(t) -> DataFrame:
+    lines = corpus.line_ends(_lines(t)).select("song_id", "start", "end")
+    songs = t("events").select(F.col("user_id").alias("song_id")).distinct().withColumn("duration", F.lit(2_000_000.0))
+    return corpus.gaps(lines, songs, 600.0, 7200.0, 1.0)
+
+
+_GAPS = f"""{_LINES},
+b AS (
+  SELECT song_id, "end" AS lo, coalesce(lead(start) OVER (PARTITION BY song_id ORDER BY start, "end"), 2000000.0) AS hi FROM k
+  UNION ALL SELECT s.song_id, 0.0, coalesce(min(k.start), 2000000.0) FROM (SELECT DISTINCT user_id AS song_id FROM events) s LEFT JOIN k ON s.song_id = k.song_id GROUP BY 1),
+q AS (SELECT song_id, lo + 1.0 AS lo, least(hi, 2000000.0) - 1.0 AS hi FROM b),
+z AS (SELECT *, CAST(greatest(1, ceil((hi - lo) / 7200.0)) AS INTEGER) AS n FROM q WHERE hi - lo >= 600.0),
+y AS (SELECT song_id, lo, (hi - lo) / n AS step, unnest(range(0, n)) AS i FROM z WHERE (hi - lo) / n >= 600.0),
+gp AS (SELECT song_id, lo + i * step AS start, lo + (i + 1) * step AS "end" FROM y)"""
+
+
+@query(f'WITH {_GAPS} SELECT song_id, round(start, 4) AS start, round("end", 4) AS "end" FROM gp')
+def gap_chunks(t):
+    return _gaps(t).select("song_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
+
+
+@query(f"""
+WITH {_GAPS}, n AS (SELECT song_id, count(*) AS c FROM k GROUP BY 1),
+r AS (SELECT gp.*, c, row_number() OVER (PARTITION BY gp.song_id ORDER BY round("end" - start, 4) DESC, round(start, 4)) AS rank FROM gp JOIN n ON gp.song_id = n.song_id)
+SELECT song_id, round(start, 4) AS start, round("end", 4) AS "end", CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= ceil(c * 0.1)""")
+def negative_budget(t):
+    counts = corpus.line_ends(_lines(t)).groupBy("song_id").agg(F.count("*").alias("n_chunks"))
+    rounded = _gaps(t).select("song_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), F.round(F.col("end") - F.col("start"), 4).alias("len"))
+    place = F.row_number().over(Window.partitionBy("song_id").orderBy(F.desc("len"), "start"))
+    return rounded.join(counts, "song_id").withColumn("rank", place).filter(F.col("rank") <= F.ceil(F.col("n_chunks") * 0.1)).select("song_id", "start", "end", "rank")
+
+
+@query()
+def merge_short_lines(t):
+    return corpus.merge_lines(corpus.line_ends(_lines(t)), min_dur=60.0, max_dur=600.0, max_gap=300.0)
+
+
+@query()
+def lrc_parse(t):
+    stamp = F.format_string("[%02d:%02d.50]", F.col("turn") % 60, F.col("conv_id") % 60)
+    lines = t("conversations").groupBy(F.col("conv_id").alias("song_id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(stamp, F.lit("[09:01.25]"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("x")))).alias("l"))
+    return corpus.parse_lrc(lines.select("song_id", F.array_join(F.transform("l", lambda x: x["x"]), "\n").alias("text")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice % 40 BETWEEN 0.8 AND 25 AND (o_orderkey % 1000) / 1000000.0::DOUBLE >= 0.0005 AND trim(o_orderpriority) <> ''")
+def quality_gate(t):
+    return t("orders").filter(corpus.passes_quality(F.col("o_totalprice") % 40, F.col("o_orderpriority"), (F.col("o_orderkey") % 1000) / F.lit(1e6))).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
+def resume_anti_join(t):
+    done = t("customer").filter("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"))
+    return corpus.not_yet_done(t("orders"), done, "o_custkey").select("o_orderkey")
+
+
+@query("SELECT n_nationkey, min(c_custkey) AS c_custkey FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
+def join_by_priority(t):
+    right = t("customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey")
+    return corpus.join_by_priority(t("nation"), right, "n_nationkey", "c_custkey").select("n_nationkey", "c_custkey")
+
+
+@query("""
+WITH s AS (SELECT user_id, min(ts) AS a, max(ts) AS z FROM events GROUP BY 1),
+w AS (SELECT user_id, unnest(generate_series(a, z - INTERVAL 2 DAY, INTERVAL '36 hours')) AS start, z FROM s)
+SELECT w.user_id, w.start, count(*) AS n, round(sum(value), 6) AS total FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.start AND e.ts < w.start + INTERVAL 2 DAY
+GROUP BY 1, 2""")
+def sliding_windows_full(t):
+    """Full windows of two days that start every day and a half from a stream's first row; an event reaches at most two."""
+    hours = lambda n: F.expr(f"interval {n} hours")
+    ends = t("events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    rows = t("events").join(ends, "user_id")
+    since = F.timestamp_diff("MICROSECOND", F.col("a"), F.col("ts")) / 3.6e9
+    last = F.floor(since / 36)
+    starts = F.explode(F.filter(F.array(last - 1, last), lambda k: (k >= 0) & (k * 36 <= since) & (since < k * 36 + 48)))
+    placed = rows.select("user_id", "a", "z", "value", starts.alias("k")).withColumn("start", F.expr("timestampadd(HOUR, cast(k * 36 as int), a)"))
+    full = placed.filter(F.col("start") + hours(48) <= F.col("z"))
+    return full.groupBy("user_id", "start").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query("""
+WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k""")
+def utterance_sessions(t):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    new = F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("interval 30 minutes"), 0).otherwise(1)
+    marked = t("events").withColumn("new", new).withColumn("k", F.sum("new").over(w))
+    return marked.groupBy("user_id", "k").agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("n")).drop("k")
+
+
+def _pcm(t) -> DataFrame:
+    """Each user's events as chunks of 0.1 s of constant samples at 1 kHz, loudness from the value, ended by a stop row."""
+    @F.pandas_udf("binary")
+    def tone(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: (np.full(100, 0.05 if int(x) % 3 else 0.0, np.float32) * 32767).astype("<i2").tobytes())
+
+    audio = t("events").select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("seq"), F.lit("audio").alias("kind"), tone("value").alias("payload"))
+    stop = audio.groupBy("stream_id").agg((F.max("seq") + 1).alias("seq")).select("stream_id", "seq", F.lit("stop").alias("kind"), F.lit(None).cast("binary").alias("payload"))
+    return audio.unionByName(stop)
+
+
+@query()
+def utterance_sessions_capped(t):
+    from functools import partial
+
+    from verselake.streaming.segmenter import Utterances, segment_batch
+
+    out = segment_batch(_pcm(t), partial(Utterances, rate=1000, longest=3.0))
+    return out.select("stream_id", "idx", F.round("start_seconds", 6).alias("start_seconds"), F.round("end_seconds", 6).alias("end_seconds"), F.round("rms", 9).alias("rms"))
+
+
+@query()
+def sliding_windows_samples(t):
+    from functools import partial
+
+    from verselake.streaming.segmenter import SlidingWindows, segment_batch
+
+    out = segment_batch(_pcm(t), partial(SlidingWindows, rate=1000))
+    return out.select("stream_id", "idx", F.round("start_seconds", 6).alias("start_seconds"), F.round("end_seconds", 6).alias("end_seconds"), F.round("rms", 9).alias("rms"))
+
+
+@query()
+def transcript_novel_text(t):
+    from verselake.streaming.segmenter import join_batch
+
+    texts = t("conversations").select(
+        F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("idx"), F.when(F.col("conv_id") % 2 == 0, "window").otherwise("utterance").alias("kind"),
+        (F.col("turn") * 1.5).alias("start_seconds"), (F.col("turn") * 1.5 + 2).alias("end_seconds"), "text",
+    )
+    return join_batch(texts)
+
+
+@query()
+def stream_transcribe(t):
+    from functools import partial
+
+    from verselake.streaming import control
+    from verselake.streaming.segmenter import Utterances
+
+    return control.transcribe(_pcm(t), partial(Utterances, rate=1000, longest=3.0))
+
+
+@query("""
+SELECT user_id, event_id, coalesce(last_value(CASE WHEN value >= 60 THEN true WHEN value < 30 THEN false END IGNORE NULLS)
+  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS active FROM events""")
+def hysteresis_latch(t):
+    return music.hysteresis(t("events"), ["user_id"], ["ts", "event_id"], "value", 60.0, 30.0).select("user_id", "event_id", "active")
+
+
+@query("""
+SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 4""")
+def drop_oldest_queue(t):
+    return speakers.keep_last(t("events").withColumn("d", F.to_date("ts")), ["user_id", "d"], ["ts", "event_id"], 4).select("user_id", "event_id")
+
+
+@query("""
+WITH f AS (SELECT user_id, event_id // 20 AS frame, sqrt(avg(value * value)) AS rms FROM events GROUP BY 1, 2)
+SELECT user_id, round(quantile_cont(rms, 0.1), 6) AS noise_floor FROM f GROUP BY 1""")
+def rms_noise_floor(t):
+    frames = t("events").groupBy("user_id", F.floor(F.col("event_id") / 20).alias("frame")).agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
+    return frames.groupBy("user_id").agg(F.round(F.percentile("rms", 0.1), 6).alias("noise_floor"))
+
+
+@query("""
+SELECT user_id, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90,
+  round(avg((event_type <> 'error')::INT), 6) AS voiced_ratio FROM events GROUP BY 1""")
+def percentile_summary(t):
+    p = F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    rows = t("events").groupBy("user_id").agg(p.alias("p"), F.round(F.avg((F.col("event_type") != "error").cast("double")), 6).alias("voiced_ratio"))
+    return rows.select("user_id", *(F.round(F.get("p", i), 6).alias(n) for i, n in enumerate(("p10", "p50", "p90"))), "voiced_ratio")
+
+
+def _notes(t) -> DataFrame:
+    """Events as notes: value as Hz above 100, held for a sixth of it in seconds."""
+    return t("events").select("user_id", "event_id", "ts", (F.col("value") + 100).alias("hz"), (F.col("value") / 6).alias("duration"))
+
+
+@query("""
+SELECT user_id, CAST(((c % 12) + 12) % 12 AS INTEGER) AS pitch_class, round(sum(d), 6) AS weight FROM (
+  SELECT user_id, CAST(round_even(12 * log2((value + 100) / 440.0::DOUBLE), 0) AS BIGINT) AS c, value / 6 AS d FROM events WHERE value + 100 > 0) GROUP BY 1, 2""")
+def weighted_histogram(t):
+    return music.pitch_class_histogram(_notes(t), ["user_id"]).select("user_id", "pitch_class", F.round("weight", 6).alias("weight"))
+
+
+@query("""
+SELECT user_id, round(atan2(sum(d * sin(a)), sum(d * cos(a))) * 100 / (2 * pi()), 5) AS offset_cents FROM (
+  SELECT user_id, 2 * pi() * 12 * log2((value + 100) / 440.0::DOUBLE) AS a, value / 6 AS d FROM events WHERE value + 100 > 0) GROUP BY 1""")
+def tuning_offset(t):
+    return music.tuning_offset(_notes(t), ["user_id"]).select("user_id", F.round("offset_cents", 5).alias("offset_cents"))
+
+
+_CENTS = """c AS (SELECT user_id, event_id, value / 6 AS d, (x - round_even(x, 0)) * 100 AS cents FROM (SELECT *, 12 * log2((value + 100) / 220.0::DOUBLE) AS x FROM events WHERE value + 100 > 0))"""
+
+
+@query(f"""
+WITH {_CENTS}
+SELECT user_id, round(100 * sum(greatest(0, 1 - abs(cents) / 50) * d) / sum(d), 6) AS score, round(median(abs(cents)), 6) AS median_abs_cents,
+  round(sum(CASE WHEN abs(cents) <= 20 THEN d ELSE 0 END) / sum(d), 6) AS in_tune_ratio, count(*) FILTER (WHERE abs(cents) > 35) AS off_pitch_count, count(*) AS counted
+FROM c GROUP BY 1""")
+def intonation_score(t):
+    notes = _notes(t).withColumn("cents", music.cents_off("hz", F.lit(220.0)))
+    out = music.intonation(notes, ["user_id"])
+    return out.select("user_id", *(F.round(c, 6).alias(c) for c in ("score", "median_abs_cents", "in_tune_ratio")), "off_pitch_count", "counted")
+
+
+@query(f"WITH {_CENTS} SELECT event_id, CASE WHEN abs(cents) <= 20 THEN '準' WHEN abs(cents) <= 35 THEN '略偏' ELSE '走音' END AS label FROM c")
+def tuning_labels(t):
+    return _notes(t).filter("hz > 0").select("event_id", music.tuning_label(music.cents_off("hz", F.lit(220.0))).alias("label"))
+
+
+_VALUES = ", ".join(f"({i}, {v}::DOUBLE, '{n}')" for i, (v, n) in enumerate(music.NOTE_VALUES))
+
+
+@query(f"""
+SELECT event_id, v AS beats, n AS note_value FROM (
+  SELECT event_id, v, n, row_number() OVER (PARTITION BY event_id ORDER BY abs(ln(value / 6 / 8.0 / v)), i) AS r
+  FROM events, (VALUES {_VALUES}) AS x(i, v, n) WHERE value > 0) WHERE r = 1""")
+def note_quantize(t):
+    q = music.quantize_beats("duration", F.lit(8.0))
+    return _notes(t).filter("duration > 0").select("event_id", q["beats"].alias("beats"), q["name"].alias("note_value"))
+
+
+@query()
+def tonic_estimate(t):
+    out = music.estimate_tonic(_notes(t), "user_id", ["ts", "event_id"])
+    return out.select("user_id", F.round("tonic_hz", 4).alias("tonic_hz"), F.round("confidence", 6).alias("confidence"), "source")
+
+
+_DEGREES = "['1','#1','2','#2','3','4','#4','5','#5','6','#6','7']"
+
+
+@query(f"""
+SELECT event_id, ({_DEGREES})[((s % 12) + 12) % 12 + 1] || CASE WHEN o > 0 THEN repeat('{music.DOT_ABOVE}', o) ELSE repeat('{music.DOT_BELOW}', -o) END AS degree FROM (
+  SELECT event_id, s, CAST(floor(s / 12.0) AS BIGINT) AS o FROM (SELECT event_id, CAST(round_even(12 * log2((value + 100) / 220.0::DOUBLE), 0) AS BIGINT) AS s FROM events WHERE value + 100 > 0))""")
+def scale_degrees(t):
+    return _notes(t).filter("hz > 0").select("event_id", music.scale_degree("hz", F.lit(220.0)).alias("degree"))
+
+
+@query()
+def scale_degree_round_trip(t):
+    token = music.scale_degree("hz", F.lit(220.0))
+    return _notes(t).select("event_id", music.degree_semitones(token).alias("semitones"), music.glide("hz", F.col("hz") * 1.3, F.lit(220.0)).alias("glide"))
+
+
+@query(f"""
+SELECT event_id, coalesce(m > lag(m) OVER (PARTITION BY user_id ORDER BY s), false) AS bar_before FROM (
+  SELECT user_id, event_id, s, floor(s / 86400.0) AS m FROM (SELECT user_id, event_id, {_EPOCH} + event_id / 1e6 AS s FROM events))""")
+def bar_flags(t):
+    rows = t("events").withColumn("s", _seconds() + F.col("event_id") / 1e6)
+    return music.bar_flags(rows, "user_id", "s", 21600.0, 4).select("event_id", "bar_before")
+
+
+@query()
+def meter_estimate(t):
+    return music.meter(t("events").withColumn("s", _seconds()), "user_id", "s", "value", 3600.0).select("user_id", "beats_per_bar", "downbeat", F.round("contrast", 6).alias("contrast"))
+
+
+@query("""
+WITH w AS (SELECT user_id, event_id, ts, CASE WHEN count(value) OVER a = 3 AND max(value) OVER a - min(value) OVER a <= 40 THEN 1 ELSE 0 END AS s FROM events
+  WINDOW a AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
+SELECT user_id, event_id, max(s) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 1 AS stable FROM w""")
+def stable_runs(t):
+    return music.stable_runs(t("events"), "user_id", "event_id", "value", 3, 40.0).select("user_id", "event_id", "stable")
+
+
+@query("""
+WITH s AS (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT user_id, v[len(v) // 2 + 1] AS upper_median FROM s""")
+def upper_median(t):
+    return t("events").groupBy("user_id").agg(music.upper_median(F.collect_list("value")).alias("upper_median"))
+
+
+@query("""
+WITH b AS (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS w FROM benchmark),
+c AS (SELECT item_id, length(w) AS n, unnest(range(0, length(w))) AS i, w FROM b)
+SELECT item_id, CAST(i AS INTEGER) AS i, substr(w, i + 1, 1) AS char, round(i * 10.0 / n, 6) AS start, round(CASE WHEN i = n - 1 THEN 10.0 ELSE (i + 1) * 10.0 / n END, 6) AS "end" FROM c""")
+def chars_even_timing(t):
+    words = t("benchmark").select("item_id", F.col("text").alias("word"), F.lit(0.0).alias("start"), F.lit(10.0).alias("end"))
+    return align.even_chars(words).select("item_id", "i", "char", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+def _spans(t) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = t("events").withColumn("s", _seconds() - 1704067200)
+    return rows.select("user_id", (F.row_number().over(w) - 1).alias("pos"), F.col("event_type").alias("char"), F.col("s").alias("start"), (F.col("s") + F.col("value") * 100).alias("end"))
+
+
+_SPANS = f"""
+sp AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos, event_type AS char,
+  {_EPOCH} - 1704067200 AS start, {_EPOCH} - 1704067200 + value * 100 AS "end" FROM events)"""
+
+
+@query(f"""
+WITH {_SPANS}, q AS (SELECT user_id, event_id, {_EPOCH} - 1704067200 + 600 AS time FROM events)
+SELECT q.event_id, min(sp.pos) AS pos, coalesce(arg_min(sp.char, sp.pos), '') AS char FROM q LEFT JOIN sp ON q.user_id = sp.user_id AND sp.start <= q.time AND q.time < sp."end" GROUP BY 1""")
+def char_at_time(t):
+    times = t("events").select("user_id", "event_id", (_seconds() - 1704067200 + 600).alias("time"))
+    return align.at_time(times, _spans(t), "user_id", "time", 5000.0).select("event_id", "pos", "char")
+
+
+@query(f"""
+WITH {_SPANS}, h AS (SELECT *, coalesce(max(greatest(start, "end", 0)) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM sp)
+SELECT user_id, pos, round(greatest(start, m), 5) AS start, round(greatest("end", greatest(start, m)), 5) AS "end" FROM h""")
+def monotonic_spans(t):
+    return align.monotonic(_spans(t), "user_id", "pos").select("user_id", "pos", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"))
+
+
+@query(f"""
+WITH {_SPANS}, n AS (SELECT *, CASE WHEN start - lag("end") OVER (PARTITION BY user_id ORDER BY pos) > 3600 THEN 1 ELSE 0 END AS new FROM sp)
+SELECT user_id, pos, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY pos) AS BIGINT) AS paragraph FROM n""")
+def paragraph_islands(t):
+    return align.islands(_spans(t), "user_id", "pos", "end", "start", 3600.0).select("user_id", "pos", "paragraph")
+
+
+@query()
+def lyrics_alignment(t):
+    lyrics = t("benchmark").select(F.col("item_id").alias("rec_id"), F.col("text").alias("lyrics"))
+    heard = t("benchmark").select(F.col("item_id").alias("rec_id"), F.regexp_replace("text", "th", "d").alias("word"), F.lit(0.0).alias("start"), F.lit(60.0).alias("end"))
+    out = align.line_summary(align.align_lyrics(lyrics, align.even_chars(heard)))
+    return out.select("rec_id", "line", "text", *(F.round(c, 6).alias(c) for c in ("start", "end", "matched_ratio")))
+
+
+@query("""
+SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 6)) AS unit FROM embeddings""")
+def unit_vectors(t):
+    return t("embeddings").select("vec_id", F.transform(speakers.unit("embedding"), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query("""
+WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS n FROM embeddings),
+p AS (SELECT u.vec_id, c.vec_id AS centroid, round(list_dot_product(u.v, c.v) / u.n / c.n, 9) AS s FROM u, u c WHERE c.vec_id < 8)
+SELECT vec_id, centroid, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, centroid) AS r FROM p) WHERE r = 1""")
+def cosine_top1(t):
+    """Each vector's nearest of eight given voices."""
+    voices = t("embeddings").filter("vec_id < 8").select(F.col("vec_id").alias("centroid"), "embedding")
+    return speakers.nearest(t("embeddings"), voices, "vec_id", "embedding", "centroid").withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def online_clusters(t):
+    rows = t("embeddings").withColumn("session", F.col("label"))
+    return speakers.online_clusters(rows, "session", "vec_id", "embedding", 6, 0.75)
+
+
+@query("""
+SELECT source, list_slice(list_distinct(list(lang)), 1, 4) IS NOT NULL AS has, least(count(DISTINCT lower(trim(lang))), 4) AS n FROM documents GROUP BY 1""")
+def languages_distinct_capped(t):
+    rows = t("documents").groupBy("source").agg(T.distinct_lower(F.sort_array(F.collect_set("lang")), 4).alias("l"))
+    return rows.select("source", F.col("l").isNotNull().alias("has"), F.size("l").cast("long").alias("n"))
+
+
+@query("""
+SELECT p_brand AS id, min(p_partkey) AS pos, arg_min(p_name, p_partkey) AS model FROM part WHERE p_partkey % 5 <> 0 AND trim(p_name) <> '' GROUP BY 1""")
+def registry_first_wins(t):
+    rows = t("part").select(F.regexp_replace("p_brand", "[^A-Za-z0-9._-]", "_").alias("id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("model"), F.when(F.col("p_partkey") % 5 == 0, "other").otherwise("asr").alias("kind"), F.col("p_brand").alias("brand"))
+    return registry.valid(rows).select(F.col("brand").alias("id"), "pos", "model")
+
+
+@query("""
+WITH p AS (SELECT CAST(p_size AS VARCHAR) AS id, min(p_type) AS model FROM part WHERE p_partkey <= 20 GROUP BY 1),
+d AS (SELECT CAST(p_size AS VARCHAR) AS id, p_type AS model, p_partkey AS pos FROM part WHERE p_partkey > 20),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS r FROM d) WHERE r = 1),
+b AS (SELECT * FROM (SELECT id, model, pos, row_number() OVER (PARTITION BY model ORDER BY pos) AS r FROM a) WHERE r = 1)
+SELECT id, model, 'preset' AS origin FROM p UNION ALL SELECT id, model, 'deployed' FROM b WHERE id NOT IN (SELECT id FROM p) AND model NOT IN (SELECT model FROM p)""")
+def shadow_rule(t):
+    part = t("part").select(F.col("p_size").cast("string").alias("id"), F.col("p_type").alias("model"), F.col("p_partkey").alias("pos"))
+    presets = part.filter("pos <= 20").groupBy("id").agg(F.min("model").alias("model"))
+    return registry.with_shadow(presets, part.filter("pos > 20")).select("id", "model", "origin")
+
+
+@query("""
+WITH a AS (SELECT s_suppkey AS id, s_name AS model, s_suppkey AS pos FROM supplier WHERE s_suppkey <= 60), b AS (SELECT s_suppkey AS id, upper(s_name) AS model, s_suppkey AS pos FROM supplier WHERE s_suppkey > 50)
+SELECT coalesce(a.id, b.id) AS id, coalesce(a.pos, (SELECT max(pos) FROM a) + 1 + b.pos) AS pos, coalesce(b.model, a.model) AS model FROM a FULL JOIN b ON a.id = b.id""")
+def registry_upsert(t):
+    rows = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("model"), F.col("s_suppkey").alias("pos"))
+    return registry.upsert(rows.filter("id <= 60"), rows.filter("id > 50").withColumn("model", F.upper("model"))).select("id", "pos", "model")
+
+
+@query()
+def control_messages(t):
+    from verselake.streaming import control
+
+    raw = F.when(F.col("event_id") % 7 == 0, F.lit("not json")).otherwise(
+        F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, "start").when(F.col("event_id") % 3 == 1, "stop").otherwise("dance").alias("type"), (F.col("event_id") * 1000).cast("int").alias("sampleRate"), F.array(F.lit(" EN "), F.lit("en"), F.lit("nan")).alias("languages")))
+    )
+    return control.parse(t("events").select("event_id", raw.alias("control"))).select("event_id", "error", F.array_join("languages", ",").alias("languages"))
+
+
+@query("SELECT event_id, printf('%02d:%02d.%d', CAST(floor(floor(value * 10) / 600) AS BIGINT), CAST(floor(floor(value * 10) / 10) AS BIGINT) % 60, CAST(floor(value * 10) AS BIGINT) % 10) AS clock FROM events")
+def clock_format(t):
+    return t("events").select("event_id", T.clock("value").alias("clock"))
+
 
-def queries():
-    return {}
+@query("SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 50), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS id FROM documents")
+def sanitize_ids(t):
+    return t("documents").select("doc_id", T.sanitize_id(F.substring("text", 1, 50)).alias("id"))
 
 
-def oracle_sql():
-    return {}
+@query()
+def slugs(t):
+    return t("documents").select("doc_id", T.slug("text").alias("slug"))
