@@ -197,8 +197,13 @@ def sharded(classes: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> Da
     )
 
 
-def shard_links(shards: DataFrame, radius: int) -> DataFrame:
-    """(u, v): links between the reps of classes that span what each shard connects."""
+def spanning(rep: np.ndarray, forest: BKForest, radius: int) -> pd.DataFrame:
+    node, root = forest.forest(radius)
+    return pd.DataFrame({"u": rep[node], "v": rep[root]})
+
+
+def shard_links(shards: DataFrame, radius: int, linker=spanning) -> DataFrame:
+    """(u, v): links between the reps of classes that share a shard; by default those that span what it connects."""
     key = ["s0", "s1", "s2", "s3"]
 
     def links(gathered: list[pd.DataFrame], tail: bool) -> tuple[pd.DataFrame | None, list[pd.DataFrame]]:
@@ -211,8 +216,8 @@ def shard_links(shards: DataFrame, radius: int) -> DataFrame:
             return None, [all_rows]
         part = all_rows.iloc[:whole]
         rep = part["rep"].to_numpy()
-        node, root = BKForest(part["fp"].to_numpy().view(np.uint64), code[:whole]).forest(radius)
-        return pd.DataFrame({"u": rep[node], "v": rep[root]}), [all_rows.iloc[whole:]]
+        forest = BKForest(part["fp"].to_numpy().view(np.uint64), code[:whole])
+        return linker(rep, forest, radius), [all_rows.iloc[whole:]]
 
     def run(frames):
         gathered, held = [], 0
@@ -254,8 +259,112 @@ def components_of(prints: DataFrame, id_col: str, radius: int, shard_rows: int =
     return prints.join(component, "fp", "left").select(id_col, "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of docs, whole, that name their component: of rows that share that id one, and every row without an id."""
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+# Near-duplicates by similarity. A pair as similar as 0.8 differs in about ten bits of its fingerprints, too many for
+# bit blocks to deal shards by. Here a shard is a value of one of KEYS min-hashes of the shingles, which such a pair
+# misses altogether with a chance of 0.2 ** KEYS; the shard's BK-tree is searched within WIDE bits, and every link that it
+# proposes is verified by the exact Jaccard similarity of the shingle sets.
+KEYS, WIDE, SIMILAR = 8, 16, 0.8
+_SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, (2, KEYS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """KEYS min-hashes of a set of shingle hashes; of no shingle zeros."""
+    if not len(hashes):
+        return np.zeros(KEYS, np.int64)
+    mixed = hashes[None, :] * _SALTS[0][:, None]
+    mixed ^= mixed >> np.uint64(29)
+    return (mixed * _SALTS[1][:, None]).min(axis=1).view(np.int64)
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id_col, fp, folded, mins): fingerprint, hash of the folded words, and min-hashes."""
+    chosen = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+
+    def run(batches):
+        for batch in batches:
+            fps, folded, mins = [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                fps.append(majority(hashes))
+                folded.append(xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()), SEED))
+                mins.append(least_hashes(hashes))
+            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            lists = pa.ListArray.from_arrays(np.arange(0, KEYS * len(mins) + 1, KEYS, dtype=np.int32), np.concatenate(mins)) if mins else pa.array([], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), longs(fps), longs(folded), lists], ["_id", "fp", "folded", "mins"])
+
+    return chosen.mapInArrow(run, "_id long, fp long, folded long, mins array<long>").withColumnRenamed("_id", id_col)
+
+
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, set): the distinct shingle hashes of each row."""
+    chosen = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("_text"))
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+
+    return chosen.mapInArrow(run, "node long, set array<long>")
+
+
+def dealt_by_least(classes: DataFrame, shard_rows: int) -> DataFrame:
+    """Classes by each min-hash; those of a crowded value by that and one of the next two min-hashes."""
+    dealt = classes.select("fp", "rep", "mins", F.posexplode("mins").alias("s0", "s1"))
+    crowded = dealt.groupBy("s0", "s1").count().filter(F.col("count") > shard_rows).select("s0", "s1", F.lit(True).alias("crowded"))
+    following = F.array(*(F.get("mins", F.pmod(F.col("s0") + i, F.lit(KEYS))) for i in (1, 2)))
+    marked = dealt.join(crowded, ["s0", "s1"], "left")
+    values = F.when(F.col("crowded"), following).otherwise(F.array(F.lit(-1).cast("long")))
+    return marked.select("s0", "s1", F.posexplode(values).alias("s2", "s3"), "fp", "rep")
+
+
+def close_pairs(rep: np.ndarray, forest: BKForest, radius: int) -> pd.DataFrame:
+    """For each class of a tree its nearest neighbour within the radius, and the neighbour with the least rep."""
+    n = len(rep)
+    near, near_bits = np.full(n, -1), np.full(n, BITS + 1)
+    least = np.arange(n)
+    size = np.bincount(forest.root, minlength=n)[forest.root]
+    order = np.argsort(forest.root, kind="stable")
+    cut = np.cumsum(size[order]) // SEARCH_PAIRS
+    for block in np.split(order, np.flatnonzero(np.diff(cut)) + 1):
+        for q, node in forest.search(block, radius):
+            other = q != node
+            q, node = q[other], node[other]
+            bits = popcount(forest.fps[q] ^ forest.fps[node])
+            far_first = np.lexsort((-rep[node], -bits.astype(np.int64), q))
+            fq, fn, fb = q[far_first], node[far_first], bits[far_first]
+            better = fb < near_bits[fq]
+            near[fq[better]], near_bits[fq[better]] = fn[better], fb[better]
+            by_rep = np.lexsort((-rep[node], q))
+            smaller = rep[node[by_rep]] < rep[least[q[by_rep]]]
+            least[q[by_rep][smaller]] = node[by_rep][smaller]
+    q = np.arange(n)
+    one, two = near >= 0, least != q
+    return pd.DataFrame({"u": np.concatenate([rep[q[one]], rep[q[two]]]), "v": np.concatenate([rep[near[one]], rep[least[two]]])})
+
+
+def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = SIMILAR, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(id_col, component): texts linked by steps of at least this Jaccard similarity of their shingles share the least id of
+    them. Rows without an id have a null component."""
+    prints = written(sketches(df, id_col, text_col, shingle), "sketches")
+    classes = written(
+        prints.filter(F.col(id_col).isNotNull()).groupBy("folded", "fp", "mins").agg(F.min(id_col).alias("rep")), "classes"
+    )
+    pairs = written(shard_links(dealt_by_least(classes, shard_rows), WIDE, close_pairs).filter("u <> v").distinct(), "pairs")
+    nodes = pairs.select(F.col("u").alias("n")).union(pairs.select(F.col("v").alias("n"))).distinct()
+    texts = df.join(nodes, df[id_col] == F.col("n"), "left_semi").dropDuplicates([id_col])
+    sets = written(shingle_sets(texts, id_col, text_col, shingle), "sets")
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("set").alias(f"{side}_set"))
+    joined = pairs.join(of("u"), "u").join(of("v"), "v")
+    shared = F.size(F.array_intersect("u_set", "v_set"))
+    score = shared / F.greatest(F.size("u_set") + F.size("v_set") - shared, F.lit(1))
+    links = joined.select("u", "v", score.alias("s")).filter(F.col("s") >= similarity).select("u", "v")
+    found = connected_components(links)
+    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("folded", "fp", "mins", F.coalesce("component", "rep").alias("component"))
+    return prints.join(named, ["folded", "fp", "mins"], "left").select(id_col, F.when(F.col(id_col).isNotNull(), F.col("component")).alias("component"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """The rows of docs, whole, that name their component: of rows that share that id all, and every row without an id."""
+    found = similar_components(docs, id_col, text_col, shingle)
     gone = found.filter(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
