@@ -37,8 +37,8 @@ def _name() -> Column:
 
 
 def _whole(spark: SparkSession, folder: str, glob: str, value: str) -> DataFrame:
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", glob).schema("value string")
-    return read.text(folder).select(stem(_name()).alias("doc_id"), F.col("value").alias(value), F.col("_metadata.file_modification_time").alias("mtime"))
+    read = spark.read.option("pathGlobFilter", glob).schema("value string")
+    return read.text(folder, wholetext=True).select(stem(_name()).alias("doc_id"), F.col("value").alias(value), F.col("_metadata.file_modification_time").alias("mtime"))
 
 
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,7 +60,7 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
 
 def lyrics(spark: SparkSession, folder: str) -> DataFrame:
     """(song_id, text, timed): lyric files, timed by suffix or because a line starts with a stamp."""
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{lrc,txt}").schema("value string").text(folder)
+    read = spark.read.option("pathGlobFilter", "*.{lrc,txt}").schema("value string").text(folder, wholetext=True)
     timed = F.lower(_name()).endswith(".lrc") | F.col("value").rlike(r"(?m)^\s*\[\d{1,3}:\d{1,2}")
     return read.select(stem(_name()).alias("song_id"), F.col("value").alias("text"), timed.alias("timed"))
 
@@ -140,7 +140,7 @@ def decoded_text(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame
 
 def pitch_rows(spark: SparkSession, folder: str) -> DataFrame:
     """(name, pos, time_seconds, hz, intensity, text, after_blank) of pitch files: a blank line marks the next row."""
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", "*.csv").schema("value string").text(folder)
+    read = spark.read.option("pathGlobFilter", "*.csv").schema("value string").text(folder, wholetext=True)
     lines = read.select(stem(_name()).alias("name"), F.posexplode(F.split("value", r"\r\n|\n")).alias("pos", "line"))
     w = Window.partitionBy("name").orderBy("pos")
     blank = F.coalesce(F.lag(F.trim("line") == "").over(w), F.lit(False))
