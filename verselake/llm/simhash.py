@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verselake.llm.components import connected_components
-from verselake.session import written
+from verselake.session import unused, written
 
 BITS = 64
 #: A shard of more classes than this is dealt again by its other bits.
@@ -345,14 +345,13 @@ def close_pairs(rep: np.ndarray, forest: BKForest, radius: int) -> pd.DataFrame:
 def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = SIMILAR, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(id_col, component): texts linked by steps of at least this Jaccard similarity of their shingles share the least id of
     them. Rows without an id have a null component."""
-    prints = written(sketches(df, id_col, text_col, shingle), "sketches")
-    classes = written(
-        prints.filter(F.col(id_col).isNotNull()).groupBy("folded", "fp", "mins").agg(F.min(id_col).alias("rep")), "classes"
-    )
+    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    prints = written(sketches(rows, "doc", "text", shingle), "sketches")
+    classes = written(prints.filter("doc is not null").groupBy("folded", "fp", "mins").agg(F.min("doc").alias("rep")), "classes")
     pairs = written(shard_links(dealt_by_least(classes, shard_rows), WIDE, close_pairs).filter("u <> v").distinct(), "pairs")
-    nodes = pairs.select(F.col("u").alias("n")).union(pairs.select(F.col("v").alias("n"))).distinct()
-    texts = df.join(nodes, df[id_col] == F.col("n"), "left_semi").dropDuplicates([id_col])
-    sets = written(shingle_sets(texts, id_col, text_col, shingle), "sets")
+    nodes = pairs.select(F.col("u").alias("doc")).union(pairs.select(F.col("v").alias("doc"))).distinct()
+    texts = rows.join(nodes, "doc", "left_semi").dropDuplicates(["doc"])
+    sets = written(shingle_sets(texts, "doc", "text", shingle), "sets")
     of = lambda side: sets.select(F.col("node").alias(side), F.col("set").alias(f"{side}_set"))
     joined = pairs.join(of("u"), "u").join(of("v"), "v")
     shared = F.size(F.array_intersect("u_set", "v_set"))
@@ -360,11 +359,13 @@ def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
     links = joined.select("u", "v", score.alias("s")).filter(F.col("s") >= similarity).select("u", "v")
     found = connected_components(links)
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("folded", "fp", "mins", F.coalesce("component", "rep").alias("component"))
-    return prints.join(named, ["folded", "fp", "mins"], "left").select(id_col, F.when(F.col(id_col).isNotNull(), F.col("component")).alias("component"))
+    out = prints.join(named, ["folded", "fp", "mins"], "left")
+    return out.select(F.col("doc").alias(id_col), F.when(F.col("doc").isNotNull(), F.col("component")).alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """The rows of docs, whole, that name their component: of rows that share that id all, and every row without an id."""
     found = similar_components(docs, id_col, text_col, shingle)
-    gone = found.filter(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    name = unused(docs, "_gone")
+    gone = found.filter(F.col(id_col) != F.col("component")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
