@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verselake.functions import text as T
-from verselake.operators import align, corpus, metrics, music, registry, search, speakers, splits, summary
+from verselake.operators import align, corpus, metrics, music, registry, search, speakers, splits, summary, tracks
 from verselake.session import ship_package, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -776,3 +776,90 @@ def sanitize_ids(t):
 @query()
 def slugs(t):
     return t("documents").select("doc_id", T.slug("text").alias("slug"))
+
+
+def _track(t) -> DataFrame:
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    text = F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("event_type"))
+    hz = F.when(F.col("event_id") % 5 != 0, F.col("value") + 200)
+    return t("events").select("user_id", pos.alias("pos"), (pos * 0.02 + F.when(pos > 20, 1.0).otherwise(0.0)).alias("time"), hz.alias("hz"), (F.col("value") / 1000).alias("intensity"), text.alias("text"), (pos % 16 == 0).alias("block_start"))
+
+
+@query()
+def clean_pitch_tracks(t):
+    rows = _track(t).select("user_id", F.col("pos").alias("bin"), "time", F.col("hz").alias("f0"), "intensity")
+    return tracks.clean_tracks(rows, "user_id").select("user_id", "bin", F.round("clean_f0", 4).alias("clean_f0"))
+
+
+@query("""
+WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
+q AS (SELECT user_id, pos * 0.02::DOUBLE + CASE WHEN pos > 20 THEN 1.0 ELSE 0.0 END AS time FROM p),
+d AS (SELECT user_id, time - lag(time) OVER (PARTITION BY user_id ORDER BY time) AS d FROM q)
+SELECT user_id, round(median(d), 6) AS bin_seconds FROM d WHERE d > 0 GROUP BY 1""")
+def bin_spacing(t):
+    return tracks.bin_spacing(_track(t), "user_id").select("user_id", F.round("bin_seconds", 6).alias("bin_seconds"))
+
+
+@query()
+def notes_from_track(t):
+    rows = _track(t)
+    made = tracks.notes(tracks.text_runs(rows, "user_id"), tracks.bin_spacing(rows, "user_id"), "user_id")
+    return tracks.trim_edge_rests(made, "user_id").select("user_id", "pos", "char", "kind", F.round("hz", 4).alias("hz"), F.round("duration", 6).alias("duration"))
+
+
+@query(f"""
+WITH {_SPANS}, g AS (SELECT user_id, pos, start - lag("end") OVER (PARTITION BY user_id ORDER BY pos) AS gap FROM sp)
+SELECT user_id, pos, round(CASE WHEN gap > 0.08 THEN gap ELSE 0.0 END, 5) AS rest_before FROM g""")
+def leading_rests(t):
+    return tracks.leading_rest(_spans(t), "user_id", "pos", "start", "end").select("user_id", "pos", F.round("rest_before", 5).alias("rest_before"))
+
+
+@query(f"""
+WITH {_SPANS}, b AS (SELECT *, lag("end") OVER w AS pe, lead(start) OVER w AS ns FROM sp WINDOW w AS (PARTITION BY user_id ORDER BY pos))
+SELECT user_id, pos, round(least(start, greatest(start - 60, coalesce((pe + start) / 2, -100.0))), 5) AS pad_start,
+  round(greatest("end", least("end" + 60, coalesce((ns + "end") / 2, 3000000.0))), 5) AS pad_end FROM b""")
+def padded_char_spans(t):
+    rows = _spans(t).withColumns({"block_start": F.lit(-100.0), "block_end": F.lit(3_000_000.0)})
+    return tracks.padded_spans(rows, "user_id", "pos", 60.0).select("user_id", "pos", F.round("pad_start", 5).alias("pad_start"), F.round("pad_end", 5).alias("pad_end"))
+
+
+_CODES = ", ".join(f"('{k}', '{v}')" for k, v in T.FLORES.items())
+
+
+@query(f"SELECT doc_id, v AS code FROM documents LEFT JOIN (VALUES {_CODES}) AS x(k, v) ON k = lang")
+def language_codes(t):
+    return t("documents").select("doc_id", T.flores("lang").alias("code"))
+
+
+@query()
+def changed_terms(t):
+    part = T.changed_part("text", F.replace("text", F.lit("that"), F.lit("this")))
+    return t("benchmark").select("item_id", part["from"].alias("from_text"), part["to"].alias("to_text"))
+
+
+@query("SELECT doc_id, 'ctx ' || lang || ' base ' || source AS prompt FROM documents")
+def prompts(t):
+    return t("documents").select("doc_id", T.prompt(F.concat(F.lit(" ctx  "), "lang"), F.lit("base"), F.array("source", F.lit(" "), F.col("source"))).alias("prompt"))
+
+
+@query("SELECT user_id, round(sqrt(sum(value * value) / count(*)), 6) AS rms FROM events GROUP BY 1")
+def array_rms(t):
+    from verselake.functions import signal
+
+    rows = t("events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
+    return rows.select("user_id", F.round(signal.array_rms(F.col("v")), 6).alias("rms"))
+
+
+@query()
+def pcm_pitch(t):
+    from verselake.functions import signal
+
+    loud = _pcm(t).filter("kind = 'audio'")
+    return loud.select("stream_id", "seq", F.round(signal.pcm_rms(F.col("payload")), 9).alias("rms"), signal.pcm_pitch(F.col("payload"), 1000)["voiced_ratio"].alias("voiced"))
+
+
+@query("""
+SELECT event_id, CASE WHEN db >= 1.5 THEN 'crescendo' WHEN db <= -1.5 THEN 'decrescendo' ELSE 'steady' END AS trend FROM (
+  SELECT event_id, 20 * log10((value + 10) / 60.0::DOUBLE) AS db FROM events)""")
+def intensity_trend(t):
+    return t("events").select("event_id", music.intensity_trend(F.lit(60.0), F.col("value") + 10).alias("trend"))
