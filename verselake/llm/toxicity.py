@@ -31,7 +31,7 @@ PASSAGE = 16
 #: Factor on the average before the softmax; with it, one word among a passage's can decide.
 SCALE = 100.0
 #: Logit of a passage that says nothing.
-PRIOR = -2.0
+PRIOR = -3.0
 EPOCHS, WHOLE, BATCH, RATE, SEED = 6, 2, 16, 0.05, 11
 CACHE_ENTRIES = 1 << 20
 EDGE = ".,;:!?\"'()[]{}*#$%&|<>-_"
@@ -159,7 +159,7 @@ def score_column(model: SubwordModel | None, text: Column) -> Column:
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SubwordModel | None:
-    return fit(labelled.sample(docs, labels, "toxic", FOLDS, HELD_OUT, id_col, text_col))
+    return fit(labelled.sample(docs, labels, "toxic", FOLDS, HELD_OUT, id_col, text_col, balanced=True))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
