@@ -28,11 +28,13 @@ from verselake.llm import labelled
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 6
 PASSAGE = 16
+#: A word of fewer n-grams counts as filled up with empty ones, so that a short word can't decide by one of them.
+LEAST_GRAMS = 16
 #: Factor on the average before the softmax; with it, one word among a passage's can decide.
 SCALE = 100.0
 #: Logit of a passage that says nothing.
-PRIOR = -3.0
-EPOCHS, WHOLE, BATCH, RATE, SEED = 6, 2, 16, 0.05, 11
+PRIOR = -4.0
+EPOCHS, WHOLE, BATCH, RATE, SEED = 8, 2, 16, 0.05, 11
 CACHE_ENTRIES = 1 << 20
 #: Labelled rows that it learns from at most, half of each label.
 LEARN_ROWS = 1600
@@ -87,7 +89,8 @@ class Scorer(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        self[word] = out = float(self.logit[subwords(word)].mean())
+        rows = subwords(word)
+        self[word] = out = float(self.logit[rows].sum() / max(len(rows), LEAST_GRAMS))
         return out
 
     def score(self, text: str) -> float:
@@ -123,12 +126,12 @@ def fit(rows: list[tuple[str, int]], seed: int = SEED, epochs: int = EPOCHS) ->
             ids, starts, size = bags[i]
             lo, hi, over = 0, len(size), max(PASSAGE, len(size))
             if epoch >= WHOLE and len(size) > PASSAGE:
-                _, lo, hi = worst_passage(np.add.reduceat(gap[ids], starts) / size)
+                _, lo, hi = worst_passage(np.add.reduceat(gap[ids], starts) / np.maximum(size, LEAST_GRAMS))
                 over = PASSAGE
             first = starts[lo] if hi else 0
             last = starts[hi - 1] + size[hi - 1] if hi else 0
             unique, place = np.unique(ids[first:last], return_inverse=True)
-            weight = np.repeat(1 / (size[lo:hi] * over), size[lo:hi])
+            weight = np.repeat(1 / (np.maximum(size[lo:hi], LEAST_GRAMS) * over), size[lo:hi])
             count = np.bincount(place, weight, minlength=len(unique))
             share = (SCALE * count).astype(np.float32)
             mean = share @ model.rows[unique]
