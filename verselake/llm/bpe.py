@@ -30,7 +30,9 @@ OTHER, LETTER, NUMBER, SPACE, BLANK, END = 0, 1, 2, 3, 4, 5
 #: points still owed to a contraction.
 FREE, GLUED, OWE1, OWE2 = 0, 1, 2, 3
 CHUNK_CHARS = 1 << 20
-CACHE_ENTRIES = 1 << 20
+CACHE_ENTRIES = 1 << 19
+#: Rows that are taken out of an Arrow batch at once.
+PART_ROWS = 512
 SCAN_BLOCK = 64
 #: The white space of the split pattern, and its contractions by second and third letter.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -151,15 +153,21 @@ def token_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 class Merger(dict):
-    """Cache from a slice's bytes to its ids as little-endian unsigned 32-bit integers."""
+    """Cache from a slice's bytes to its ids as little-endian unsigned 32-bit integers. Half of the entries are the older
+    generation, from which slices that come again move to the newer one."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
 
     def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= CACHE_ENTRIES // 2:
+            self.older = dict(self)
             self.clear()
+        known = self.older.get(piece)
+        if known is not None:
+            self[piece] = known
+            return known
         whole = self.ranks.get(piece)
         ids = [whole] if whole is not None else self._merge(piece) if len(piece) <= 64 else self._merge_long(piece)
         self[piece] = out = np.array(ids, "<u4").tobytes()
@@ -280,16 +288,20 @@ def decode_ids(ids: bytes, offsets: bytes, path: str) -> bytes:
     return pool[np.arange(total) + shift].tobytes()
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(i, PART_ROWS) for i in range(0, batch.num_rows, PART_ROWS))
+
+
 def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids binary, offsets binary) of each row; see the module for both formats."""
     chosen = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = chosen.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for batch in parts(batches):
             ids, offsets, done, held = [], [], 0, 0
-            for a, b in encode_texts(texts, ranks_path):
+            for a, b in encode_texts([t or "" for t in batch.column(1).to_pylist()], ranks_path):
                 ids.append(a)
                 offsets.append(b)
                 held += len(a)
@@ -314,7 +326,7 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
     kind = chosen.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch.column(1).to_pylist()
             decoded = [decode_ids(a or b"", b or b"", ranks_path) for a, b in zip(ids, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
