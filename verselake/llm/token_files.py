@@ -206,7 +206,8 @@ def write_files(
     width = np.dtype(dtype).itemsize
     chosen = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     kind = chosen.schema["_id"].dataType.simpleString()
-    ordered = chosen.repartitionByRange("_id", "_text").sortWithinPartitions("_id", "_text")
+    # Ranges of ids alone: the sample that finds them goes to the driver, and texts must not.
+    ordered = chosen.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
 
     def run(batches):
         from pyspark import TaskContext
