@@ -108,6 +108,33 @@ def test_similar_components(spark, odd):
     assert simhash.keep_one(empty(spark)).count() == 0
 
 
+def brute_similar(rows, shingle=5):
+    sets = {i: set(simhash.shingle_hashes(t, shingle).tolist()) for i, t in rows}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {i: new if x == old else x for i, x in label.items()}
+    return label
+
+
+def test_star_of_edited_copies(spark):
+    """Variants that are near the base alone: Hamming order isn't Jaccard order."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(31, " ".join(base))]
+    for k in range(60):
+        words = list(base)
+        for p in rng.choice(300, 5, replace=False):
+            words[p] = f"v{k}x{p}"
+        rows.append((100 + k, " ".join(words)))
+    want = brute_similar(rows)
+    assert len(set(want.values())) < 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component for r in simhash.similar_components(df, "doc_id", "text").collect()} == want
+
+
 def test_decontaminate(spark, odd):
     item = " ".join(f"i{k}" for k in range(50))
     edited = item.replace("i25", "other")

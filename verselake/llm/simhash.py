@@ -202,8 +202,8 @@ def spanning(rep: np.ndarray, forest: BKForest, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"u": rep[node], "v": rep[root]})
 
 
-def shard_links(shards: DataFrame, radius: int, linker=spanning) -> DataFrame:
-    """(u, v): links between the reps of classes that share a shard; by default those that span what it connects."""
+def shard_links(shards: DataFrame, radius: int) -> DataFrame:
+    """(u, v): links between the reps of classes that share a shard, those that span what it connects."""
     key = ["s0", "s1", "s2", "s3"]
 
     def links(gathered: list[pd.DataFrame], tail: bool) -> tuple[pd.DataFrame | None, list[pd.DataFrame]]:
@@ -217,7 +217,7 @@ def shard_links(shards: DataFrame, radius: int, linker=spanning) -> DataFrame:
         part = all_rows.iloc[:whole]
         rep = part["rep"].to_numpy()
         forest = BKForest(part["fp"].to_numpy().view(np.uint64), code[:whole])
-        return linker(rep, forest, radius), [all_rows.iloc[whole:]]
+        return spanning(rep, forest, radius), [all_rows.iloc[whole:]]
 
     def run(frames):
         gathered, held = [], 0
@@ -260,10 +260,10 @@ def components_of(prints: DataFrame, id_col: str, radius: int, shard_rows: int =
 
 
 # Near-duplicates by similarity. A pair as similar as 0.8 differs in about ten bits of its fingerprints, too many for
-# bit blocks to deal shards by. Here a shard is a value of one of KEYS min-hashes of the shingles, which such a pair
-# misses altogether with a chance of 0.2 ** KEYS; the shard's BK-tree is searched within WIDE bits, and every link that it
-# proposes is verified by the exact Jaccard similarity of the shingle sets.
-KEYS, WIDE, SIMILAR = 8, 16, 0.8
+# bit blocks to deal shards by, and no radius holds all such pairs. Here a shard is a value of one of KEYS min-hashes of the
+# shingles, which such a pair misses altogether with a chance of 0.2 ** KEYS; within a shard every pair that verified links
+# don't connect yet is held to the exact Jaccard similarity of the shingle sets, whatever its fingerprints.
+KEYS, SIMILAR = 8, 0.8
 _SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, (2, KEYS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -277,69 +277,112 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id_col, fp, folded, mins): fingerprint, hash of the folded words, and min-hashes."""
+    """(id_col, fp, folded, mins, size): fingerprint, hash of the folded words, min-hashes, and number of shingles."""
     chosen = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
         for batch in batches:
-            fps, folded, mins = [], [], []
+            fps, folded, mins, sizes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, shingle)
                 fps.append(majority(hashes))
-                folded.append(xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()), SEED))
+                folded.append(folded_hash(text))
                 mins.append(least_hashes(hashes))
+                sizes.append(len(hashes))
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             lists = pa.ListArray.from_arrays(np.arange(0, KEYS * len(mins) + 1, KEYS, dtype=np.int32), np.concatenate(mins)) if mins else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), longs(fps), longs(folded), lists], ["_id", "fp", "folded", "mins"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), longs(fps), longs(folded), lists, pa.array(sizes, pa.int64())], ["_id", "fp", "folded", "mins", "size"])
 
-    return chosen.mapInArrow(run, "_id long, fp long, folded long, mins array<long>").withColumnRenamed("_id", id_col)
+    return chosen.mapInArrow(run, "_id long, fp long, folded long, mins array<long>, size long").withColumnRenamed("_id", id_col)
+
+
+def folded_hash(text: str | None) -> int:
+    return xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()), SEED)
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, set): the distinct shingle hashes of each row."""
-    chosen = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("_text"))
+    """(rep, folded, set): the distinct shingle hashes of each row."""
+    chosen = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+            texts = batch.column(1).to_pylist()
+            folded = np.array([folded_hash(t) for t in texts], np.uint64).view(np.int64)
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folded), pa.array(sets, pa.list_(pa.int64()))], ["rep", "folded", "set"])
 
-    return chosen.mapInArrow(run, "node long, set array<long>")
+    return chosen.mapInArrow(run, "rep long, folded long, set array<long>")
 
 
 def dealt_by_least(classes: DataFrame, shard_rows: int) -> DataFrame:
     """Classes by each min-hash; those of a crowded value by that and one of the next two min-hashes."""
-    dealt = classes.select("fp", "rep", "mins", F.posexplode("mins").alias("s0", "s1"))
+    dealt = classes.select("rep", "folded", "mins", F.posexplode("mins").alias("s0", "s1"))
     crowded = dealt.groupBy("s0", "s1").count().filter(F.col("count") > shard_rows).select("s0", "s1", F.lit(True).alias("crowded"))
     following = F.array(*(F.get("mins", F.pmod(F.col("s0") + i, F.lit(KEYS))) for i in (1, 2)))
     marked = dealt.join(crowded, ["s0", "s1"], "left")
     values = F.when(F.col("crowded"), following).otherwise(F.array(F.lit(-1).cast("long")))
-    return marked.select("s0", "s1", F.posexplode(values).alias("s2", "s3"), "fp", "rep")
-
-
-def close_pairs(rep: np.ndarray, forest: BKForest, radius: int) -> pd.DataFrame:
-    """For each class of a tree its nearest neighbour within the radius, and the neighbour with the least rep."""
-    n = len(rep)
-    near, near_bits = np.full(n, -1), np.full(n, BITS + 1)
-    least = np.arange(n)
-    size = np.bincount(forest.root, minlength=n)[forest.root]
-    order = np.argsort(forest.root, kind="stable")
-    cut = np.cumsum(size[order]) // SEARCH_PAIRS
-    for block in np.split(order, np.flatnonzero(np.diff(cut)) + 1):
-        for q, node in forest.search(block, radius):
-            other = q != node
-            q, node = q[other], node[other]
-            bits = popcount(forest.fps[q] ^ forest.fps[node])
-            far_first = np.lexsort((-rep[node], -bits.astype(np.int64), q))
-            fq, fn, fb = q[far_first], node[far_first], bits[far_first]
-            better = fb < near_bits[fq]
-            near[fq[better]], near_bits[fq[better]] = fn[better], fb[better]
-            by_rep = np.lexsort((-rep[node], q))
-            smaller = rep[node[by_rep]] < rep[least[q[by_rep]]]
-            least[q[by_rep][smaller]] = node[by_rep][smaller]
-    q = np.arange(n)
-    one, two = near >= 0, least != q
-    return pd.DataFrame({"u": np.concatenate([rep[q[one]], rep[q[two]]]), "v": np.concatenate([rep[near[one]], rep[least[two]]])})
+    return marked.select("s0", "s1", F.posexplode(values).alias("s2", "s3"), "rep", "folded")
+
+
+def linked(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links that span what the pairs of at least this Jaccard similarity connect. Sets that share most come first; a
+    set is held against all others at once, by the postings of its members, unless it is linked to all it could be."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(n), size)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    postings = owner[np.argsort(code, kind="stable")]
+    end = np.cumsum(count)
+    at = np.concatenate([[0], np.cumsum(size)])
+    weight = np.bincount(owner, weights=count[code], minlength=n)
+    label, waiting = np.arange(n), np.ones(n, bool)
+    us: list[int] = []
+    vs: list[int] = []
+    for q in np.argsort(-weight, kind="stable").tolist():
+        waiting[q] = False
+        open_ = waiting & (label != label[q])
+        if not open_.any():
+            continue
+        mine = code[at[q] : at[q + 1]]
+        width = count[mine]
+        total = int(width.sum())
+        where = np.arange(total) + np.repeat(end[mine] - np.cumsum(width), width)
+        shared = np.bincount(postings[where], minlength=n)
+        hits = np.flatnonzero(open_ & (shared / np.maximum(size[q] + size - shared, 1) >= similarity))
+        if len(hits):
+            joined, first = np.unique(label[hits], return_index=True)
+            us += [q] * len(first)
+            vs += hits[first].tolist()
+            label[np.isin(label, joined)] = label[q]
+    return us, vs
+
+
+def cell_links(cells: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links between the reps of classes (s0..s3, rep, set) that share a cell, verified exactly."""
+    key = ["s0", "s1", "s2", "s3"]
+
+    def run(batches):
+        now, reps, sets = None, [], []
+
+        def links():
+            us, vs = linked(sets, similarity) if len(sets) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array([reps[i] for i in us], pa.int64()), pa.array([reps[i] for i in vs], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            rep, at = batch.column(4).to_pylist(), batch.column(5).offsets.to_numpy()
+            flat = batch.column(5).values.to_numpy()
+            for i, cell in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+                if cell != now:
+                    if len(sets) > 1:
+                        yield links()
+                    now, reps, sets = cell, [], []
+                reps.append(rep[i])
+                sets.append(flat[at[i] : at[i + 1]])
+        if len(sets) > 1:
+            yield links()
+
+    placed = cells.select(*key, "rep", "set").repartition(*key).sortWithinPartitions(*key)
+    return placed.mapInArrow(run, "u long, v long")
 
 
 def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = SIMILAR, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -347,17 +390,11 @@ def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
     them. Rows without an id have a null component."""
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     prints = written(sketches(rows, "doc", "text", shingle), "sketches")
-    classes = written(prints.filter("doc is not null").groupBy("folded", "fp", "mins").agg(F.min("doc").alias("rep")), "classes")
-    pairs = written(shard_links(dealt_by_least(classes, shard_rows), WIDE, close_pairs).filter("u <> v").distinct(), "pairs")
-    nodes = pairs.select(F.col("u").alias("doc")).union(pairs.select(F.col("v").alias("doc"))).distinct()
-    texts = rows.join(nodes, "doc", "left_semi").dropDuplicates(["doc"])
-    sets = written(shingle_sets(texts, "doc", "text", shingle), "sets")
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("set").alias(f"{side}_set"))
-    joined = pairs.join(of("u"), "u").join(of("v"), "v")
-    shared = F.size(F.array_intersect("u_set", "v_set"))
-    score = shared / F.greatest(F.size("u_set") + F.size("v_set") - shared, F.lit(1))
-    links = joined.select("u", "v", score.alias("s")).filter(F.col("s") >= similarity).select("u", "v")
-    found = connected_components(links)
+    classes = written(prints.filter("doc is not null").groupBy("folded", "fp", "mins", "size").agg(F.min("doc").alias("rep")), "classes")
+    cells = written(dealt_by_least(classes, shard_rows), "cells")
+    texts = rows.join(cells.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
+    sets = written(shingle_sets(texts, "doc", "text", shingle).dropDuplicates(["rep", "folded"]), "sets")
+    found = connected_components(cell_links(cells.join(sets, ["rep", "folded"]), similarity))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("folded", "fp", "mins", F.coalesce("component", "rep").alias("component"))
     out = prints.join(named, ["folded", "fp", "mins"], "left")
     return out.select(F.col("doc").alias(id_col), F.when(F.col("doc").isNotNull(), F.col("component")).alias("component"))
