@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -135,6 +136,18 @@ def test_star_of_edited_copies(spark):
     assert {r.doc_id: r.component for r in simhash.similar_components(df, "doc_id", "text").collect()} == want
 
 
+def test_crowded_shard_loses_no_pair(spark):
+    """Classes that share one min-hash alone still meet, however crowded its value."""
+    rows = [(i, i, 3, [7] + [100 * i + k for k in range(1, simhash.KEYS)]) for i in range(1, 30)]
+    classes = spark.createDataFrame(rows, "rep long, folded long, size long, mins array<long>").withColumn("fp", F.col("rep"))
+    for crowd in (2048, 4):
+        held = {}
+        for r in simhash.dealt_by_least(classes, crowd).collect():
+            held.setdefault((r.s0, r.s1, r.s2, r.s3), set()).add(r.rep)
+        assert all(any({a, b} <= c for c in held.values()) for a in range(1, 30) for b in range(1, a))
+        assert max(map(len, held.values())) <= (29 if crowd > 29 else 22)
+
+
 def test_decontaminate(spark, odd):
     item = " ".join(f"i{k}" for k in range(50))
     edited = item.replace("i25", "other")
@@ -152,6 +165,32 @@ def test_decontaminate(spark, odd):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def brute_windows(doc, item, k=5, limit=0.8):
+    """Best similarity of any item-sized window, those cut by the end of the text included."""
+    grams = lambda words: [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
+    have, want = grams(doc.split()), Counter(grams(item.split()))
+    m, best = sum(want.values()), 0.0
+    for s in range(len(have)):
+        part = Counter(have[s : s + m])
+        shared = sum((part & want).values())
+        best = max(best, shared / (sum(part.values()) + m - shared))
+    return best
+
+
+def test_decontaminate_reordered_items(spark):
+    """Swapped halves, sentences in another order, and items cut by the text's ends."""
+    words = [f"i{k}" for k in range(59)]
+    item, filler = " ".join(words), " ".join(f"f{k}" for k in range(80))
+    texts = [" ".join([filler, *words[29:], *words[:29], filler]), " ".join([filler, *words[50:], *words[:50], filler]), " ".join([filler, *words[40:], *words[20:40], *words[:20], filler])]
+    texts += [" ".join([filler, *words[:-6]]), " ".join([*words[6:], filler]), " ".join(words[25:53] + words[:25]), " ".join([*words[:30], filler, *words[30:]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    want = [brute_windows(t, item) for t in texts]
+    assert want[0] >= 0.8 > want[2] and min(want) < 0.8
+    got = {r.doc_id: r.similarity for r in decontaminate.find(df, bench).collect()}
+    assert [got[i] for i in range(len(texts))] == [pytest.approx(w) if w >= 0.8 else None for w in want]
+
+
 def test_urls(spark):
     rows = [
         (1, "https://A.example.NET/en/x?q", "a.example.net", "/en/x", "example.net/en/", "allow"),

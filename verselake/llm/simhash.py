@@ -264,6 +264,8 @@ def components_of(prints: DataFrame, id_col: str, radius: int, shard_rows: int =
 # shingles, which such a pair misses altogether with a chance of 0.2 ** KEYS; within a shard every pair that verified links
 # don't connect yet is held to the exact Jaccard similarity of the shingle sets, whatever its fingerprints.
 KEYS, SIMILAR = 8, 0.8
+#: Shingles that a block of a crowded shard holds on average at most.
+BLOCK_SHINGLES = 1_000_000
 _SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, (2, KEYS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -315,13 +317,19 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
 
 
 def dealt_by_least(classes: DataFrame, shard_rows: int) -> DataFrame:
-    """Classes by each min-hash; those of a crowded value by that and one of the next two min-hashes."""
-    dealt = classes.select("rep", "folded", "mins", F.posexplode("mins").alias("s0", "s1"))
-    crowded = dealt.groupBy("s0", "s1").count().filter(F.col("count") > shard_rows).select("s0", "s1", F.lit(True).alias("crowded"))
-    following = F.array(*(F.get("mins", F.pmod(F.col("s0") + i, F.lit(KEYS))) for i in (1, 2)))
-    marked = dealt.join(crowded, ["s0", "s1"], "left")
-    values = F.when(F.col("crowded"), following).otherwise(F.array(F.lit(-1).cast("long")))
-    return marked.select("s0", "s1", F.posexplode(values).alias("s2", "s3"), "rep", "folded")
+    """(cell s0..s3, rep, folded): classes by each min-hash that another class shares. Of shards with the same members one
+    is kept. A crowded shard is cut into blocks, and each two blocks meet in one cell, so that no pair is lost."""
+    dealt = classes.select("rep", "folded", "size", F.posexplode("mins").alias("s0", "s1"))
+    one = F.xxhash64("rep", "folded")
+    shards = dealt.groupBy("s0", "s1").agg(
+        F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(one).alias("x"), F.bit_xor(F.xxhash64(one, F.lit(SEED))).alias("y")
+    ).filter("n > 1")
+    chosen = shards.groupBy("n", "total", "x", "y").agg(F.min(F.struct("s0", "s1")).alias("s"))
+    blocks = F.ceil(F.greatest(F.col("n") / max(shard_rows, 1), F.col("total") / BLOCK_SHINGLES)).cast("long")
+    marked = dealt.join(chosen.select("s.s0", "s.s1", F.least(blocks, F.col("n")).alias("blocks")), ["s0", "s1"])
+    own = F.pmod(F.xxhash64(F.lit(SEED), "rep", "folded"), F.col("blocks"))
+    met = marked.select("s0", "s1", "rep", "folded", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return met.select("s0", "s1", F.least("own", "other").alias("s2"), F.greatest("own", "other").alias("s3"), "rep", "folded")
 
 
 def linked(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
