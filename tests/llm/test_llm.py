@@ -257,6 +257,17 @@ def test_html(spark):
     assert sorted(r.n_chars for r in html_text.extract(df).collect())[:3] == [0, 0, 2] and html_text.extract(df.filter("false")).count() == 0
 
 
+def test_html_region_is_the_whole_article():
+    """A heading and an introduction beside the block that holds over nine tenths of the text."""
+    body = "".join(f"<p>{'long text of the article ' * 20}{i}</p>" for i in range(12))
+    for tag in ("div", "section", "blockquote", "ul", "table"):
+        inner = {"ul": f"<ul><li>{body}</li></ul>", "table": f"<table><tr><td>{body}</td></tr></table>"}.get(tag, f"<{tag}>{body}</{tag}>")
+        for outer in ("article", "div", "body"):
+            page = f"<body><{outer}><h1>Head</h1><p>An introduction of a few words, by someone.</p>{inner}<p>End note.</p></{outer}></body>"
+            got = html_text.main_text(page).split("\n\n")
+            assert got[:2] == ["Head", "An introduction of a few words, by someone."] and got[-1] == "End note." and len(got) == 15
+
+
 def test_token_files(spark, odd, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     plain = tokenizers.Tokenizer.from_file(WORDS)

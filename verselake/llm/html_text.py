@@ -3,8 +3,8 @@
 The standard library's parser is fed in pieces; its events build lines (one for each block element) that hold text, the
 number of tags seen while the line was open, and the chain of containers around it. A line's text-to-tag ratio is
 smoothed by a Gaussian over its neighbours; lines above the threshold (a share of the ratios' standard deviation) are
-clustered, and the content region is the innermost container with nearly all of the clustered text. Every line of the
-region is kept, short ones and headings too, but for what is marked as something else: menus, headers and footers,
+clustered, and the content region is the innermost container with all of the clustered text, or the outermost article
+or main element around it. Every line of the region is kept, short ones and headings too, but for what is marked as something else: menus, headers and footers,
 sidebars, notices, adverts, forms, comments.
 
 Defined results: null and empty pages give an empty text; broken markup is read as far as the parser goes; repeated rows
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 PIECE = 1 << 16
 #: Width of the Gaussian in lines, and the threshold in standard deviations of the smoothed ratios.
 SIGMA, THRESHOLD = 1.0, 0.5
-#: The region must hold this share of the clustered text.
-REGION_SHARE = 0.9
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th "
@@ -51,7 +49,8 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, chain of containers) for each block of text that isn't skipped."""
+    """Collects (text, tags, chain of containers) for each block of text that isn't skipped. Articles and main elements
+    have negative numbers in the chain."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -108,7 +107,7 @@ class Lines(HTMLParser):
             self.serial += tag in CONTAINERS
             self.open.append((tag, len(self.chain)))
             if tag in CONTAINERS:
-                self.chain += (self.serial,)
+                self.chain += (-self.serial if tag in ("article", "main") else self.serial,)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag in BLOCKS:
@@ -162,14 +161,12 @@ def content_lines(lines: list[tuple[str, int, tuple[int, ...]]]) -> list[str]:
     ratios = np.array([len(t) / max(1, tags) for t, tags, _ in lines])
     smooth = smoothed(ratios)
     chosen = smooth >= THRESHOLD * smooth.std()
-    held: dict[tuple[int, ...], int] = {}
-    total = 0
-    for (text, _, chain), good in zip(lines, chosen):
-        if good:
-            total += len(text)
-            for k in range(len(chain) + 1):
-                held[chain[:k]] = held.get(chain[:k], 0) + len(text)
-    region = max((c for c, n in held.items() if n >= REGION_SHARE * total), key=len, default=())
+    chains = [chain for (_, _, chain), good in zip(lines, chosen) if good]
+    region = chains[0] if chains else ()
+    for chain in chains:
+        same = next((k for k, (a, b) in enumerate(zip(region, chain)) if a != b), min(len(region), len(chain)))
+        region = region[:same]
+    region = next((region[: k + 1] for k, c in enumerate(region) if c < 0), region)
     return [t for t, _, chain in lines if chain[: len(region)] == region]
 
 
