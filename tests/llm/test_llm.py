@@ -268,6 +268,28 @@ def test_html_region_is_the_whole_article():
             assert got[:2] == ["Head", "An introduction of a few words, by someone."] and got[-1] == "End note." and len(got) == 15
 
 
+def test_html_skipped_elements_end():
+    """Skipped elements without an end tag, and a form around the page, don't take the article."""
+    one, two = "A long first paragraph of the article. " * 5, "A long second paragraph of it. " * 5
+    want = f"{one.strip()}\n\n{two.strip()}"
+    rest = f"<p>{one}</p><p>{two}</p>"
+    for page in (
+        f'<div><p class="ad">Buy <b>now{rest}</div>',
+        f'<div><p class="ad">Buy now<div>{rest}</div></div>',
+        f'<ul><li class="share">Share it<li class="share">Mail it</ul>{rest}',
+        f'<div><ul><li class="share"><div>Share it</ul>{rest}</div>',
+        f'<ul><li>{one}<p class="ad">Buy now<li>{two}</ul>',
+        f'<ul><li class="share">Share<ul><li>a<li>b</ul><li>{one}<li>{two}</ul>',
+        f'<div><div class="ad">Buy now</p></b></section></div>{rest}</div>',
+        f'<div><section><div class="ad">Buy now</section>{rest}</div>',
+        f"<html><head><title>T</title><body>{rest}</body></html>",
+        f'<body><form id="form1" role="form"><div>{rest}</div><input></form></body>',
+        f"<body><form><article>{rest}</article><div class=nav>x</div></form></body>",
+        f"<body>{rest}<form><p>Your name here</p></form></body>",
+    ):
+        assert html_text.main_text(page) == want, page
+
+
 def test_token_files(spark, odd, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     plain = tokenizers.Tokenizer.from_file(WORDS)

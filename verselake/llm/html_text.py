@@ -47,6 +47,11 @@ CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|story|entry)(?:$
 ROLES = frozenset("banner complementary contentinfo dialog alert form menu menubar navigation search".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+#: Start tags that end an open paragraph, what keeps an end from being implied through it, and tags that don't end a head.
+ENDS_P = BLOCKS - frozenset("body caption dd dt html legend li option tbody td tfoot th thead tr".split())
+SCOPES = frozenset("button caption dialog dl object ol select table template ul".split())
+IN_HEAD = frozenset("base basefont link meta noscript script style template title".split())
+
 
 class Lines(HTMLParser):
     """Collects (text, tags, chain of containers) for each block of text that isn't skipped. Articles and main elements
@@ -60,7 +65,8 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
         self.serial = 0
-        self.skip, self.depth = "", 0
+        self.inner: list[str] = []  # the skipped element and what is open in it
+        self.forms: dict[int, bool] = {}  # whether a form holds an article or main element
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -71,10 +77,10 @@ class Lines(HTMLParser):
     def _skips(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in ("html", "body", "article", "main"):
             return False
-        if tag in SKIPPED:
+        if tag in SKIPPED and tag != "form":
             return True
         of = dict(attrs)
-        if "hidden" in of or of.get("aria-hidden") == "true" or (of.get("role") or "").lower() in ROLES:
+        if "hidden" in of or of.get("aria-hidden") == "true" or (of.get("role") or "").lower() in (ROLES - {"form"} if tag == "form" else ROLES):
             return True
         if re.search(r"display\s*:\s*none", of.get("style") or "", re.I):
             return True
@@ -85,10 +91,27 @@ class Lines(HTMLParser):
         names = f"{of.get('class') or ''} {of.get('id') or ''}".lower()
         return bool(names.strip()) and bool(MARKED.search(names)) and not CONTENT.search(names)
 
+    def _ends_skip(self, tag: str) -> bool:
+        """Whether a start tag ends the skipped element; closes what it implies within."""
+        if tag == "body" or (self.inner == ["head"] and tag not in IN_HEAD):
+            return True
+        names = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
+        for i in range(len(self.inner) - 1, -1, -1):
+            if self.inner[i] in names:
+                del self.inner[i:]
+                return not self.inner
+            if self.inner[i] in SCOPES or (self.inner[i] in BLOCKS and self.inner[i] not in ("p", "div", "address")):
+                return False
+        # A paragraph in an open item or cell ends with it; a division doesn't.
+        return self.inner[0] not in CONTAINERS and any(n == self.open[-1][0] for n in names - {"p"} if self.open)
+
     def handle_starttag(self, tag, attrs):
-        if self.skip:
-            self.depth += tag == self.skip
-            return
+        if self.inner:
+            if not self._ends_skip(tag):
+                if tag not in VOID:
+                    self.inner.append(tag)
+                return
+            self.inner = []
         if tag in BLOCKS:
             self.end_line()
             for name in CLOSES.get(tag, ()):
@@ -101,10 +124,14 @@ class Lines(HTMLParser):
             return
         if self._skips(tag, attrs):
             self.text.append(" ")
-            self.skip, self.depth = tag, 1
+            self.inner = [tag]
             return
         if tag in BLOCKS:
             self.serial += tag in CONTAINERS
+            if tag == "form":
+                self.forms[self.serial] = False
+            elif tag in ("article", "main"):
+                self.forms.update((c, True) for c in self.chain if c in self.forms)
             self.open.append((tag, len(self.chain)))
             if tag in CONTAINERS:
                 self.chain += (-self.serial if tag in ("article", "main") else self.serial,)
@@ -116,11 +143,14 @@ class Lines(HTMLParser):
                 self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.skip:
-            self.depth -= tag == self.skip
-            if not self.depth:
-                self.skip = ""
-            return
+        if self.inner:
+            at = next((i for i in range(len(self.inner) - 1, -1, -1) if self.inner[i] == tag), -1)
+            if at >= 0:
+                del self.inner[at:]
+                return
+            if tag == "p" or not any(t == tag for t, _ in self.open):
+                return
+            self.inner = []  # the end of a container around the skipped element
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
@@ -134,7 +164,7 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not self.skip:
+        if not self.inner:
             self.text.append(data)
 
 
@@ -144,7 +174,19 @@ def read_lines(html: str) -> list[tuple[str, int, tuple[int, ...]]]:
         parser.feed(html[i : i + PIECE])
     parser.close()
     parser.end_line()
-    return parser.lines
+    return without_forms(parser.lines, parser.forms)
+
+
+def without_forms(lines: list[tuple[str, int, tuple[int, ...]]], forms: dict[int, bool]) -> list[tuple[str, int, tuple[int, ...]]]:
+    """Lines outside forms, and of forms that hold an article or main element, or most of the page's text."""
+    total = sum(len(text) for text, _, _ in lines)
+    held: dict[int, int] = {}
+    for text, _, chain in lines:
+        for c in chain:
+            if c in forms:
+                held[c] = held.get(c, 0) + len(text)
+    gone = {c for c, n in held.items() if not forms[c] and 2 * n <= total}
+    return [line for line in lines if not gone.intersection(line[2])]
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
