@@ -153,3 +153,25 @@ def test_registry(spark):
     rows = spark.createDataFrame([(0, "a", "m1", "asr"), (1, "a", "m2", "asr"), (2, "bad id!", "m", "asr"), (3, "c", "m3", "nope")], "pos int, id string, model string, kind string")
     assert [(r.id, r.model) for r in registry.valid(rows).collect()] == [("a", "m1")]
     assert registry.active(rows, "m2").first().active == "a" and registry.active(rows, "zz").first().active == "current"
+
+
+def brute_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_rates_read_whole_texts(spark):
+    """Texts that differ after their first 60 characters only, or in characters beyond ASCII only."""
+    from verselake.plans import catalog
+
+    texts = ["same start " * 8 + "ends one way", "same start " * 8 + "ends in another way", "caf\u00e9 \u597d", "cafe \u4f60\U0001f600"]
+    df = spark.createDataFrame([(k // 2, k % 2, "user", x) for k, x in enumerate(texts)], "conv_id long, turn int, role string, text string")
+    want = sum(brute_edits(*texts[k : k + 2]) for k in (0, 2)) / sum(len(texts[k]) for k in (0, 2))
+    one, more = catalog.cer_micro(lambda _: df).first(), catalog.mer_micro(lambda _: df).first()
+    assert one.cer == round(want, 6) and more.cer == round(want, 5) and one.wer_compat == more.wer_compat == 1.0
+    words = [x.split() for x in texts]
+    assert more.n == 2 and more.wer_token > 0 and brute_edits(words[0], words[1]) == 2

@@ -207,10 +207,9 @@ def gloss_strip(t):
 
 
 def _pairs(t) -> DataFrame:
-    """Each turn's text against the next turn's, cut to 60 characters, ASCII only."""
+    """Each turn's text against the next turn's, whole and with all characters."""
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    cut = lambda c: F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", ""), 1, 60)
-    return t("conversations").withColumn("n", nxt).filter("n is not null").select("conv_id", "role", cut(F.col("text")).alias("ref"), cut(F.col("n")).alias("hyp"))
+    return t("conversations").withColumn("hyp", nxt).filter("hyp is not null").select("conv_id", "role", F.coalesce("text", F.lit("")).alias("ref"), "hyp")
 
 
 _PAIRS = """
