@@ -124,12 +124,12 @@ def test_star_of_edited_copies(spark):
     """Variants that are near the base alone: Hamming order isn't Jaccard order."""
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(300)]
-    rows = [(31, " ".join(base))]
+    rows = [(161, " ".join(base))]
     for k in range(60):
         words = list(base)
         for p in rng.choice(300, 5, replace=False):
             words[p] = f"v{k}x{p}"
-        rows.append((100 + k, " ".join(words)))
+        rows.append((100 + 2 * k, " ".join(words)))
     want = brute_similar(rows)
     assert len(set(want.values())) < 10
     df = spark.createDataFrame(rows, "doc_id long, text string")
