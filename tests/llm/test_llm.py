@@ -293,7 +293,6 @@ def test_html_skipped_elements_end():
 def test_token_files(spark, odd, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     plain = tokenizers.Tokenizer.from_file(WORDS)
-    plain.encode_special_tokens = True
     manifest = token_files.write_files(odd, WORDS, 2, seq_len=64, folder=f"file://{tmp_path}/f")
     rows = token_files.read_files(manifest).orderBy(F.asc_nulls_first("doc_id"), "start").collect()
     at, docs = 0, sorted(((-1 if i is None else i, t or "") for i, t, _ in ODD))
@@ -311,9 +310,8 @@ def test_token_files(spark, odd, tmp_path):
 def test_words_equal_library():
     tokenizers = pytest.importorskip("tokenizers")
     plain = tokenizers.Tokenizer.from_file(WORDS)
-    plain.encode_special_tokens = True
     rng = np.random.default_rng(4)
-    alphabet = [*"abXYé .,'-!09\n\t", "İ", "ß", "\u00a0", "\u0301", "好", "<|endoftext|>", "'s", "'LL", "\x1c"]
+    alphabet = [*"abXYé .,'-!09\n\t", "İ", "ß", "\u00a0", "\u0301", "好", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|", "'s", "'LL", "\x1c"]
     texts = ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(2000)]
     for text, ids in zip(texts, token_files.tokenised(texts, WORDS, "<u2")):
         assert np.frombuffer(ids, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids

@@ -6,7 +6,8 @@ A row sits at a known place of a mapped file, so any sequence is read without a
 names its file and its place in it; files of a repeated task get a name of their own, and only files in the manifest count.
 
 Tokenising splits a text at ASCII white space, where no token of this vocabulary crosses, and asks the tokenizers library
-once for each distinct word of a batch; words and ids are cached up to a bound.
+once for each distinct word of a batch; words and ids are cached up to a bound. A word that holds an added token of the
+vocabulary goes to the library as it is, which takes that token out as its id.
 
 Defined results: a null text is an empty text (only the end id); rows with one id are ordered by their text; null ids
 come first; other columns are ignored, whatever their names; an empty table gives an empty table and no file.
@@ -40,9 +41,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
 
 
 class Words(dict):
@@ -53,20 +52,25 @@ class Words(dict):
         self.tokenizer, self.dtype = tokenizer(path), dtype
         ends = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.word_end = np.array([t.endswith("</w>") for t in ends], bool)
+        # Added tokens are looked for before letters are lower-cased; what may hold one in either case is left as it is.
+        added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
 
     def _plain(self, word: str) -> bool:
         """One pre-token for sure: Latin letters that lower-case to single letters."""
         return word.isalpha() and (word.isascii() or (max(word) < "ɐ" and "İ" not in word))
 
     def learn(self, words: set[str]) -> None:
-        new = words - self.keys()
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
-            new = words
+            new = list(words)
         parts: dict[str, tuple[str, ...]] = {}
         ask = set()
         for w in new:
             low = w.lower() if w.isascii() else w
+            if "<" in w and self.added.search(low):
+                low = w
             if len(low) > 1 and low[-1] in ENDINGS and self._plain(low[:-1]):
                 parts[w] = (low[:-1], low[-1])
             elif low != w:
@@ -83,8 +87,10 @@ class Words(dict):
                 ask.update(some)
                 self._each(some)
                 continue
-            for w, part in zip(some, np.split(ids.astype(self.dtype), cuts[:-1])):
-                self[w] = part.tobytes()
+            joined = ids.astype(self.dtype).tobytes()
+            edges = [0, *(cuts * np.dtype(self.dtype).itemsize).tolist()]
+            for w, a, b in zip(some, edges, edges[1:]):
+                self[w] = joined[a:b]
         self._each([w for w in ask if w not in self])
         for w, p in parts.items():
             self[w] = b"".join(self[x] for x in p)
@@ -170,10 +176,14 @@ class Reader:
         self.source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
         self.file = pa.ipc.open_file(self.source)
         self.seq_len = self.file.schema.field("ids").type.list_size
+        self.last: tuple[int, tuple[np.ndarray, pa.BooleanArray]] = (-1, (np.zeros(0), pa.array([], pa.bool_())))
 
     def batch(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
-        got = self.file.get_batch(i)
-        return got.column(0).values.to_numpy(zero_copy_only=True), got.column(1).values
+        """Ids and masks of batch i, end to end; the last batch asked for is kept."""
+        if self.last[0] != i:
+            got = self.file.get_batch(i)
+            self.last = (i, (got.column(0).values.to_numpy(zero_copy_only=True), got.column(1).values))
+        return self.last[1]
 
     def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
         ids, mask = self.batch(row // BATCH_ROWS)
