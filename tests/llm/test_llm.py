@@ -319,7 +319,7 @@ def test_words_equal_library():
 
 def test_sharding(spark, odd):
     rng = np.random.default_rng(6)
-    texts = [f"t{k} " * int(rng.integers(1, 60)) for k in range(900)] + ["hot text"] * 450 + [None, ""]
+    texts = [f"t{k} " * int(rng.integers(1, 60)) for k in range(900)] + ["hot text"] * 450 + ["warm text " * 9] * 60 + [None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("shard", F.lit("clash"))
     rows = sharding.assign(df).collect()
     assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
@@ -345,12 +345,31 @@ def labelled_rows(n=240):
             words[int(rng.integers(0, len(words)))] = f"vequ{''.join(rng.choice([*'abcd'], 2))}"
             words[int(rng.integers(0, len(words)))] = f"vequ{''.join(rng.choice([*'abcd'], 2))}"
         rows.append((i, ("%%% " if bad else " ").join(words), int(not bad), int(toxic)))
+    placed = {}
+    for r in rows:
+        placed.setdefault(texts[r.doc_id] or "", set()).add(r.shard)
+    assert {len(v) for k, v in placed.items() if k != "hot text"} == {1} and 1 < len(placed["hot text"]) <= 4
     return rows
 
 
 def test_classifiers(spark, odd):
     rows = labelled_rows()
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+def test_pack_is_the_rule():
+    """Brute force: each item in turn, largest first, to the fitting shard of the highest dot product."""
+    rng = np.random.default_rng(12)
+    vectors = rng.gamma(0.7, 1.0, (200, 3)) * [100, 20, 1]
+    share = vectors / vectors.sum(axis=0)
+    room = [[1 / 5] * 3 for _ in range(5)]
+    want = [0] * 200
+    for i in sorted(range(200), key=lambda i: (-max(share[i]), i)):
+        fits = [s for s in range(5) if room[s][0] >= share[i][0]]
+        dot = {s: sum(a * b for a, b in zip(room[s], share[i])) for s in fits}
+        want[i] = max(fits, key=lambda s: (dot[s], -s)) if fits else max(range(5), key=lambda s: (room[s][0], -s))
+        room[want[i]] = [a - b for a, b in zip(room[want[i]], share[i])]
+    assert sharding.pack(vectors, 5).tolist() == want
+
+
     labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
     for module, k in ((quality_cnn, 2), (toxicity, 3)):
         out = {r.doc_id: r for r in module.classify(docs, labels).collect()}
