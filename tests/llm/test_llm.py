@@ -50,6 +50,8 @@ def test_bpe_equals_tiktoken(spark, odd):
         assert bpe.decode_ids(ids[:n], offsets[:n], RANKS) + bpe.decode_ids(ids[n:], offsets[n:], RANKS) == text.encode()
     rows = bpe.digests(odd, RANKS).collect()
     want = sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in ODD)
+    apart = {(r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in bpe.decode(bpe.encode(odd, RANKS), RANKS).collect()}
+    assert apart == {(r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in bpe.round_trip(odd, RANKS).collect()}
     assert sorted((str(r.doc_id), r.decoded_sha256) for r in rows) == want
     assert bpe.digests(empty(spark), RANKS).count() == 0
 

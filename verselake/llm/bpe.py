@@ -3,12 +3,12 @@
 Pre-tokenisation finds every boundary of a whole batch of texts at once, without a regular expression: code points
 are mapped to classes by a lookup array, each class (with what follows it) is a transition function over four states,
 and an associative scan composes these functions, so the state before every code point is known without a loop over
-code points. The slices between boundaries go through pair merging once per distinct slice (cached); the byte offset
-of every token is kept and lets the decoder place any range of tokens.
+code points. The slices between boundaries go through pair merging once per distinct slice (cached, within a bound in
+bytes); the byte offset of every token is kept and lets the decoder place any range of tokens.
 
 Defined results: a null text is an empty text (no ids); repeated rows give repeated rows; null ids are kept; columns
 other than the id and text columns are ignored, whatever their names; an empty table gives an empty table. Memory
-grows with the batch (about a million code points, or the longest single text).
+grows with the batch (about a quarter of a million code points, or the longest single text).
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ OTHER, LETTER, NUMBER, SPACE, BLANK, END = 0, 1, 2, 3, 4, 5
 #: Automaton states: FREE (the next code point is not glued), GLUED (a symbol joins what precedes), and the code
 #: points still owed to a contraction.
 FREE, GLUED, OWE1, OWE2 = 0, 1, 2, 3
-CHUNK_CHARS = 1 << 20
-CACHE_ENTRIES = 1 << 19
-#: Rows that are taken out of an Arrow batch at once.
-PART_ROWS = 512
+CHUNK_CHARS = 1 << 18
+#: Bytes that one generation of the cache of slices may hold, what an entry costs beside its own bytes, and the longest
+#: slice that is kept.
+CACHE_BYTES, ENTRY_BYTES, CACHED_SLICE = 48 << 20, 200, 64
+#: Rows that are taken out of an Arrow batch at once, and tokens that are decoded at once.
+PART_ROWS, DECODE_TOKENS = 256, 1 << 16
 SCAN_BLOCK = 64
 #: The white space of the split pattern, and its contractions by second and third letter.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -153,26 +155,29 @@ def token_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 class Merger(dict):
-    """Cache from a slice's bytes to its ids as little-endian unsigned 32-bit integers. Half of the entries are the older
+    """Cache from a slice's bytes to its ids as little-endian unsigned 32-bit integers. What is full becomes the older
     generation, from which slices that come again move to the newer one."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks, self.older = ranks, {}
+        self.ranks, self.older, self.held = ranks, {}, 0
 
     def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES // 2:
-            self.older = dict(self)
+        if len(piece) > CACHED_SLICE:
+            return self._ids(piece)
+        if self.held >= CACHE_BYTES:
+            self.older, self.held = dict(self), 0
             self.clear()
         known = self.older.get(piece)
-        if known is not None:
-            self[piece] = known
-            return known
-        whole = self.ranks.get(piece)
-        ids = [whole] if whole is not None else self._merge(piece) if len(piece) <= 64 else self._merge_long(piece)
-        self[piece] = out = np.array(ids, "<u4").tobytes()
+        self[piece] = out = self._ids(piece) if known is None else known
+        self.held += ENTRY_BYTES + len(piece) + len(out)
         return out
 
+    def _ids(self, piece: bytes) -> bytes:
+        whole = self.ranks.get(piece)
+        ids = [whole] if whole is not None else self._merge(piece) if len(piece) <= CACHED_SLICE else self._merge_long(piece)
+        return np.array(ids, "<u4").tobytes()
+
     def _merge(self, piece: bytes) -> list[int]:
         get = self.ranks.get
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -278,14 +283,16 @@ def encode_texts(texts: list[str], path: str) -> Iterator[tuple[bytes, bytes]]:
 def decode_ids(ids: bytes, offsets: bytes, path: str) -> bytes:
     """The bytes of a run of tokens, each placed at its offset (relative to the first)."""
     token = np.frombuffer(ids, "<u4")
-    if not len(token):
-        return b""
     pool, start, length = vocabulary(path)
     at = np.frombuffer(offsets, "<u4").astype(np.int64)
-    size = length[token]
-    total = int(at[-1] - at[0] + size[-1])
-    shift = np.repeat(start[token] - (at - at[0]), size)
-    return pool[np.arange(total) + shift].tobytes()
+    out = []
+    for i in range(0, len(token), DECODE_TOKENS):
+        some, place = token[i : i + DECODE_TOKENS], at[i : i + DECODE_TOKENS]
+        size = length[some]
+        total = int(place[-1] - place[0] + size[-1])
+        shift = np.repeat(start[some] - (place - place[0]), size)
+        out.append(pool[np.arange(total) + shift].tobytes())
+    return b"".join(out)
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,31 +300,35 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (batch.slice(i, PART_ROWS) for i in range(0, batch.num_rows, PART_ROWS))
 
 
-def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids binary, offsets binary) of each row; see the module for both formats."""
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, decoded: bool) -> Iterator[pa.RecordBatch]:
+    """(_id, ids, offsets), and the bytes that the ids decode to, of batches of (_id, _text), in parts of bounded size."""
+    names = ["_id", "ids", "offsets", "decoded"][: 3 + decoded]
+    for batch in parts(batches):
+        begin, held, rows = 0, 0, []
+        for ids, offsets in encode_texts([t or "" for t in batch.column(1).to_pylist()], path):
+            rows.append((ids, offsets, decode_ids(ids, offsets, path)) if decoded else (ids, offsets))
+            held += len(ids)
+            if held > CHUNK_CHARS * 8 or begin + len(rows) == batch.num_rows:
+                values = [pa.array(column, pa.binary()) for column in zip(*rows)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(rows)), *values], names)
+                begin, held, rows = begin + len(rows), 0, []
+
+
+def _mapped(df: DataFrame, ranks_path: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     chosen = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = chosen.schema["_id"].dataType.simpleString()
+    schema = f"_id {kind}, ids binary, offsets binary" + (", decoded binary" if decoded else "")
+    return chosen.mapInArrow(lambda batches: _encoded(batches, ranks_path, decoded), schema).withColumnRenamed("_id", id_col)
 
-    def run(batches):
-        for batch in parts(batches):
-            ids, offsets, done, held = [], [], 0, 0
-            for a, b in encode_texts([t or "" for t in batch.column(1).to_pylist()], ranks_path):
-                ids.append(a)
-                offsets.append(b)
-                held += len(a)
-                if held > CHUNK_CHARS * 8:
-                    yield _batch(batch, done, ids, offsets)
-                    done, held, ids, offsets = done + len(ids), 0, [], []
-            if ids:
-                yield _batch(batch, done, ids, offsets)
-
-    def _batch(batch, done, ids, offsets):
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).slice(done, len(ids)), pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())],
-            ["_id", "ids", "offsets"],
-        )
-
-    return chosen.mapInArrow(run, f"_id {kind}, ids binary, offsets binary").withColumnRenamed("_id", id_col)
+
+def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, ids binary, offsets binary) of each row; see the module for both formats."""
+    return _mapped(df, ranks_path, id_col, text_col, False)
+
+
+def round_trip(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` with ``decoded``, the bytes that ids and offsets decode to, from one pass with one vocabulary."""
+    return _mapped(df, ranks_path, id_col, text_col, True)
 
 
 def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
@@ -327,19 +338,16 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches):
         for batch in parts(batches):
-            ids = batch.column(1).to_pylist()
-            decoded = [decode_ids(a or b"", b or b"", ranks_path) for a, b in zip(ids, batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], ["_id", "ids", "decoded"]
-            )
+            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            decoded = [decode_ids(a or b"", b or b"", ranks_path) for a, b in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], ["_id", "ids", "decoded"])
 
     return chosen.mapInArrow(run, f"_id {kind}, ids binary, decoded binary").withColumnRenamed("_id", id_col)
 
 
 def digests(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode, and describe both by digests."""
-    both = decode(encode(df, ranks_path, id_col, text_col), ranks_path, id_col)
-    return both.select(
+    return round_trip(df, ranks_path, id_col, text_col).select(
         id_col,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
