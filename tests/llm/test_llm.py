@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from verselake.llm import bpe, decontaminate, html_text, labelled, quality_cnn, quality_rules, sharding, simhash, token_files, toxicity, urls  # noqa: E402
+from verselake.llm.components import connected_components  # noqa: E402
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 #: Nulls in any column, empty and long texts, ties, repeated rows, and columns whose names clash with ours.
@@ -97,6 +98,19 @@ def test_simhash_components(spark, odd):
     assert simhash.majority(simhash.shingle_hashes("A  b\tC d", 3)) == h[0] & h[1]
 
 
+def test_components_of_hubs(spark):
+    """Hubs, chains, loops, repeated and reversed edges."""
+    rng = np.random.default_rng(9)
+    edges = [(500, int(i)) for i in range(1000, 1400)] + [(i, i + 1) for i in range(2000, 2040)] + [(7, 7), (9, 8), (8, 9), (8, 9)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(3000, 3200, (120, 2))]
+    want = {n: n for e in edges for n in e}
+    for _ in range(60):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got.items() <= want.items() and all(want[n] == n for n in want.keys() - got.keys())
+
+
 def test_similar_components(spark, odd):
     words = [f"w{i}" for i in range(200)]
     near = words[:100] + ["changed"] + words[101:]

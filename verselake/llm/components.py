@@ -12,20 +12,30 @@ from pyspark.sql import functions as F
 from verselake.session import written
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Each (u, v) with the least of u and all its v."""
-    least = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return edges.join(least, "u")
+#: A node with more than 1/HUBS of the edges is a hub. An edge has two ends, so fewer than 2 * HUBS + 2 nodes are, and their
+#: table may be broadcast; no hub's edges are gathered in one task.
+HUBS = 1000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Each (u, v) of up to 2 * total edges with the least of u and all its v."""
+    least = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+    is_hub = F.col("n") > max(total // HUBS, 1)
+    hubs = F.broadcast(least.filter(is_hub).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
+    marked = edges.join(hubs, F.col("u") == F.col("hub"), "left")
+    of_hubs = marked.filter("hub is not null").select("u", "v", F.col("hub_m").alias("m"))
+    rest = marked.filter("hub is null").select("u", "v").join(least.filter(~is_hub).select("u", "m"), "u")
+    return of_hubs.union(rest.select("u", "v", "m"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = _with_least(down)
+    near = _with_least(down, total)
     moved = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(near.select("u", F.col("m").alias("v")))
 
@@ -34,9 +44,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns u, v, of any orderable type without nulls); the component
     is its least node. Self-loops and repeated edges are ignored; no edges give no rows."""
     now = written(edges.select("u", "v").filter("u <> v").distinct(), "edges")
-    state = None
+    state, total = None, now.count()
     for _ in range(max_rounds):
-        now = written(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
+        # A round never adds edges, so the first count bounds them all.
+        now = written(_small_star(_large_star(now, total), total).filter("u <> v").distinct(), "edges")
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == state:
             break
