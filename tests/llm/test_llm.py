@@ -30,7 +30,7 @@ SCHEMA = "doc_id long, text string, lang string"
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    clash = {n: F.lit("clash") for n in ("_id", "_text", "ids", "fp", "n", "k", "rep", "u", "v", "score", "component", "doc", "words", "pool", "size", "b", "_row", "_kept", "_gone", "_held", "s0")}
+    clash = {n: F.lit("clash") for n in ("_id", "_text", "ids", "fp", "n", "k", "rep", "u", "v", "score", "component", "doc", "words", "pool", "size", "b", "_row", "_kept", "_gone", "_held", "s0", "least", "folded", "bands", "label", "slice")}
     return spark.createDataFrame(ODD, SCHEMA).withColumns(clash)
 
 
@@ -50,9 +50,9 @@ def test_bpe_equals_tiktoken(spark, odd):
         n = len(ids) // 8 * 4
         assert bpe.decode_ids(ids[:n], offsets[:n], RANKS) + bpe.decode_ids(ids[n:], offsets[n:], RANKS) == text.encode()
     rows = bpe.digests(odd, RANKS).collect()
-    want = sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in ODD)
     apart = {(r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in bpe.decode(bpe.encode(odd, RANKS), RANKS).collect()}
     assert apart == {(r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in bpe.round_trip(odd, RANKS).collect()}
+    want = sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in ODD)
     assert sorted((str(r.doc_id), r.decoded_sha256) for r in rows) == want
     assert bpe.digests(empty(spark), RANKS).count() == 0
 
@@ -152,16 +152,39 @@ def test_star_of_edited_copies(spark):
     assert {r.doc_id: r.component for r in simhash.similar_components(df, "doc_id", "text").collect()} == want
 
 
+def test_families_of_edited_copies(spark):
+    """Families of 40 with up to 6 of 150 words changed: components equal brute force, with and without crowded shards."""
+    rng, rows = np.random.default_rng(15), []
+    for family in range(5):
+        base = [f"f{family}w{i}" for i in range(150)]
+        for k in range(40):
+            words = list(base)
+            for p in rng.choice(150, int(rng.integers(1, 7)), replace=False):
+                words[p] = f"v{family}x{k}x{p}"
+            rows.append((int(family * 40 + k), " ".join(words)))
+    rows += [(1000, ""), (1001, "one"), (1002, "ONE"), (1003, None), (1004, "one two three four five"), (1005, "one two three four five six")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_similar([(i, t) for i, t in rows if t])
+    want |= {1000: 1000, 1003: 1000}
+    for crowd in (2048, 7):
+        assert {r.doc_id: r.component for r in simhash.similar_components(df, "doc_id", "text", shard_rows=crowd).collect()} == want
+
+
 def test_crowded_shard_loses_no_pair(spark):
-    """Classes that share one min-hash alone still meet, however crowded its value."""
-    rows = [(i, i, 3, [7] + [100 * i + k for k in range(1, simhash.KEYS)]) for i in range(1, 30)]
-    classes = spark.createDataFrame(rows, "rep long, folded long, size long, mins array<long>").withColumn("fp", F.col("rep"))
-    for crowd in (2048, 4):
-        held = {}
-        for r in simhash.dealt_by_least(classes, crowd).collect():
-            held.setdefault((r.s0, r.s1, r.s2, r.s3), set()).add(r.rep)
-        assert all(any({a, b} <= c for c in held.values()) for a in range(1, 30) for b in range(1, a))
-        assert max(map(len, held.values())) <= (29 if crowd > 29 else 22)
+    """Classes that share one band value alone still meet, however crowded it is, unless a link connects them already."""
+    rows = [(i, bytes([i]), 3, [7] + [100 * i + k for k in range(1, simhash.BANDS)]) for i in range(1, 30)]
+    classes = spark.createDataFrame(rows, "rep long, folded binary, size long, bands array<long>")
+    members = simhash.band_members(classes)
+    assert {(r.least.rep, r.rep) for r in members.collect()} == {(1, i) for i in range(1, 30)}
+    for joined in (0, 1, 20):
+        found = spark.createDataFrame([(i, 1) for i in range(1, joined + 1)], "node long, component long")
+        for crowd in (2048, 4):
+            held = {}
+            for r in simhash.cells_of(members, found, crowd).collect():
+                held.setdefault((r.s0, r.s1, r.s2, r.s3), set()).add(r.rep)
+            assert all(any({a, b} <= c for c in held.values()) for a in range(1, 30) for b in range(1, a) if a > joined)
+            assert max(map(len, held.values())) <= (29 if crowd > 29 else 24)
+    assert simhash.cells_of(members, spark.createDataFrame([(i, 1) for i in range(1, 30)], "node long, component long"), 4).count() == 0
 
 
 def test_decontaminate(spark, odd):
@@ -345,12 +368,31 @@ def test_sharding(spark, odd):
         assert (r["size"], r.text_crc32) == (len(data) + 1, zlib.crc32(data))
         sizes[r.shard] += r["size"]
     assert sizes.max() - sizes.min() <= 0.02 * sizes.mean()
+    placed = {}
+    for r in rows:
+        placed.setdefault(texts[r.doc_id] or "", set()).add(r.shard)
+    assert {len(v) for k, v in placed.items() if k != "hot text"} == {1} and 1 < len(placed["hot text"]) <= 4
     for s in range(8):
         slots = sorted(r.slot for r in rows if r.shard == s)
         assert slots == list(range(len(slots)))
     assert sharding.assign(odd).count() == len(ODD) and sharding.assign(empty(spark)).count() == 0
 
 
+def test_pack_is_the_rule():
+    """Brute force: each item in turn, largest first, to the fitting shard of the highest dot product."""
+    rng = np.random.default_rng(12)
+    vectors = rng.gamma(0.7, 1.0, (200, 3)) * [100, 20, 1]
+    share = vectors / vectors.sum(axis=0)
+    room = [[1 / 5] * 3 for _ in range(5)]
+    want = [0] * 200
+    for i in sorted(range(200), key=lambda i: (-max(share[i]), i)):
+        fits = [s for s in range(5) if room[s][0] >= share[i][0]]
+        dot = {s: sum(a * b for a, b in zip(room[s], share[i])) for s in fits}
+        want[i] = max(fits, key=lambda s: (dot[s], -s)) if fits else max(range(5), key=lambda s: (room[s][0], -s))
+        room[want[i]] = [a - b for a, b in zip(room[want[i]], share[i])]
+    assert sharding.pack(vectors, 5).tolist() == want
+
+
 def labelled_rows(n=240):
     rng = np.random.default_rng(8)
     rows = []
@@ -361,31 +403,12 @@ def labelled_rows(n=240):
             words[int(rng.integers(0, len(words)))] = f"vequ{''.join(rng.choice([*'abcd'], 2))}"
             words[int(rng.integers(0, len(words)))] = f"vequ{''.join(rng.choice([*'abcd'], 2))}"
         rows.append((i, ("%%% " if bad else " ").join(words), int(not bad), int(toxic)))
-    placed = {}
-    for r in rows:
-        placed.setdefault(texts[r.doc_id] or "", set()).add(r.shard)
-    assert {len(v) for k, v in placed.items() if k != "hot text"} == {1} and 1 < len(placed["hot text"]) <= 4
     return rows
 
 
 def test_classifiers(spark, odd):
     rows = labelled_rows()
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-def test_pack_is_the_rule():
-    """Brute force: each item in turn, largest first, to the fitting shard of the highest dot product."""
-    rng = np.random.default_rng(12)
-    vectors = rng.gamma(0.7, 1.0, (200, 3)) * [100, 20, 1]
-    share = vectors / vectors.sum(axis=0)
-    room = [[1 / 5] * 3 for _ in range(5)]
-    want = [0] * 200
-    for i in sorted(range(200), key=lambda i: (-max(share[i]), i)):
-        fits = [s for s in range(5) if room[s][0] >= share[i][0]]
-        dot = {s: sum(a * b for a, b in zip(room[s], share[i])) for s in fits}
-        want[i] = max(fits, key=lambda s: (dot[s], -s)) if fits else max(range(5), key=lambda s: (room[s][0], -s))
-        room[want[i]] = [a - b for a, b in zip(room[want[i]], share[i])]
-    assert sharding.pack(vectors, 5).tolist() == want
-
-
     labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
     for module, k in ((quality_cnn, 2), (toxicity, 3)):
         out = {r.doc_id: r for r in module.classify(docs, labels).collect()}

@@ -259,82 +259,172 @@ def components_of(prints: DataFrame, id_col: str, radius: int, shard_rows: int =
     return prints.join(component, "fp", "left").select(id_col, "fp", "component")
 
 
-# Near-duplicates by similarity. A pair as similar as 0.8 differs in about ten bits of its fingerprints, too many for
-# bit blocks to deal shards by, and no radius holds all such pairs. Here a shard is a value of one of KEYS min-hashes of the
-# shingles, which such a pair misses altogether with a chance of 0.2 ** KEYS; within a shard every pair that verified links
-# don't connect yet is held to the exact Jaccard similarity of the shingle sets, whatever its fingerprints.
-KEYS, SIMILAR = 8, 0.8
+# Near-duplicates by similarity. A pair as similar as 0.8 differs in about ten bits of its fingerprints, too many for bit
+# blocks to deal shards by. So the BK-trees propose what lies within their radius, and shards by min-hashes propose the rest:
+# each of BANDS shards of a class is named by two min-hashes, and a pair at 0.8 shares none with a chance of
+# (1 - 0.8 ** 2) ** BANDS, under one in a million. Whatever is proposed is held to the exact Jaccard similarity of the shingle
+# sets. First each member of a shard is held to the shard's least member. A shard whose members are connected by then has
+# nothing left to find; in the others every pair that isn't connected yet is held to it, in cells of bounded size.
+BANDS, SIMILAR, RADIUS = 14, 0.8, 2
 #: Shingles that a block of a crowded shard holds on average at most.
 BLOCK_SHINGLES = 1_000_000
-_SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, (2, KEYS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Members that are held to one least member in one task are at most about 1/SLICES of all such pairs; fewer than SLICES
+#: least members have more and are sliced, so their table may be broadcast.
+SLICES = 1000
+_SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, (2, 2 * BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def least_hashes(hashes: np.ndarray) -> np.ndarray:
-    """KEYS min-hashes of a set of shingle hashes; of no shingle zeros."""
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS values, each of two min-hashes of a set of shingle hashes; of no shingle zeros."""
     if not len(hashes):
-        return np.zeros(KEYS, np.int64)
-    mixed = hashes[None, :] * _SALTS[0][:, None]
-    mixed ^= mixed >> np.uint64(29)
-    return (mixed * _SALTS[1][:, None]).min(axis=1).view(np.int64)
+        return np.zeros(BANDS, np.int64)
+    least = np.full(2 * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 20_000):
+        mixed = hashes[None, i : i + 20_000] * _SALTS[0][:, None]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _SALTS[1][:, None]
+        np.minimum(least, mixed.min(axis=1), out=least)
+    two = least.reshape(BANDS, 2)
+    return ((two[:, 0] ^ (two[:, 1] >> np.uint64(31))) * _SALTS[0, 0] ^ two[:, 1]).view(np.int64)
+
+
+def folded_digest(text: str | None) -> bytes:
+    """128 bits of the folded words."""
+    return xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split()), SEED)
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id_col, fp, folded, mins, size): fingerprint, hash of the folded words, min-hashes, and number of shingles."""
+    """(id_col, folded, fp, bands, size): digest of the folded words, fingerprint, band values, number of distinct shingles."""
     chosen = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
         for batch in batches:
-            fps, folded, mins, sizes = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_hashes(text, shingle)
-                fps.append(majority(hashes))
-                folded.append(folded_hash(text))
-                mins.append(least_hashes(hashes))
-                sizes.append(len(hashes))
-            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            lists = pa.ListArray.from_arrays(np.arange(0, KEYS * len(mins) + 1, KEYS, dtype=np.int32), np.concatenate(mins)) if mins else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), longs(fps), longs(folded), lists, pa.array(sizes, pa.int64())], ["_id", "fp", "folded", "mins", "size"])
-
-    return chosen.mapInArrow(run, "_id long, fp long, folded long, mins array<long>, size long").withColumnRenamed("_id", id_col)
-
-
-def folded_hash(text: str | None) -> int:
-    return xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()), SEED)
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                folded, fps, bands, sizes = [], [], [], []
+                for text in part.column(1).to_pylist():
+                    hashes = shingle_hashes(text, shingle)
+                    distinct = np.unique(hashes)
+                    folded.append(folded_digest(text))
+                    fps.append(majority(hashes))
+                    bands.append(band_keys(distinct))
+                    sizes.append(len(distinct))
+                lists = pa.ListArray.from_arrays(np.arange(0, BANDS * len(bands) + 1, BANDS, dtype=np.int32), np.concatenate(bands))
+                columns = [pa.array(folded, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["_id", "folded", "fp", "bands", "size"])
+
+    return chosen.mapInArrow(run, "_id long, folded binary, fp long, bands array<long>, size long").withColumnRenamed("_id", id_col)
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(rep, folded, set): the distinct shingle hashes of each row."""
+    """(rep, folded, set): the distinct shingle hashes of each row, ascending as unsigned numbers."""
     chosen = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            folded = np.array([folded_hash(t) for t in texts], np.uint64).view(np.int64)
-            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folded), pa.array(sets, pa.list_(pa.int64()))], ["rep", "folded", "set"])
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                texts = part.column(1).to_pylist()
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
+                columns = [pa.array([folded_digest(t) for t in texts], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["rep", "folded", "set"])
 
-    return chosen.mapInArrow(run, "rep long, folded long, set array<long>")
+    return chosen.mapInArrow(run, "rep long, folded binary, set array<long>")
 
 
-def dealt_by_least(classes: DataFrame, shard_rows: int) -> DataFrame:
-    """(cell s0..s3, rep, folded): classes by each min-hash that another class shares. Of shards with the same members one
-    is kept. A crowded shard is cut into blocks, and each two blocks meet in one cell, so that no pair is lost."""
-    dealt = classes.select("rep", "folded", "size", F.posexplode("mins").alias("s0", "s1"))
+def band_members(classes: DataFrame) -> DataFrame:
+    """(s0, s1, rep, folded, size, least): classes by each band value that another class shares, with the least class of the
+    shard. Of shards with the same members one is kept."""
+    dealt = classes.select("rep", "folded", "size", F.posexplode("bands").alias("s0", "s1"))
     one = F.xxhash64("rep", "folded")
     shards = dealt.groupBy("s0", "s1").agg(
-        F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(one).alias("x"), F.bit_xor(F.xxhash64(one, F.lit(SEED))).alias("y")
+        F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(F.xxhash64(one, F.lit(SEED))).alias("y"), F.min(F.struct("rep", "folded", "size")).alias("least")
     ).filter("n > 1")
-    chosen = shards.groupBy("n", "total", "x", "y").agg(F.min(F.struct("s0", "s1")).alias("s"))
-    blocks = F.ceil(F.greatest(F.col("n") / max(shard_rows, 1), F.col("total") / BLOCK_SHINGLES)).cast("long")
-    marked = dealt.join(chosen.select("s.s0", "s.s1", F.least(blocks, F.col("n")).alias("blocks")), ["s0", "s1"])
-    own = F.pmod(F.xxhash64(F.lit(SEED), "rep", "folded"), F.col("blocks"))
-    met = marked.select("s0", "s1", "rep", "folded", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    return met.select("s0", "s1", F.least("own", "other").alias("s2"), F.greatest("own", "other").alias("s3"), "rep", "folded")
+    chosen = shards.groupBy("n", "x", "y").agg(F.min(F.struct("s0", "s1", "least")).alias("s"))
+    return dealt.join(chosen.select("s.s0", "s.s1", "s.least"), ["s0", "s1"])
+
+
+def tree_pairs(classes: DataFrame, radius: int) -> DataFrame:
+    """(least, rep, folded, size): what the BK-trees over the fingerprints link, and classes of one fingerprint."""
+    named = classes.groupBy("fp").agg(F.min(F.struct("rep", "folded", "size")).alias("first"))
+    by_id = named.groupBy(F.col("first.rep").alias("r")).agg(F.min("first").alias("first"), F.min("fp").alias("fp"))
+    links = shard_links(sharded(by_id.select("fp", F.col("r").alias("rep")), radius), radius)
+    roots = links.join(by_id.select(F.col("r").alias("v"), F.col("first").alias("least")), "v").join(by_id.select(F.col("r").alias("u"), "first"), "u")
+    alike = classes.join(named, "fp").select(F.col("first").alias("least"), "rep", "folded", "size")
+    return roots.select("least", "first.*").union(alike)
+
+
+def star_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): reps of the pairs (least, rep, folded), without repeats, that are as similar. Pairs with one least are
+    sliced, the set of the least goes to each slice once, and members stream past it."""
+    total = pairs.count()
+    many = pairs.groupBy("least").count().filter(F.col("count") * SLICES > total)
+    many = F.broadcast(many.select("least", F.ceil(F.col("count") * SLICES / max(total, 1)).alias("slices")))
+    cut = pairs.join(many, "least", "left").withColumn("slice", F.pmod(F.xxhash64("rep", "folded"), F.coalesce("slices", F.lit(1))))
+    members = cut.join(sets, ["rep", "folded"]).select("least", "slice", F.lit(1).alias("role"), "rep", "set")
+    heads = cut.select("least", "slice").distinct().withColumns({"rep": F.col("least.rep"), "folded": F.col("least.folded")})
+    heads = heads.join(sets, ["rep", "folded"]).select("least", "slice", F.lit(0).alias("role"), "rep", "set")
+    key = ["least.rep", "least.folded", "slice"]
+    placed = heads.union(members).repartition(*key).sortWithinPartitions(*key, "role").select("role", "rep", "set")
 
+    def run(batches):
+        head, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            role, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy().view(np.uint64)
+            us, vs = [], []
+            edges = [0, *np.flatnonzero(role == 0).tolist(), len(role)]
+            for a, z in zip(edges, edges[1:]):
+                if a < z and role[a] == 0:
+                    head, own, a = int(rep[a]), flat[at[a] : at[a + 1]].copy(), a + 1
+                if a == z:
+                    continue
+                sizes = np.diff(at[a : z + 1]).astype(np.int64)
+                values = flat[at[a] : at[z]]
+                if len(own):
+                    spot = np.minimum(np.searchsorted(own, values), len(own) - 1)
+                    inside = np.concatenate([[0], np.cumsum(own[spot] == values)])
+                else:
+                    inside = np.zeros(len(values) + 1, np.int64)
+                ends = np.cumsum(sizes)
+                shared = inside[ends] - inside[ends - sizes]
+                union = sizes + len(own) - shared
+                hits = np.flatnonzero((shared >= similarity * union) & (union > 0)) + a
+                us += rep[hits].tolist()
+                vs += [head] * len(hits)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return placed.mapInArrow(run, "u long, v long")
 
-def linked(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
-    """Links that span what the pairs of at least this Jaccard similarity connect. Sets that share most come first; a
-    set is held against all others at once, by the postings of its members, unless it is linked to all it could be."""
+
+def cells_of(members: DataFrame, found: DataFrame, shard_rows: int) -> DataFrame:
+    """(s0..s3, rep, folded, label): members (s0, s1, rep, folded, size) of the shards that ``found`` (node, component) leaves
+    in several components, as cells in which each pair of a shard that isn't connected yet meets. A crowded shard is cut
+    into blocks, those of its largest component apart: they meet the others' blocks, but not each other."""
+    labelled = members.join(found, F.col("rep") == F.col("node"), "left").select("s0", "s1", "rep", "folded", "size", F.coalesce("component", "rep").alias("label"))
+    parts = labelled.groupBy("s0", "s1", "label").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    shards = parts.groupBy("s0", "s1").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.max(F.struct("n", "total", "label")).alias("most")
+    ).filter("parts > 1")
+    blocks = lambda n, total: F.ceil(F.greatest(n / max(shard_rows, 1), total / BLOCK_SHINGLES, F.lit(1))).cast("long")
+    fits = blocks(F.col("n"), F.col("total")) == 1
+    cuts = shards.select(
+        "s0", "s1", F.col("most.label").alias("most"),
+        F.when(fits, 0).otherwise(F.least(blocks(F.col("most.n"), F.col("most.total")), F.col("most.n"))).alias("own_blocks"),
+        F.least(blocks(F.col("n") - F.col("most.n"), F.col("total") - F.col("most.total")), F.col("n") - F.col("most.n")).alias("blocks"),
+    )
+    # As a table of its own it is broadcast if it is small, and a crowded shard's side of the join can be split if not.
+    marked = labelled.join(written(cuts, "cuts"), ["s0", "s1"])
+    among = (F.col("label") == F.col("most")) & (F.col("own_blocks") > 0)
+    spread = F.xxhash64(F.lit(SEED), "rep", "folded")
+    own = F.when(among, F.pmod(spread, F.col("own_blocks"))).otherwise(F.col("own_blocks") + F.pmod(spread, F.col("blocks")))
+    others = F.sequence(F.when(among, F.col("own_blocks")).otherwise(F.lit(0)).cast("long"), F.col("own_blocks") + F.col("blocks") - 1)
+    met = marked.select("s0", "s1", "rep", "folded", "label", own.alias("own"), F.explode(others).alias("other"))
+    return met.select("s0", "s1", F.least("own", "other").alias("s2"), F.greatest("own", "other").alias("s3"), "rep", "folded", "label")
+
+
+def linked(sets: list[np.ndarray], similarity: float, labels: list[int]) -> tuple[list[int], list[int]]:
+    """Links that span what the pairs of at least this Jaccard similarity connect, beside what ``labels`` do. Sets that share
+    most come first; a set is held against all others at once, by the postings of its members, unless it is linked to all it
+    could be."""
     n = len(sets)
     size = np.array([len(x) for x in sets], np.int64)
     owner = np.repeat(np.arange(n), size)
@@ -343,7 +433,7 @@ def linked(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[i
     end = np.cumsum(count)
     at = np.concatenate([[0], np.cumsum(size)])
     weight = np.bincount(owner, weights=count[code], minlength=n)
-    label, waiting = np.arange(n), np.ones(n, bool)
+    label, waiting = np.unique(labels, return_inverse=True)[1], np.ones(n, bool)
     us: list[int] = []
     vs: list[int] = []
     for q in np.argsort(-weight, kind="stable").tolist():
@@ -356,7 +446,8 @@ def linked(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[i
         total = int(width.sum())
         where = np.arange(total) + np.repeat(end[mine] - np.cumsum(width), width)
         shared = np.bincount(postings[where], minlength=n)
-        hits = np.flatnonzero(open_ & (shared / np.maximum(size[q] + size - shared, 1) >= similarity))
+        union = size[q] + size - shared
+        hits = np.flatnonzero(open_ & (shared >= similarity * union) & (union > 0))
         if len(hits):
             joined, first = np.unique(label[hits], return_index=True)
             us += [q] * len(first)
@@ -366,45 +457,57 @@ def linked(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[i
 
 
 def cell_links(cells: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): links between the reps of classes (s0..s3, rep, set) that share a cell, verified exactly."""
+    """(u, v): links between the reps of classes (s0..s3, rep, set, label) that share a cell but no label, verified exactly."""
     key = ["s0", "s1", "s2", "s3"]
 
     def run(batches):
-        now, reps, sets = None, [], []
+        now, reps, sets, labels = None, [], [], []
 
         def links():
-            us, vs = linked(sets, similarity) if len(sets) > 1 else ([], [])
+            us, vs = linked(sets, similarity, labels) if len(set(labels)) > 1 else ([], [])
             return pa.RecordBatch.from_arrays([pa.array([reps[i] for i in us], pa.int64()), pa.array([reps[i] for i in vs], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            rep, at = batch.column(4).to_pylist(), batch.column(5).offsets.to_numpy()
+            rep, at, label = batch.column(4).to_pylist(), batch.column(5).offsets.to_numpy(), batch.column(6).to_pylist()
             flat = batch.column(5).values.to_numpy()
             for i, cell in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
                 if cell != now:
                     if len(sets) > 1:
                         yield links()
-                    now, reps, sets = cell, [], []
+                    now, reps, sets, labels = cell, [], [], []
                 reps.append(rep[i])
+                labels.append(label[i])
                 sets.append(flat[at[i] : at[i + 1]])
         if len(sets) > 1:
             yield links()
 
-    placed = cells.select(*key, "rep", "set").repartition(*key).sortWithinPartitions(*key)
+    placed = cells.select(*key, "rep", "set", "label").repartition(*key).sortWithinPartitions(*key)
     return placed.mapInArrow(run, "u long, v long")
 
 
-def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = SIMILAR, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def similar_components(
+    df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = SIMILAR, radius: int = RADIUS, shard_rows: int = SHARD_ROWS
+) -> DataFrame:
     """(id_col, component): texts linked by steps of at least this Jaccard similarity of their shingles share the least id of
     them. Rows without an id have a null component."""
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     prints = written(sketches(rows, "doc", "text", shingle), "sketches")
-    classes = written(prints.filter("doc is not null").groupBy("folded", "fp", "mins", "size").agg(F.min("doc").alias("rep")), "classes")
-    cells = written(dealt_by_least(classes, shard_rows), "cells")
-    texts = rows.join(cells.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-    sets = written(shingle_sets(texts, "doc", "text", shingle).dropDuplicates(["rep", "folded"]), "sets")
-    found = connected_components(cell_links(cells.join(sets, ["rep", "folded"]), similarity))
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("folded", "fp", "mins", F.coalesce("component", "rep").alias("component"))
-    out = prints.join(named, ["folded", "fp", "mins"], "left")
+    first = (F.any_value(c).alias(c) for c in ("fp", "bands", "size"))
+    classes = written(prints.filter("doc is not null").groupBy("folded").agg(F.min("doc").alias("rep"), *first), "classes")
+    members = written(band_members(classes), "members")
+    proposed = members.select("least", "rep", "folded", "size").union(tree_pairs(classes, radius)).distinct()
+    # Sets of less similar sizes can't be as similar.
+    sizes = F.col("size"), F.col("least.size")
+    apart = (F.col("least.rep") != F.col("rep")) & (F.least(*sizes) >= similarity * F.greatest(*sizes))
+    pairs = written(proposed.filter(apart).select("least", "rep", "folded"), "pairs")
+    asked = members.select(F.col("rep").alias("doc")).union(pairs.select("rep")).union(pairs.select("least.rep")).distinct()
+    sets = written(shingle_sets(rows.join(asked, "doc", "left_semi"), "doc", "text", shingle).dropDuplicates(["rep", "folded"]), "sets")
+    stars = written(connected_components(star_links(pairs, sets, similarity)), "stars")
+    cells = written(cells_of(members, stars, shard_rows), "cells")
+    more = cell_links(cells.join(sets, ["rep", "folded"]), similarity)
+    found = connected_components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("folded", F.coalesce("component", "rep").alias("component"))
+    out = prints.join(named, "folded", "left")
     return out.select(F.col("doc").alias(id_col), F.when(F.col("doc").isNotNull(), F.col("component")).alias("component"))
 
 
