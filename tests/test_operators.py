@@ -64,6 +64,16 @@ def test_lrc_lines_gaps(spark):
     assert [(r.start, r.end) for r in gaps.orderBy("start").collect()] == [(0.5, 3.5), (3.5, 6.5), (6.5, 9.5), (21.0, 23.833333333333332), (23.833333333333332, 26.666666666666668), (26.666666666666668, 29.5), (55.5, 59.5)]
 
 
+def brute_merge(lines, min_dur, max_dur, max_gap):
+    out = []
+    for a, z, x in lines:
+        if out and out[-1][1] - out[-1][0] < min_dur and a - out[-1][1] <= max_gap and z - out[-1][0] <= max_dur:
+            out[-1] = (out[-1][0], z, out[-1][2] + " " + x)
+        else:
+            out.append((a, z, x))
+    return out
+
+
 def test_merge_and_pack_lose_nothing():
     rng = random.Random(2)
     for _ in range(200):
@@ -72,13 +82,27 @@ def test_merge_and_pack_lose_nothing():
             t += rng.random()
             lines.append((t, t + rng.random(), str(k)))
             t = lines[-1][1]
-        chunks = corpus.merged_lines(lines, 1.0, 3.0, 0.5, " ")
-        assert " ".join(c[2] for c in chunks).split() == [x[2] for x in lines]
+        fold = corpus.LineMerger(1.0, 3.0, 0.5, " ")
+        chunks = [c for x in lines for c in fold.add(*x)] + list(fold.finish())
+        assert [c[1:] for c in chunks] == brute_merge(lines, 1.0, 3.0, 0.5) and [c[0] for c in chunks] == list(range(len(chunks)))
         durations = [rng.random() * 12 for _ in range(20)]
-        bins = corpus.packed_bins(durations, 25.0, 0.3)
+        packer = corpus.BinPacker(25.0, 0.3)
+        bins = [r[-2:] for d in durations for r in packer.add(d)]
         assert [b for b, _ in bins] == sorted(b for b, _ in bins) and all(d <= 25.0 for _, d in bins)
 
 
+def test_ordered_fold_keeps_keys_apart(spark):
+    """Keys (a null one too) over several batches, and an empty table."""
+    rows = [(k, i, float(i)) for k in ("a", "b", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, i int, dur double").repartition(7)
+    out = corpus.pack_windows(df, "k", ["i"], target=100.0, gap=0.0).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.k, []).append((r.i, r.bin, r.bin_dur))
+    assert set(by) == {"a", "b", None} and len({tuple(sorted(v)) for v in by.values()}) == 1 and len(out) == 150
+    assert corpus.pack_windows(df.filter("false"), "k", ["i"]).count() == 0
+
+
 def test_pack_blocks(spark):
     clips = spark.createDataFrame([("s", i, 10.0 if i else None) for i in range(5)], "spk string, id int, dur double")
     packed = corpus.pack_windows(clips, "spk", ["id"])

@@ -265,3 +265,45 @@ def changed_part(old: Column | str, new: Column | str) -> Column:
     tail = common(F.reverse(old), F.reverse(new), least - head)
     rest = lambda x: F.trim(F.substring(x, head + 1, F.length(x) - head - tail))
     return F.struct(rest(old).alias("from"), rest(new).alias("to"))
+
+
+def joiner(lang: Column | str) -> Column:
+    """What stands between joined lines: nothing where words aren't spaced."""
+    return F.when(_c(lang).isin("zh-TW", "ja"), "").otherwise(" ")
+
+
+def singer(stem: Column | str) -> Column:
+    """Singer's name in a clip id of the form mir1k_name_number..., else null."""
+    return F.nullif(F.regexp_extract(_c(stem), r"^mir1k_([A-Za-z]+)_\d", 1), F.lit(""))
+
+
+@pandas_udf(StringType())
+def ascii_escape(s: pd.Series) -> pd.Series:
+    """Text in ASCII, other characters as backslash escapes."""
+    return s.map(lambda t: None if t is None else t.encode("ascii", "backslashreplace").decode())
+
+
+def separates(mode: Column | str, is_mix: Column | str) -> Column:
+    """Whether a song's voice is taken out of the mix first: always, never, or where it is a mix."""
+    return F.when(_c(mode) == "always", True).when(_c(mode) == "never", False).otherwise(_c(is_mix))
+
+
+def language_matches(value: Column | str, target: str, names: Mapping[str, str]) -> Column:
+    """Whether a language column means the target: its name, its code, or the code without its region."""
+    code = target.lower()
+    return F.coalesce(F.lower(F.trim(_c(value))).isin(names.get(target, code), code, code.split("-")[0]), F.lit(False))
+
+
+def rolling_context(transcript: Column | str, chars: int) -> Column:
+    """The last so many characters of a transcript; none of them for 0."""
+    return F.right(_c(transcript), F.lit(chars)) if chars > 0 else F.lit("")
+
+
+def iso_seconds(ts: Column | str) -> Column:
+    """ISO 8601 with seconds and offset."""
+    return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+
+def stamp(ts: Column | str) -> Column:
+    """A time as part of a file name."""
+    return F.date_format(_c(ts), "yyyyMMdd-HHmmss")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verselake.operators.folds import ordered_fold
+
 STAMP = r"\[(\d{1,3}):(\d{1,2}(?:[.:]\d{1,3})?)\]"
 META_LINE = r"(?i)^\s*\[(ti|ar|al|by|re|ve|offset|length|tool)\b[^\]]*\]\s*$"
 MAX_LINE, HARD_MIN, HARD_MAX, MIN_RMS = 25.0, 0.8, 25.0, 5e-4
@@ -61,60 +64,65 @@ def negative_budget(gap_rows: DataFrame, chunk_counts: DataFrame, ratio: float,
     return kept.join(chunk_counts, id_col).withColumn("rank", place).filter(F.col("rank") <= F.ceil(F.col("n_chunks") * ratio)).drop("n_chunks")
 
 
-def merged_lines(lines: list[tuple[float, float, str]], min_dur: float, max_dur: float, max_gap: float, joiner: str) -> list[tuple[float, float, str]]:
+class LineMerger:
     """Greedy merge: a chunk that is still too short takes the next line if it is near and the whole fits."""
-    out: list[list] = []
-    for start, end, text in lines:
+
+    def __init__(self, min_dur: float, max_dur: float, max_gap: float, joiner: str):
+        self.min_dur, self.max_dur, self.max_gap, self.joiner = min_dur, max_dur, max_gap, joiner
+        self.open: tuple[float, float, list[str]] | None = None
+        self.made = 0
+
+    def add(self, start: float, end: float, text: str | None):
         if not (text or "").strip():
-            continue
-        last = out[-1] if out else None
-        if last and last[1] - last[0] < min_dur and start - last[1] <= max_gap and end - last[0] <= max_dur:
-            last[1] = end
-            last[2].append(text)
-        else:
-            out.append([start, end, [text]])
-    return [(a, b, joiner.join(t).strip()) for a, b, t in out]
+            return ()
+        if self.open is not None:
+            first, last, texts = self.open
+            if last - first < self.min_dur and start - last <= self.max_gap and end - first <= self.max_dur:
+                texts.append(text)
+                self.open = (first, end, texts)
+                return ()
+        closed = self.finish()
+        self.open = (start, end, [text])
+        return closed
+
+    def finish(self):
+        if self.open is None:
+            return ()
+        self.made += 1
+        return ((self.made - 1, self.open[0], self.open[1], self.joiner.join(self.open[2]).strip()),)
 
 
 def merge_lines(lines: DataFrame, id_col: str = "song_id", min_dur: float = 1.0, max_dur: float = 20.0, max_gap: float = 2.0, joiner: str = " ") -> DataFrame:
     """(id, pos, start, end, text) of chunks; a fold over each song's ordered lines."""
-    kind = lines.schema[id_col].dataType.simpleString()
+    make = partial(LineMerger, min_dur, max_dur, max_gap, joiner)
+    return ordered_fold(lines, [id_col], ["start", "pos"], ["start", "end", "text"], make, "pos int, start double, end double, text string")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(["start", "pos"])
-        chunks = merged_lines([*zip(rows["start"], rows["end"], rows["text"])], min_dur, max_dur, max_gap, joiner)
-        out = pd.DataFrame(chunks, columns=["start", "end", "text"])
-        out.insert(0, "pos", range(len(out)))
-        out.insert(0, id_col, frame[id_col].iloc[0])
-        return out
 
-    return lines.select(id_col, "pos", "start", "end", "text").groupBy(id_col).applyInPandas(run, f"`{id_col}` {kind}, pos int, start double, end double, text string")
+class BinPacker:
+    """A bin closes when the next clip would pass the target; each clip goes on with its bin and the bin's length so far."""
 
+    def __init__(self, target: float, gap: float):
+        self.target, self.gap = target, gap
+        self.number, self.length, self.size = 0, 0.0, 0
 
-def packed_bins(durations: list[float], target: float, gap: float) -> list[tuple[int, float]]:
-    """(bin, length of the bin so far) of each clip in order: a bin closes when the next clip would pass the target."""
-    out, number, length, size = [], 0, 0.0, 0
-    for d in durations:
-        if size and length + gap + d > target:
-            number, length, size = number + 1, 0.0, 0
-        length += d + (gap if size else 0.0)
-        size += 1
-        out.append((number, length))
-    return out
+    def add(self, dur: float, *rest):
+        if self.size and self.length + self.gap + dur > self.target:
+            self.number, self.length, self.size = self.number + 1, 0.0, 0
+        self.length += dur + (self.gap if self.size else 0.0)
+        self.size += 1
+        return ((dur, *rest, self.number, self.length),)
+
+    def finish(self):
+        return ()
 
 
 def pack_windows(clips: DataFrame, by: str, order: list[str], target: float = 25.0, gap: float = 0.3, blocks: int = 1, seed: int = 42) -> DataFrame:
     """clips (dur, ...) with (block, bin): greedy packing of each speaker's clips in order. A speaker with very many clips can
-    be dealt by hash into ``blocks`` that are packed on their own, so that no task holds all of them."""
-    dealt = clips.withColumn("block", F.pmod(F.xxhash64(*order, F.lit(seed)), F.lit(blocks)).cast("int")).withColumn("dur", F.coalesce("dur", F.lit(0.0)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", bin int, bin_dur double"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(order)
-        bins = packed_bins(rows["dur"].tolist(), target, gap)
-        return rows.assign(bin=[b for b, _ in bins], bin_dur=[d for _, d in bins])
-
-    return dealt.groupBy(by, "block").applyInPandas(run, schema)
+    be dealt by hash into ``blocks`` that are packed on their own."""
+    dealt = clips.withColumn("block", F.pmod(F.xxhash64(*order, F.lit(seed)), F.lit(blocks)).cast("int")).withColumn("dur", F.coalesce("dur", F.lit(0.0)).cast("double"))
+    rest = [f for f in dealt.schema if f.name not in (by, "block", "dur")]
+    schema = "dur double, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest) + "bin int, bin_dur double"
+    return ordered_fold(dealt, [by, "block"], order, ["dur", *(f.name for f in rest)], partial(BinPacker, target, gap), schema)
 
 
 def packed_rows(packed: DataFrame, by: str, order: list[str], id_col: str, text_col: str | None = None, joiner: str = "，") -> DataFrame:

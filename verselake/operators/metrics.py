@@ -125,3 +125,15 @@ def alignment_error_ms(pred: Column, gold: Column) -> Column:
         return pd.Series([round(float(np.median(e)), 1) if e else None for e in out], dtype="float64")
 
     return run(pred, gold)
+
+
+def median_of_medians(errors: DataFrame, by: list[str], clip: str, value: str) -> DataFrame:
+    """(by, error_ms, n) to one decimal: the median over clips of each clip's median; clips without a value don't count."""
+    clips = errors.groupBy(*by, clip).agg(F.median(value).alias("_m")).filter("_m is not null")
+    return clips.groupBy(*by).agg(F.round(F.median("_m"), 1).alias("error_ms"), F.count("*").alias("n"))
+
+
+def tallies(checks: DataFrame, status: str = "status") -> DataFrame:
+    """One row: how many checks are ok, warn or fail, and an exit code that is 1 if one fails."""
+    count = lambda s: F.count_if(F.col(status) == s)
+    return checks.agg(count("ok").alias("ok"), count("warn").alias("warn"), count("fail").alias("fail"), (count("fail") > 0).cast("int").alias("exit_code"))

@@ -25,12 +25,24 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Centroids that ``nearest`` takes at most; they become one literal array of the projection.
+MOST_CENTROIDS = 1024
+
+
 def nearest(vectors: DataFrame, centroids: DataFrame, id_col: str, vec: str, centroid_id: str) -> DataFrame:
-    """(id, centroid_id, similarity): the best of a stated, small set of centroids for each row (of equals the least id)."""
-    table = centroids.select(F.col(centroid_id).alias("_c"), unit(vec).alias("_u"))
-    pairs = vectors.select(id_col, unit(vec).alias("_v")).join(F.broadcast(table))
-    best = F.max(F.struct(F.round(cosine("_v", "_u"), 9).alias("s"), (-F.col("_c")).alias("c"))).alias("b")
-    return pairs.groupBy(id_col).agg(best).select(id_col, (-F.col("b.c")).alias(centroid_id), F.col("b.s").alias("similarity"))
+    """(id, centroid_id, similarity): the best of a small set of centroids for each row (of equals the least id), inside the
+    row: no join, no shuffle. A row without a usable vector has nulls."""
+    table = centroids.select(F.col(centroid_id).alias("c"), unit(vec).alias("u")).filter("u is not null").orderBy("c").limit(MOST_CENTROIDS + 1).collect()
+    if len(table) > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
+    kind = centroids.schema[centroid_id].dataType
+    options = F.lit(None).cast("array<struct<s:double,i:int>>")
+    if table:
+        options = F.array(*(F.struct(F.round(cosine("_v", F.lit([float(x) for x in r.u])), 9).alias("s"), F.lit(-i).alias("i")) for i, r in enumerate(table)))
+    ids = F.array(*(F.lit(r.c).cast(kind) for r in table)) if table else F.lit(None).cast(f"array<{kind.simpleString()}>")
+    best = F.when(F.col("_v").isNotNull(), F.array_max(options))
+    found = vectors.select(id_col, unit(vec).alias("_v")).select(id_col, best.alias("_b"))
+    return found.select(id_col, F.get(ids, -F.col("_b.i")).alias(centroid_id), F.col("_b.s").alias("similarity"))
 
 
 class OnlineClusters:

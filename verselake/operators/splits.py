@@ -87,14 +87,15 @@ def keep_text_rows(rows: DataFrame, stem: str = "stem", text: str = "text", comp
     return rows.withColumn("negative", empty & marked).withColumn("drop_reason", F.when(empty & ~marked, "empty_text"))
 
 
-def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+def numbered(rows: DataFrame, key: str | list[str], name: str) -> DataFrame:
     """rows with their place (from 0) in the order of a key. Rows are dealt by ranges and numbered within each; only one
     count for each range meets in one place."""
-    ranged = written(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranged")
+    keys = [key] if isinstance(key, str) else key
+    ranged = written(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1
     return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + place).drop("_range", "_start")
 
 
@@ -112,5 +113,30 @@ def oversample(rows: DataFrame, minority: str, key: str, ratio: float) -> DataFr
 
 
 def hash_sample(rows: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
-    """Exactly floor(n * fraction) rows, drawn by hash of the key."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(int(rows.count() * fraction))
+    """Exactly floor(n * fraction) rows, those with the least hashes of the key. Places are counted by ranges of the hash, so
+    the sample may be of any size."""
+    placed = numbered(rows.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed))), ["_hash", key], "_place")
+    return placed.filter(F.col("_place") < int(rows.count() * fraction)).select(*rows.columns)
+
+
+def first_per_source(rows: DataFrame, source: str, order: list[str], limit: int | None) -> DataFrame:
+    """The first ``limit`` rows of each source in order; all of them without a limit."""
+    if not limit:
+        return rows
+    place = F.row_number().over(Window.partitionBy(source).orderBy(*order))
+    return rows.withColumn("_r", place).filter(F.col("_r") <= limit).drop("_r")
+
+
+def validated_or_all(validated: DataFrame | None, *parts: DataFrame) -> DataFrame:
+    """The validated list if there is one, else the union of the other lists; columns by name."""
+    if validated is not None or not parts:
+        return validated
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def manifest_union(packed: DataFrame, *rest: DataFrame) -> DataFrame:
+    """Packed and single rows in one manifest; a column that a side lacks is null."""
+    return validated_or_all(None, packed, *rest)

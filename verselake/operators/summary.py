@@ -1,40 +1,53 @@
-"""Extractive summaries: sentences ranked by the mean corpus frequency of their characters within the document."""
+"""Extractive summaries: sentences ranked by the mean frequency, within the document, of their characters."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from verselake.functions import text as T
 
+MOST_SENTENCES = 20
+
 
 def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, idx, sentence), idx from 0."""
     return docs.select(id_col, F.posexplode(T.sentences(text_col)).alias("idx", "sentence"))
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, idx, sentence, score): mean of the document's counts of the sentence's informative characters. Characters
-    are counted per sentence first, so the shuffle carries one row for each distinct character of a sentence."""
-    rows = sentence_rows(docs, id_col, text_col)
-    chars = rows.select(id_col, "idx", F.explode(F.split(F.translate("sentence", T.SUMMARY_IGNORED, ""), "")).alias("ch")).filter("ch <> ''")
-    within = chars.groupBy(id_col, "idx", "ch").agg(F.count("*").alias("n"))
-    total = within.withColumn("f", F.sum("n").over(Window.partitionBy(id_col, "ch")))
-    score = total.groupBy(id_col, "idx").agg((F.sum(F.col("n") * F.col("f")) / F.sum("n")).alias("score"))
-    return rows.join(score, [id_col, "idx"], "left")
-
-
-def summarize(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, summary): the k best sentences in reading order; all of them where there are no more than k, the first k where
-    none has a score."""
-    whole = Window.partitionBy(id_col)
-    ranked = scored(docs, id_col, text_col).withColumns(
-        {
-            "rank": F.row_number().over(whole.orderBy(F.desc_nulls_last(F.round("score", 9)), "idx")),
-            "total": F.count("*").over(whole),
-            "known": F.count("score").over(whole),
-        }
-    )
-    chosen = ranked.filter((F.col("total") <= k) | ((F.col("rank") <= k) & (F.col("score").isNotNull() | (F.col("known") == 0))))
-    ordered = chosen.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "sentence"))).alias("s"))
-    return ordered.select(id_col, F.array_join(F.transform("s", lambda x: x["sentence"]), "").alias("summary"))
+def sentence_scores(sentences: list[str]) -> list[float | None]:
+    """For each sentence the mean of the document's counts of its informative characters, None where it has none."""
+    bare = [s.translate(_DROPPED) for s in sentences]
+    count = Counter("".join(bare))
+    return [sum(map(count.__getitem__, b)) / len(b) if b else None for b in bare]
+
+
+_DROPPED = dict.fromkeys(map(ord, T.SUMMARY_IGNORED))
+
+
+def chosen(sentences: list[str], k: int) -> list[str]:
+    """The k best sentences in reading order; all of them where there are no more than k, the first k where none has a score."""
+    if len(sentences) <= k:
+        return sentences
+    score = sentence_scores(sentences)
+    known = [i for i, x in enumerate(score) if x is not None]
+    best = sorted(known, key=lambda i: (-round(score[i], 9), i))[:k] if known else range(k)
+    return [sentences[i] for i in sorted(best)]
+
+
+def summarize(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", max_chars: int | None = None) -> DataFrame:
+    """(id, summary) of each row with a sentence: its k (1 to MOST_SENTENCES) best sentences, of its first ``max_chars``
+    characters if those are given. All counts are inside the document, so nothing is shuffled."""
+    k = max(1, min(k, MOST_SENTENCES))
+
+    @pandas_udf("string")
+    def best(sentences: pd.Series) -> pd.Series:
+        return sentences.map(lambda s: "".join(chosen(list(s), k)))
+
+    text = F.col(text_col) if max_chars is None else F.substring(text_col, 1, max_chars)
+    cut = docs.select(id_col, T.sentences(text).alias("_s")).filter(F.size("_s") > 0)
+    return cut.select(id_col, best("_s").alias("summary"))

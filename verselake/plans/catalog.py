@@ -212,13 +212,17 @@ def _pairs(t) -> DataFrame:
     return t("conversations").withColumn("hyp", nxt).filter("hyp is not null").select("conv_id", "role", F.coalesce("text", F.lit("")).alias("ref"), "hyp")
 
 
-_PAIRS = """
+#: DuckDB's levenshtein counts bytes, so each pair's characters of several bytes become control characters, one for each.
+_PAIRS = r"""
+w AS (SELECT role, coalesce(text, '') AS ref, n AS hyp FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n IS NOT NULL),
+x AS (SELECT *, array_to_string(list_distinct(regexp_extract_all(ref || hyp, '[^\x00-\x7F]')), '') AS wide,
+    array_to_string(list_filter(list_transform(range(1, 32), lambda i: chr(i::INT)), lambda c: NOT contains(ref || hyp, c)), '') AS narrow FROM w),
 p AS (
-  SELECT conv_id, role, substr(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), 1, 60) AS ref, substr(regexp_replace(n, '[^ -~]', '', 'g'), 1, 60) AS hyp
-  FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n IS NOT NULL)"""
+  SELECT role, ref, hyp, CASE WHEN length(wide) > length(narrow) THEN error('too many characters') END AS e,
+    translate(ref, wide, substr(narrow, 1, length(wide))) AS a, translate(hyp, wide, substr(narrow, 1, length(wide))) AS b FROM x)"""
 
 
-@query(f"WITH {_PAIRS} SELECT role, round(sum(levenshtein(ref, hyp))::DOUBLE / sum(length(ref)), 6) AS cer, round(avg((ref <> hyp)::INT), 6) AS wer_compat FROM p GROUP BY role")
+@query(f"WITH {_PAIRS} SELECT role, round(sum(levenshtein(a, b))::DOUBLE / sum(length(ref)), 6) AS cer, round(avg((ref <> hyp)::INT), 6) AS wer_compat FROM p GROUP BY role")
 def cer_micro(t):
     return _pairs(t).groupBy("role").agg(F.round(metrics.cer(), 6).alias("cer"), F.round(metrics.wer_compat(), 6).alias("wer_compat"))
 
@@ -334,13 +338,25 @@ def _clips(t) -> DataFrame:
     return t("orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") % 20).alias("dur"))
 
 
-@query()
+_PACKED = """
+RECURSIVE o AS (
+  SELECT o_custkey, o_orderkey, o_totalprice % 20 AS dur, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),
+p AS (
+  SELECT o_custkey, o_orderkey, dur, r, 0 AS bin, dur AS len FROM o WHERE r = 1
+  UNION ALL SELECT o.o_custkey, o.o_orderkey, o.dur, o.r, CASE WHEN p.len + 0.3::DOUBLE + o.dur > 25 THEN p.bin + 1 ELSE p.bin END,
+    CASE WHEN p.len + 0.3::DOUBLE + o.dur > 25 THEN o.dur ELSE p.len + (o.dur + 0.3::DOUBLE) END
+  FROM p JOIN o ON o.o_custkey = p.o_custkey AND o.r = p.r + 1)"""
+
+
+@query(f"WITH {_PACKED} SELECT o_custkey, o_orderkey, bin, round(len, 6) AS bin_dur FROM p")
 def pack_windows(t):
     packed = corpus.pack_windows(_clips(t), "o_custkey", ["o_orderkey"])
     return packed.select("o_custkey", "o_orderkey", "bin", F.round("bin_dur", 6).alias("bin_dur"))
 
 
-@query()
+@query(f"""
+WITH {_PACKED}, w AS (SELECT o_custkey, bin, round(max(len), 2) AS dur, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT count(*) AS windows, round(sum(dur) / 3600, 4) AS hours, round(avg(dur), 2) AS mean_dur, round(avg(n), 2) AS clips_per_window FROM w""")
 def pack_statistics(t):
     packed = corpus.pack_windows(_clips(t), "o_custkey", ["o_orderkey"])
     return corpus.pack_stats(corpus.packed_rows(packed, "o_custkey", ["o_orderkey"], "o_orderkey"))
@@ -407,7 +423,13 @@ def negative_budget(t):
     return rounded.join(counts, "song_id").withColumn("rank", place).filter(F.col("rank") <= F.ceil(F.col("n_chunks") * 0.1)).select("song_id", "start", "end", "rank")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_LINES}, o AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY start, pos) AS r FROM k),
+m AS (
+  SELECT song_id, r, start AS a, "end" AS z, text, 0 AS c FROM o WHERE r = 1
+  UNION ALL SELECT o.song_id, o.r, CASE WHEN j THEN a ELSE start END, o."end", CASE WHEN j THEN m.text || ' ' || o.text ELSE o.text END, CASE WHEN j THEN c ELSE c + 1 END
+  FROM m JOIN o ON o.song_id = m.song_id AND o.r = m.r + 1, LATERAL (SELECT z - a < 60 AND o.start - z <= 300 AND o."end" - a <= 600 AS j))
+SELECT song_id, c AS pos, max(a) AS start, max(z) AS "end", arg_max(text, r) AS text FROM m GROUP BY song_id, c""")
 def merge_short_lines(t):
     return corpus.merge_lines(corpus.line_ends(_lines(t)), min_dur=60.0, max_dur=600.0, max_gap=300.0)
 
@@ -627,7 +649,12 @@ def bar_flags(t):
     return music.bar_flags(rows, "user_id", "s", 21600.0, 4).select("event_id", "bar_before")
 
 
-@query()
+@query(f"""
+WITH a AS (SELECT user_id, CAST(floor(({_EPOCH}) / 3600.0) AS BIGINT) AS k, sum(value) AS a FROM events GROUP BY 1, 2),
+f AS (SELECT user_id, m, ((k % m) + m) % m AS r, avg(a) AS v FROM a, (VALUES (2), (3), (4)) AS x(m) GROUP BY 1, 2, 3),
+c AS (SELECT *, v / avg(v) OVER (PARTITION BY user_id, m) AS c FROM f)
+SELECT user_id, m AS beats_per_bar, CAST(r AS INTEGER) AS downbeat, round(c, 6) AS contrast
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, m, r) AS n FROM c) WHERE n = 1""")
 def meter_estimate(t):
     return music.meter(t("events").withColumn("s", _seconds()), "user_id", "s", "value", 3600.0).select("user_id", "beats_per_bar", "downbeat", F.round("contrast", 6).alias("contrast"))
 
@@ -767,9 +794,9 @@ def clock_format(t):
     return t("events").select("event_id", T.clock("value").alias("clock"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 50), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS id FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS id FROM documents")
 def sanitize_ids(t):
-    return t("documents").select("doc_id", T.sanitize_id(F.substring("text", 1, 50)).alias("id"))
+    return t("documents").select("doc_id", T.sanitize_id("text").alias("id"))
 
 
 @query()

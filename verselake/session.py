@@ -30,10 +30,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_uri(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder shared by driver and executors: spark.checkpoint.dir, or a local one where that is unset and everything
+    runs on this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_SCRATCH:
         _OWN_SCRATCH[app] = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="verselake-"))

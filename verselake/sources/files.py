@@ -103,10 +103,16 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return numbers.filter("start is not null and end is not null and text <> ''")
 
 
-def replacement_pairs(spark: SparkSession, path: str, most: int = 10_000) -> list[tuple[str, str]]:
-    """Replacement table, longest source first; its first ``most`` rows (it is a hand-made list)."""
+#: Rows that a replacement table may have: they become one chain of expressions, as a hand-made list may.
+MOST_PAIRS = 10_000
+
+
+def replacement_pairs(spark: SparkSession, path: str, most: int = MOST_PAIRS) -> list[tuple[str, str]]:
+    """Replacement table, longest source first, of equals in file order. A table of more than ``most`` rows is an error."""
     rows = spark.read.csv(path, schema="old string, new string").filter("old is not null and old <> ''").filter(~F.lower("old").isin("from", "來源"))
-    placed = rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(most).collect()
+    placed = rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(most + 1).collect()
+    if len(placed) > most:
+        raise ValueError(f"{path} has more than {most} replacements")
     return sorted(((r.old, r.new or "") for r in placed), key=lambda p: -len(p[0]))
 
 
