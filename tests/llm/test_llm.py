@@ -307,6 +307,49 @@ def test_html_region_is_the_whole_article():
             assert got[:2] == ["Head", "An introduction of a few words, by someone."] and got[-1] == "End note." and len(got) == 15
 
 
+def test_html_link_lines():
+    """Lines of links beside the text go; links in the text, headings that are links, and lists in an article stay."""
+    one, two = "A long first paragraph of the page. " * 6, "A long second paragraph of it, with <a href=x>a link</a> inside. " * 6
+    plain = two.replace("<a href=x>", "").replace("</a>", "").strip()
+    menu = "<div><a href=1>Imprint</a> <a href=2>Jobs</a></div><ul><li><a href=3>Terms</a><li><a href=4>Help</a></ul>"
+    body = f"<h2><a href=5>Head</a></h2><p>{one}</p><p>{two}</p>"
+    assert html_text.main_text(f"<body><div>{menu}{body}{menu}</div></body>") == f"Head\n\n{one.strip()}\n\n{plain}"
+    listed = html_text.main_text(f"<article>{body}<ul><li><a href=6>Source</a></ul></article>")
+    assert listed == f"Head\n\n{one.strip()}\n\n{plain}\n\nSource"
+    open_link = html_text.main_text(f"<body><a href=1><p>{one}</p><p>{one}</p></body>")
+    assert open_link == f"{one.strip()}\n\n{one.strip()}"
+
+
+def plain_article(html):
+    """A second, plainer reading of well-formed pages: what stands in the article's blocks, tags and markup dropped."""
+    import html as entities
+    import re
+
+    inner = re.search(r"<article>(.*)</article>", html, re.S).group(1)
+    inner = re.sub(r"(?s)<(aside|nav|form|footer|script|style|header|figure-ad)\b.*?</\1>", " ", inner)
+    parts = re.split(r"</?(?:p|h[1-6]|ul|ol|li|blockquote|div|table|tr|td)\b[^>]*>", inner)
+    texts = [" ".join(entities.unescape(re.sub(r"<br[^>]*>", " ", re.sub(r"(?s)<!--.*?-->|<(?!br)[^>]*>", "", p))).split()) for p in parts]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_html_equals_plain_reading():
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice([*"aeioulmnrst"], int(rng.integers(2, 9))))
+    text = lambda n: " ".join(word() for _ in range(n))
+    marks = ("&amp;", "&nbsp;", "&eacute;", "&#8212;", "<b>bold</b>", "<i>a</i>", "<br>", "<a href='x'>link</a>", "<!-- note -->", "\n\t ")
+    for _ in range(60):
+        blocks = []
+        for _ in range(int(rng.integers(3, 12))):
+            kind = str(rng.choice(["p", "p", "p", "h2", "blockquote", "ul"]))
+            inside = f"{text(int(rng.integers(1, 60)))} {rng.choice(marks)} {text(int(rng.integers(5, 40)))}"
+            blocks.append(f"<ul><li>{inside}</li><li>{text(3)}</li></ul>" if kind == "ul" else f"<{kind}>{inside}</{kind}>")
+        article = "".join(blocks) + str(rng.choice(["", f"<aside>{text(30)}</aside>", f"<form><input><p>{text(4)}</p></form>"]))
+        menu = "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(8))
+        page = f"<html><head><title>{text(4)}</title></head><body><header><h1>{text(2)}</h1></header><nav><ul>{menu}</ul></nav><div class='ad'>{text(25)}</div><article>{article}</article><aside>{text(40)}</aside><div id='comments'><p>{text(50)}</p></div><footer>&copy; {text(6)}</footer></body></html>"
+        assert html_text.main_text(page) == plain_article(page)
+    assert len(html_text.main_text("<p>" + "long text " * 300_000)) == 3_000_000 - 1
+
+
 def test_html_skipped_elements_end():
     """Skipped elements without an end tag, and a form around the page, don't take the article."""
     one, two = "A long first paragraph of the article. " * 5, "A long second paragraph of it. " * 5

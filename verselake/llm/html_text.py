@@ -4,8 +4,9 @@ The standard library's parser is fed in pieces; its events build lines (one for
 number of tags seen while the line was open, and the chain of containers around it. A line's text-to-tag ratio is
 smoothed by a Gaussian over its neighbours; lines above the threshold (a share of the ratios' standard deviation) are
 clustered, and the content region is the innermost container with all of the clustered text, or the outermost article
-or main element around it. Every line of the region is kept, short ones and headings too, but for what is marked as something else: menus, headers and footers,
-sidebars, notices, adverts, forms, comments.
+or main element around it. Every line of the region is kept, short ones and headings too, but for what is marked as something
+else (menus, headers and footers, sidebars, notices, adverts, forms, comments), and for lines of nothing but links under the
+threshold and outside any article, main element or heading.
 
 Defined results: null and empty pages give an empty text; broken markup is read as far as the parser goes; repeated rows
 give repeated rows; null ids are kept; other columns are ignored, whatever their names; an empty table gives an empty
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,16 +52,26 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 #: Start tags that end an open paragraph, what keeps an end from being implied through it, and tags that don't end a head.
 ENDS_P = BLOCKS - frozenset("body caption dd dt html legend li option tbody td tfoot th thead tr".split())
 SCOPES = frozenset("button caption dialog dl object ol select table template ul".split())
+HEADING = re.compile("h[1-6]$")
 IN_HEAD = frozenset("base basefont link meta noscript script style template title".split())
 
 
+class Line(NamedTuple):
+    """A block's text, the tags seen in it, and the containers around it, numbered (articles and main elements negative)."""
+
+    text: str
+    tags: int
+    chain: tuple[int, ...]
+    links_only: bool
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, chain of containers) for each block of text that isn't skipped. Articles and main elements
-    have negative numbers in the chain."""
+    """Collects a line for each block of text that isn't skipped."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[Line] = []
+        self.linked, self.free = False, False  # inside a link; whether the line has text outside links, or is a heading
         self.open: list[tuple[str, int]] = []
         self.chain: tuple[int, ...] = ()
         self.text: list[str] = []
@@ -71,8 +83,8 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.chain))
-        self.text, self.tags = [], 0
+            self.lines.append(Line(text, self.tags, self.chain, not self.free))
+        self.text, self.tags, self.free = [], 0, False
 
     def _skips(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in ("html", "body", "article", "main"):
@@ -118,6 +130,7 @@ class Lines(HTMLParser):
                 if self.open and self.open[-1][0] == name:
                     self._close(name)
         self.tags += 1
+        self.linked |= tag == "a"
         if tag in VOID:
             if tag == "br":
                 self.text.append(" ")
@@ -152,6 +165,7 @@ class Lines(HTMLParser):
                 return
             self.inner = []  # the end of a container around the skipped element
         self.tags += 1
+        self.linked &= tag != "a"
         if tag in BLOCKS:
             self.end_line()
             self._close(tag)
@@ -166,9 +180,10 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self.inner:
             self.text.append(data)
+            self.free |= (not self.linked and not data.isspace()) or bool(self.open and HEADING.match(self.open[-1][0]))
 
 
-def read_lines(html: str) -> list[tuple[str, int, tuple[int, ...]]]:
+def read_lines(html: str) -> list[Line]:
     parser = Lines()
     for i in range(0, len(html), PIECE):
         parser.feed(html[i : i + PIECE])
@@ -177,16 +192,16 @@ def read_lines(html: str) -> list[tuple[str, int, tuple[int, ...]]]:
     return without_forms(parser.lines, parser.forms)
 
 
-def without_forms(lines: list[tuple[str, int, tuple[int, ...]]], forms: dict[int, bool]) -> list[tuple[str, int, tuple[int, ...]]]:
+def without_forms(lines: list[Line], forms: dict[int, bool]) -> list[Line]:
     """Lines outside forms, and of forms that hold an article or main element, or most of the page's text."""
-    total = sum(len(text) for text, _, _ in lines)
+    total = sum(len(line.text) for line in lines)
     held: dict[int, int] = {}
-    for text, _, chain in lines:
-        for c in chain:
+    for line in lines:
+        for c in line.chain:
             if c in forms:
-                held[c] = held.get(c, 0) + len(text)
+                held[c] = held.get(c, 0) + len(line.text)
     gone = {c for c, n in held.items() if not forms[c] and 2 * n <= total}
-    return [line for line in lines if not gone.intersection(line[2])]
+    return [line for line in lines if not gone.intersection(line.chain)]
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -197,19 +212,25 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel, "full")[reach : reach + len(ratios)] / weight
 
 
-def content_lines(lines: list[tuple[str, int, tuple[int, ...]]]) -> list[str]:
+def content_lines(lines: list[Line]) -> list[str]:
     if not lines:
         return []
-    ratios = np.array([len(t) / max(1, tags) for t, tags, _ in lines])
+    ratios = np.array([len(line.text) / max(1, line.tags) for line in lines])
     smooth = smoothed(ratios)
     chosen = smooth >= THRESHOLD * smooth.std()
-    chains = [chain for (_, _, chain), good in zip(lines, chosen) if good]
+    # A page of links (an anchor that is never closed makes one) is judged by its clusters alone.
+    linked = sum(len(line.text) for line in lines if line.links_only)
+    listed = 2 * linked < sum(len(line.text) for line in lines)
+    chains = [line.chain for line, good in zip(lines, chosen) if good and not (listed and line.links_only)]
     region = chains[0] if chains else ()
     for chain in chains:
         same = next((k for k, (a, b) in enumerate(zip(region, chain)) if a != b), min(len(region), len(chain)))
         region = region[:same]
     region = next((region[: k + 1] for k, c in enumerate(region) if c < 0), region)
-    return [t for t, _, chain in lines if chain[: len(region)] == region]
+    inside = lambda line: line.chain[: len(region)] == region
+    # Smoothing lifts what stands next to long text, so a line of links is held to the threshold by its own ratio.
+    only = lambda line, ratio: listed and line.links_only and ratio < THRESHOLD * smooth.std() and min(line.chain, default=0) >= 0
+    return [line.text for line, ratio in zip(lines, ratios) if inside(line) and not only(line, ratio)]
 
 
 def main_text(html: str | None) -> str:
