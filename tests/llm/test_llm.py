@@ -465,6 +465,48 @@ def test_classifiers(spark, odd):
     assert toxicity.passages(0).tolist() == [[0, 0]] and toxicity.passages(17).tolist() == [[0, 16], [8, 17]]
 
 
+def test_network_equals_loops():
+    """Brute force: every filter at every second byte of every chunk, one place at a time."""
+    rng = np.random.default_rng(17)
+    net = quality_cnn.ByteCNN.fresh(5)
+    net.bias = rng.normal(0, 0.1, quality_cnn.FILTERS).astype(np.float32)
+    texts = ["", "a", "short text", "é好 " * 150, "x" * 1500, "word " * 240]
+    want = []
+    for text in texts:
+        data = text.encode()
+        data += b"\0" * (len(data) % 2)
+        step, size = 2 * quality_cnn.STEP, 2 * quality_cnn.CHUNK
+        starts = [0, *range(step, max(0, len(data) - size + step), step)]
+        means = np.zeros(quality_cnn.FILTERS)
+        for s in starts:
+            chunk = data[s : s + size].ljust(size, b"\0")
+            best = np.full(quality_cnn.FILTERS, -np.inf)
+            for p in range(0, size - quality_cnn.WIDTH + 1, 2):
+                best = np.maximum(best, sum(net.filters[j, chunk[p + j]] for j in range(quality_cnn.WIDTH)))
+            means += np.maximum(best + net.bias, 0)
+        want.append(1 / (1 + np.exp(-(means / len(starts) @ net.weights + net.intercept[0]))))
+    assert np.allclose(net.scores(texts), want, atol=1e-5)
+
+
+def test_subwords_equal_loops():
+    """Brute force: the softmax of each passage's averaged embeddings, one word at a time; the worst passage counts."""
+    rng = np.random.default_rng(18)
+    model = toxicity.SubwordModel(rng.normal(0, 1, (toxicity.BUCKETS, toxicity.DIM)).astype(np.float32), rng.normal(0, 1, (toxicity.DIM, 2)).astype(np.float32), np.array([0.3, -0.5]))
+    scorer, words = toxicity.Scorer(model), ["bad", "good", "Uglé", "x", "(word)", "...", "lengthyword"]
+    for n in (0, 1, 7, 16, 17, 60):
+        text = " ".join(rng.choice(words, n))
+        tokens, worst = text.lower().split(), -1.0
+        for a, z in toxicity.passages(len(tokens)):
+            mean = np.zeros(toxicity.DIM)
+            for i in range(a, z):
+                if i == 0 or tokens[i] != tokens[i - 1]:
+                    grams = toxicity.subwords(tokens[i])
+                    mean += sum(model.rows[g].astype(float) for g in grams) / max(len(grams), toxicity.LEAST_GRAMS)
+            logits = toxicity.SCALE * (mean / toxicity.PASSAGE) @ model.out + model.bias
+            worst = max(worst, 1 / (1 + np.exp(np.clip(logits[0] - logits[1], -60, 60))))
+        assert scorer.score(text) == pytest.approx(worst, rel=1e-3, abs=1e-9)
+
+
 def test_whole_text_counts():
     """A signal at the very end of a long text reaches the score."""
     net = quality_cnn.ByteCNN.fresh()
