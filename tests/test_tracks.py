@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from verselake.functions import text as T
@@ -32,10 +33,19 @@ def test_growth_stops_at_the_floor():
 
 
 def test_notes(spark):
+    schema = "by string, pos int, time double, hz double, intensity double, text string, block_start boolean"
+    made = lambda rows: [(n.char, n.kind, n.hz, n.duration and round(n.duration, 6)) for n in tracks.notes(spark.createDataFrame(rows, schema), "by").orderBy("pos").collect()]
     rows = [("a", 220.0), ("a", 220.0), ("", 230.0), ("", None), ("", None), ("b", None)]
-    df = spark.createDataFrame([("r", i, i * 0.1, h, 0.0 if h is None else 0.5, x, False) for i, (x, h) in enumerate(rows)], "by string, pos int, time double, hz double, intensity double, text string, block_start boolean")
-    made = tracks.notes(tracks.text_runs(df, "by"), tracks.bin_spacing(df, "by"), "by").orderBy("pos").collect()
-    assert [(n.char, n.kind, n.hz) for n in made] == [("a", "voiced", 220.0), ("b", "voiced", 230.0)] or [n.kind for n in made][0] == "voiced"
+    plain = [("r", i, i * 0.1, h, 0.0 if h is None else 0.5, x, False) for i, (x, h) in enumerate(rows)]
+    assert made(plain) == [("a", "voiced", 220.0, 0.5), ("b", "voiced", 230.0, 0.1)]
+    # A paragraph's silence, a tail after it that joins nothing, a loud silence of two bins, and a quiet one.
+    rows = [(0.0, "a", 200.0, 0.5, False), (0.1, "a", 240.0, 0.5, False), (1.5, "", 260.0, 0.5, True), (1.6, "x", None, 0.5, False), (1.7, "", None, 0.5, True), (1.8, "", None, 0.5, False), (1.9, "y", 300.0, 0.5, False), (2.0, "", None, 0.0, False)]
+    assert made([("s", i, a, h, v, x, b) for i, (a, x, h, v, b) in enumerate(rows)]) == [
+        ("a", "voiced", 240.0, 0.2), ("-", "rest", None, 1.3), ("啦", "voiced", 260.0, 0.1), ("x", "voiced", 260.0, 0.1), ("", "breath", None, 0.2),
+        ("y", "voiced", 300.0, 0.1), ("-", "rest", None, 0.1),
+    ]
+    spaced = spark.createDataFrame([("r", x) for x in (0.0, 0.1, 0.3, 0.6, 1.0, 9.0)], "by string, time double")
+    assert tracks.bin_spacing(spaced, "by").first().bin_seconds == pytest.approx(0.3)
     padded = spark.createDataFrame([("r", 0, "x", "rest"), ("r", 1, "y", "voiced"), ("r", 2, "z", "rest")], "by string, pos int, char string, kind string")
     assert [n.pos for n in tracks.trim_edge_rests(padded, "by").collect()] == [1]
 

@@ -820,16 +820,16 @@ def clean_pitch_tracks(t):
 @query("""
 WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
 q AS (SELECT user_id, pos * 0.02::DOUBLE + CASE WHEN pos > 20 THEN 1.0 ELSE 0.0 END AS time FROM p),
-d AS (SELECT user_id, time - lag(time) OVER (PARTITION BY user_id ORDER BY time) AS d FROM q)
-SELECT user_id, round(median(d), 6) AS bin_seconds FROM d WHERE d > 0 GROUP BY 1""")
+d AS (SELECT user_id, time - lag(time) OVER (PARTITION BY user_id ORDER BY time) AS d FROM q),
+v AS (SELECT user_id, list_sort(list(d)) AS v FROM d WHERE d > 0 AND d < 1 GROUP BY 1)
+SELECT user_id, round(v[len(v) // 2 + 1], 6) AS bin_seconds FROM v""")
 def bin_spacing(t):
     return tracks.bin_spacing(_track(t), "user_id").select("user_id", F.round("bin_seconds", 6).alias("bin_seconds"))
 
 
 @query()
 def notes_from_track(t):
-    rows = _track(t)
-    made = tracks.notes(tracks.text_runs(rows, "user_id"), tracks.bin_spacing(rows, "user_id"), "user_id")
+    made = tracks.notes(_track(t), "user_id")
     return tracks.trim_edge_rests(made, "user_id").select("user_id", "pos", "char", "kind", F.round("hz", 4).alias("hz"), F.round("duration", 6).alias("duration"))
 
 
