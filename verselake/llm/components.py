@@ -46,6 +46,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     now = written(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     state, total = None, now.count()
     for _ in range(max_rounds):
+        if not total:
+            break
         # A round never adds edges, so the first count bounds them all.
         now = written(_small_star(_large_star(now, total), total).filter("u <> v").distinct(), "edges")
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

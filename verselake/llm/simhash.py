@@ -263,13 +263,14 @@ def components_of(prints: DataFrame, id_col: str, radius: int, shard_rows: int =
 # blocks to deal shards by. So the BK-trees propose what lies within their radius, and shards by min-hashes propose the rest:
 # each of BANDS shards of a class is named by two min-hashes, and a pair at 0.8 shares none with a chance of
 # (1 - 0.8 ** 2) ** BANDS, under one in a million. Whatever is proposed is held to the exact Jaccard similarity of the shingle
-# sets. First each member of a shard is held to the shard's least member. A shard whose members are connected by then has
-# nothing left to find; in the others every pair that isn't connected yet is held to it, in cells of bounded size.
+# sets. First each member of a shard is held to the shard's head, the member that shares its shards with most others (of edited
+# copies, the text that they were made from). A shard whose members are connected by then has nothing left to find; in the
+# others every pair that isn't connected yet is held to it, in cells of bounded size.
 BANDS, SIMILAR, RADIUS = 14, 0.8, 2
 #: Shingles that a block of a crowded shard holds on average at most.
 BLOCK_SHINGLES = 1_000_000
-#: Members that are held to one least member in one task are at most about 1/SLICES of all such pairs; fewer than SLICES
-#: least members have more and are sliced, so their table may be broadcast.
+#: Members that are held to one head in one task are at most about 1/SLICES of all such pairs; fewer than SLICES heads have
+#: more and are sliced, so their table may be broadcast.
 SLICES = 1000
 _SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, (2, 2 * BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -331,38 +332,46 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
 
 
 def band_members(classes: DataFrame) -> DataFrame:
-    """(s0, s1, rep, folded, size, least): classes by each band value that another class shares, with the least class of the
-    shard. Of shards with the same members one is kept."""
+    """(s0, s1, n, rep, folded, size): classes by each band value that another class shares; n is the shard's size. Of shards
+    with the same members one is kept."""
     dealt = classes.select("rep", "folded", "size", F.posexplode("bands").alias("s0", "s1"))
     one = F.xxhash64("rep", "folded")
-    shards = dealt.groupBy("s0", "s1").agg(
-        F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(F.xxhash64(one, F.lit(SEED))).alias("y"), F.min(F.struct("rep", "folded", "size")).alias("least")
-    ).filter("n > 1")
-    chosen = shards.groupBy("n", "x", "y").agg(F.min(F.struct("s0", "s1", "least")).alias("s"))
-    return dealt.join(chosen.select("s.s0", "s.s1", "s.least"), ["s0", "s1"])
+    shards = dealt.groupBy("s0", "s1").agg(F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(F.xxhash64(one, F.lit(SEED))).alias("y")).filter("n > 1")
+    chosen = shards.groupBy("n", "x", "y").agg(F.min(F.struct("s0", "s1")).alias("s"))
+    return dealt.join(chosen.select("s.s0", "s.s1", "n"), ["s0", "s1"])
+
+
+def head_pairs(members: DataFrame) -> DataFrame:
+    """(head, rep, folded, size): each member of a shard with the one that shares its shards with most (of equals the least)."""
+    shared = members.groupBy("rep", "folded").agg(F.sum("n").alias("shared"))
+    ranked = F.struct((-F.col("shared")).alias("less"), "rep", "folded", "size")
+    heads = members.join(shared, ["rep", "folded"]).groupBy("s0", "s1").agg(F.min(ranked).alias("h"))
+    # A table of its own, so that a crowded shard's side of the join can be split.
+    heads = written(heads.select("s0", "s1", F.struct("h.rep", "h.folded", "h.size").alias("head")), "heads")
+    return members.join(heads, ["s0", "s1"]).select("head", "rep", "folded", "size")
 
 
 def tree_pairs(classes: DataFrame, radius: int) -> DataFrame:
-    """(least, rep, folded, size): what the BK-trees over the fingerprints link, and classes of one fingerprint."""
+    """(head, rep, folded, size): what the BK-trees over the fingerprints link, and classes of one fingerprint."""
     named = classes.groupBy("fp").agg(F.min(F.struct("rep", "folded", "size")).alias("first"))
     by_id = named.groupBy(F.col("first.rep").alias("r")).agg(F.min("first").alias("first"), F.min("fp").alias("fp"))
     links = shard_links(sharded(by_id.select("fp", F.col("r").alias("rep")), radius), radius)
-    roots = links.join(by_id.select(F.col("r").alias("v"), F.col("first").alias("least")), "v").join(by_id.select(F.col("r").alias("u"), "first"), "u")
-    alike = classes.join(named, "fp").select(F.col("first").alias("least"), "rep", "folded", "size")
-    return roots.select("least", "first.*").union(alike)
+    roots = links.join(by_id.select(F.col("r").alias("v"), F.col("first").alias("head")), "v").join(by_id.select(F.col("r").alias("u"), "first"), "u")
+    alike = classes.join(named, "fp").select(F.col("first").alias("head"), "rep", "folded", "size")
+    return roots.select("head", "first.*").union(alike)
 
 
 def star_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): reps of the pairs (least, rep, folded), without repeats, that are as similar. Pairs with one least are
-    sliced, the set of the least goes to each slice once, and members stream past it."""
+    """(u, v): reps of the pairs (head, rep, folded), without repeats, that are as similar. Pairs of one head are sliced, the
+    head's set goes to each slice once, and members stream past it."""
     total = pairs.count()
-    many = pairs.groupBy("least").count().filter(F.col("count") * SLICES > total)
-    many = F.broadcast(many.select("least", F.ceil(F.col("count") * SLICES / max(total, 1)).alias("slices")))
-    cut = pairs.join(many, "least", "left").withColumn("slice", F.pmod(F.xxhash64("rep", "folded"), F.coalesce("slices", F.lit(1))))
-    members = cut.join(sets, ["rep", "folded"]).select("least", "slice", F.lit(1).alias("role"), "rep", "set")
-    heads = cut.select("least", "slice").distinct().withColumns({"rep": F.col("least.rep"), "folded": F.col("least.folded")})
-    heads = heads.join(sets, ["rep", "folded"]).select("least", "slice", F.lit(0).alias("role"), "rep", "set")
-    key = ["least.rep", "least.folded", "slice"]
+    many = pairs.groupBy("head").count().filter(F.col("count") * SLICES > total)
+    many = F.broadcast(many.select("head", F.ceil(F.col("count") * SLICES / max(total, 1)).alias("slices")))
+    cut = pairs.join(many, "head", "left").withColumn("slice", F.pmod(F.xxhash64("rep", "folded"), F.coalesce("slices", F.lit(1))))
+    members = cut.join(sets, ["rep", "folded"]).select("head", "slice", F.lit(1).alias("role"), "rep", "set")
+    heads = cut.select("head", "slice").distinct().withColumns({"rep": F.col("head.rep"), "folded": F.col("head.folded")})
+    heads = heads.join(sets, ["rep", "folded"]).select("head", "slice", F.lit(0).alias("role"), "rep", "set")
+    key = ["head.rep", "head.folded", "slice"]
     placed = heads.union(members).repartition(*key).sortWithinPartitions(*key, "role").select("role", "rep", "set")
 
     def run(batches):
@@ -495,12 +504,12 @@ def similar_components(
     first = (F.any_value(c).alias(c) for c in ("fp", "bands", "size"))
     classes = written(prints.filter("doc is not null").groupBy("folded").agg(F.min("doc").alias("rep"), *first), "classes")
     members = written(band_members(classes), "members")
-    proposed = members.select("least", "rep", "folded", "size").union(tree_pairs(classes, radius)).distinct()
+    proposed = head_pairs(members).union(tree_pairs(classes, radius)).distinct()
     # Sets of less similar sizes can't be as similar.
-    sizes = F.col("size"), F.col("least.size")
-    apart = (F.col("least.rep") != F.col("rep")) & (F.least(*sizes) >= similarity * F.greatest(*sizes))
-    pairs = written(proposed.filter(apart).select("least", "rep", "folded"), "pairs")
-    asked = members.select(F.col("rep").alias("doc")).union(pairs.select("rep")).union(pairs.select("least.rep")).distinct()
+    sizes = F.col("size"), F.col("head.size")
+    apart = (F.col("head.rep") != F.col("rep")) & (F.least(*sizes) >= similarity * F.greatest(*sizes))
+    pairs = written(proposed.filter(apart).select("head", "rep", "folded"), "pairs")
+    asked = members.select(F.col("rep").alias("doc")).union(pairs.select("rep")).union(pairs.select("head.rep")).distinct()
     sets = written(shingle_sets(rows.join(asked, "doc", "left_semi"), "doc", "text", shingle).dropDuplicates(["rep", "folded"]), "sets")
     stars = written(connected_components(star_links(pairs, sets, similarity)), "stars")
     cells = written(cells_of(members, stars, shard_rows), "cells")
