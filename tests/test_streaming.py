@@ -4,8 +4,9 @@ from functools import partial
 import numpy as np
 
 from verselake.functions import signal as S
+from verselake.functions import text as T
 from verselake.sources import files, sinks
-from verselake.streaming import control
+from verselake.streaming import control, live
 from verselake.streaming.segmenter import SlidingWindows, Transcript, Utterances, segment_batch, segment_stream
 
 RATE = 1000
@@ -62,6 +63,70 @@ def test_stream_equals_batch(spark, tmp_path):
     assert want and got == want
 
 
+def live_rows():
+    rng, rows = random.Random(6), []
+    for s in ("a", "b", "open"):
+        x = speech("".join(rng.choice("0011111") * rng.randint(1, 9) for _ in range(30)))
+        parts = [x[i : i + 170] for i in range(0, len(x), 170)]
+        rows += [(s, k, "audio", bytearray(S.float_to_pcm16(p))) for k, p in enumerate(parts)]
+        rows += [(s, len(parts), "stop", None)] if s != "open" else []
+    return rows, "stream_id string, seq long, kind string, payload binary"
+
+
+def test_live_stream_equals_batch(spark, tmp_path):
+    rows, schema = live_rows()
+    df = spark.createDataFrame(rows, schema)
+    make = partial(live.Session, Utterances(RATE, longest=3.0), (("welcome", "WELCOME"),))
+    words = ["good morning everyone", "morning everyone and welcome", "字幕由 X 社群提供", "to the show", ""]
+
+    def stand_in(samples, context):
+        """Text by the length of the window, so that batch and stream must cut alike."""
+        return words[len(samples) // 100 % len(words)], 0.1
+
+    models = live.Models(stand_in, enhance=lambda x: x, embed=lambda x: [1.0, float(len(x) % 200 > 99)], translate=str.upper)
+    row = lambda r: tuple(r)
+    whole = sorted(map(row, live.live_batch(df, make, models).collect()), key=str)
+    kinds = {r[2] for r in whole}
+    assert kinds == {"partial", "final", "stats"} and not any("社群" in r[5] for r in whole) and any("WELCOME" in r[5] for r in whole)
+    assert all(r[6] == r[5].upper() and r[7] in (0, 1) for r in whole if r[2] == "final")
+    source, sink, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for part in (df.filter("seq < 9"), df.filter("seq >= 9")):
+        part.coalesce(1).write.mode("append").parquet(source)
+        out = live.live_stream(spark.readStream.schema(schema).parquet(source), make, models)
+        query = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", mark).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    got = sorted(map(row, spark.read.parquet(sink).collect()), key=str)
+    ended = lambda all_rows: [r for r in all_rows if r[0] != "open"]
+    assert ended(got) == ended(whole) and {r[2] for r in got if r[0] == "open"} <= {"partial", "final"}
+
+
+def test_idle_streams_are_flushed(spark, tmp_path):
+    """A stream without a stop row is closed by the clock, and its state goes."""
+    rows, schema = live_rows()
+    only = [r for r in rows if r[0] == "open"]
+    make = partial(live.Session, Utterances(RATE, longest=3.0))
+    want = sorted(map(str, live.live_batch(spark.createDataFrame(only, schema), make).collect()))
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(only, schema).coalesce(1).write.parquet(source)
+    out = live.live_stream(spark.readStream.schema(schema).parquet(source), make, idle=0.5)
+    query = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "mark")).trigger(processingTime="1 second").start()
+    for _ in range(60):
+        query.awaitTermination(1)
+        got = sorted(map(str, spark.read.schema(live.EVENT_SCHEMA).parquet(sink).collect())) if (tmp_path / "out").exists() else []
+        if got == want:
+            break
+    query.stop()
+    assert got == want and any("stats" in r for r in got)
+
+
+def test_gate_of_one_text(spark):
+    texts = ["字幕由 X 社群提供", "歡迎訂閱，按讚分享！", "hello", ""]
+    cases = [(t, p, r) for t in texts for p in (None, 0.2, 0.9) for r in (None, 0.001, 0.5)]
+    df = spark.createDataFrame(cases, "t string, p double, r double")
+    got = [x[0] for x in df.select(T.should_drop("t", "p", "r", 0.6, 0.008)).collect()]
+    assert got == [T.drops(t, p, r, 0.6, 0.008) for t, p, r in cases]
+
+
 def test_transcript_policies():
     t = Transcript()
     assert t.add("window", 0, 2, "我們今天") == "我們今天" and t.add("window", 1.5, 3.5, "今天很好") == "很好"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Mapping, Sequence
 
@@ -68,6 +69,17 @@ def should_drop(text: Column | str, no_speech: Column | str, rms: Column | str,
     return is_credit(text) | (silent & quiet) | (is_outro(text) & (silent | quiet))
 
 
+def drops(text: str, no_speech: float | None, rms: float | None, no_speech_at: float, rms_at: float) -> bool:
+    """``should_drop`` of one text, for use inside a stream's state."""
+    fold = lambda t: t.translate(str.maketrans(*GATE_VARIANTS)).translate(dict.fromkeys(map(ord, GATE_IGNORED))).lower()
+    folded = fold(text)
+    silent = no_speech is not None and no_speech >= no_speech_at
+    quiet = rms is not None and rms <= rms_at
+    if any(re.search(p, folded) for p in CREDIT_PATTERNS) or (silent and quiet):
+        return True
+    return (silent or quiet) and any(fold(p) in folded for p in OUTRO_PHRASES)
+
+
 @pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -194,10 +206,9 @@ def distinct_lower(items: Column | str, most: int = 4) -> Column:
 JOIN_IGNORED = frozenset(" \t\r\n，,。.!?！？、；;：:\"'“”‘’（）()[]【】")
 
 
-def _joinable(text: str) -> tuple[list[str], list[int]]:
-    """Case-folded characters that count for the join, and the place after each."""
-    kept = [i for i, ch in enumerate(text) if ch not in JOIN_IGNORED]
-    return [text[i].casefold() for i in kept], [i + 1 for i in kept]
+def spoken(text: str) -> list[tuple[str, int]]:
+    """(case-folded character, place after it) of what counts for the join."""
+    return [(ch.casefold(), i) for i, ch in enumerate(text, 1) if ch not in JOIN_IGNORED]
 
 
 def overlaps(before: list[str], after: list[str]) -> list[int]:
@@ -214,19 +225,25 @@ def overlaps(before: list[str], after: list[str]) -> list[int]:
     return out
 
 
+def is_han(ch: str) -> bool:
+    return "一" <= ch <= "鿿"
+
+
 def novel_part(transcript: str, current: str, cap: int | None = None, tail_chars: int = 160) -> str:
     """What ``current`` adds to the transcript: its longest start that ends the transcript is cut, if that is at least two
     characters near Han text and six elsewhere. ``cap`` bounds the overlap that may be cut (0: none); without a cap, a
     text that the transcript's tail holds adds nothing."""
-    current = " ".join(current.split())
-    if not current or not transcript:
-        return current
-    (old, _), (new, ends) = _joinable(transcript[-tail_chars:]), _joinable(current)
-    if cap is None and new and "".join(new) in "".join(old):
+    said = " ".join(current.split())
+    if not (said and transcript):
+        return said
+    known, fresh = [c for c, _ in spoken(transcript[-tail_chars:])], spoken(said)
+    letters = [c for c, _ in fresh]
+    if cap is None and letters and "".join(letters) in "".join(known):
         return ""
-    least = 2 if any("一" <= c <= "鿿" for c in (*old[-24:], *new[:24])) else 6
-    fitting = [n for n in overlaps(old, new) if n >= least and (cap is None or n <= cap)]
-    return current[ends[fitting[0] - 1] :].lstrip(" ，,。.!?！？") if fitting else f" {current}"
+    shortest = 2 if any(map(is_han, known[-24:] + letters[:24])) else 6
+    longest = len(letters) if cap is None else cap
+    shared = next((n for n in overlaps(known, letters) if shortest <= n <= longest), None)
+    return f" {said}" if shared is None else said[fresh[shared - 1][1] :].lstrip(" ，,。.!?！？")
 
 
 def prompt(context: Column | str, base: Column | str, terms: Column | str) -> Column:

@@ -330,3 +330,16 @@ def hooks_without_models(t):
     kept = hooks.enhance(F.array(F.lit(0.5).cast("float")), None)
     rows = t("benchmark").select("item_id", none.alias("translated"), F.when(F.get(kept, 0) == 0.5, F.col("text")).alias("same"))
     return rows
+
+
+@query()
+def live_events(t):
+    """Partial, final and stats events of whole streams, each window named by a stand-in."""
+    from functools import partial
+
+    from verselake.plans.catalog import _pcm
+    from verselake.streaming import live
+    from verselake.streaming.segmenter import Utterances
+
+    make = partial(live.Session, Utterances(rate=1000, longest=3.0))
+    return live.live_batch(_pcm(t), make).select("stream_id", "idx", "type", F.round("start_seconds", 6).alias("start_seconds"), F.round("end_seconds", 6).alias("end_seconds"), "text")

@@ -19,6 +19,9 @@ from verselake.functions import text as T
 from verselake.operators.speakers import OnlineClusters
 
 WINDOW_SCHEMA = "stream_id string, idx int, start_seconds double, end_seconds double, rms double, kind string, samples binary"
+#: With an idle time, state that saw no row for so many seconds of processing time goes. Such a query looks at the clock again
+#: and again, so it runs until it is stopped; a run over what is there (availableNow) must do without.
+IDLE = None
 #: Part of a segment, counted from its start, in which a forced split looks for a quiet place.
 SPLIT_FROM, SPLIT_TO = 0.75, 0.98
 
@@ -170,6 +173,15 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in WINDOW_SCHEMA.split(", ")])
 
 
+def _timeout(idle: float | None) -> str:
+    return "NoTimeout" if idle is None else "ProcessingTimeTimeout"
+
+
+def _wait(state, idle: float | None) -> None:
+    if idle is not None:
+        state.setTimeoutDuration(int(idle * 1000))
+
+
 def segment_batch(stream: DataFrame, make) -> DataFrame:
     """Windows of whole streams (stream_id, seq, kind, payload); ``make`` builds the state object."""
 
@@ -179,21 +191,29 @@ def segment_batch(stream: DataFrame, make) -> DataFrame:
     return stream.select("stream_id", "seq", "kind", "payload").groupBy("stream_id").applyInPandas(run, WINDOW_SCHEMA)
 
 
-def segment_stream(stream: DataFrame, make) -> DataFrame:
-    """The same over a streaming DataFrame; the object is the state of its stream and goes at its stop row."""
+def segment_stream(stream: DataFrame, make, idle: float | None = IDLE) -> DataFrame:
+    """The same over a streaming DataFrame; the object is the state of its stream and goes at its stop row, or, flushed, after
+    ``idle`` seconds without a row (see ``IDLE``)."""
 
     def run(key, frames, state):
+        if state.hasTimedOut:
+            segmenter = pickle.loads(state.get[0])
+            state.remove()
+            yield _frame([{"stream_id": key[0], **r} for r in segmenter.finish()])
+            return
         segmenter = pickle.loads(state.get[0]) if state.exists else make()
         frame = pd.concat(list(frames), ignore_index=True)
         out = _frame(_rows(key[0], segmenter, frame))
         if (frame["kind"] == "stop").any():
-            state.remove()
+            if state.exists:
+                state.remove()
         else:
             state.update((pickle.dumps(segmenter),))
+            _wait(state, idle)
         yield out
 
     grouped = stream.select("stream_id", "seq", "kind", "payload").groupBy("stream_id")
-    return grouped.applyInPandasWithState(run, WINDOW_SCHEMA, "state binary", "append", "NoTimeout")
+    return grouped.applyInPandasWithState(run, WINDOW_SCHEMA, "state binary", "append", _timeout(idle))
 
 
 JOINED_SCHEMA = "stream_id string, idx long, novel string"
@@ -209,27 +229,35 @@ def join_batch(texts: DataFrame) -> DataFrame:
     return texts.groupBy("stream_id").applyInPandas(lambda f: _joined(f["stream_id"].iloc[0], Transcript(), f), JOINED_SCHEMA)
 
 
-def join_stream(texts: DataFrame) -> DataFrame:
+def join_stream(texts: DataFrame, idle: float | None = IDLE) -> DataFrame:
     def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         transcript = pickle.loads(state.get[0]) if state.exists else Transcript()
         out = _joined(key[0], transcript, pd.concat(list(frames), ignore_index=True))
         state.update((pickle.dumps(transcript),))
+        _wait(state, idle)
         yield out
 
-    return texts.groupBy("stream_id").applyInPandasWithState(run, JOINED_SCHEMA, "state binary", "append", "NoTimeout")
+    return texts.groupBy("stream_id").applyInPandasWithState(run, JOINED_SCHEMA, "state binary", "append", _timeout(idle))
 
 
 SPEAKER_SCHEMA = "session string, seq long, speaker int"
 
 
-def speakers_stream(vectors: DataFrame, most: int = 6, threshold: float = 0.75) -> DataFrame:
+def speakers_stream(vectors: DataFrame, most: int = 6, threshold: float = 0.75, idle: float | None = IDLE) -> DataFrame:
     """Online clustering of a stream of vectors (session, seq, vec)."""
 
     def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = pickle.loads(state.get[0]) if state.exists else OnlineClusters(most, threshold)
         frame = pd.concat(list(frames), ignore_index=True).sort_values("seq")
         found = [kept.assign(v) for v in frame["vec"]]
         state.update((pickle.dumps(kept),))
+        _wait(state, idle)
         yield pd.DataFrame({"session": key[0], "seq": frame["seq"], "speaker": pd.array(found, "Int32")})
 
-    return vectors.groupBy("session").applyInPandasWithState(run, SPEAKER_SCHEMA, "state binary", "append", "NoTimeout")
+    return vectors.groupBy("session").applyInPandasWithState(run, SPEAKER_SCHEMA, "state binary", "append", _timeout(idle))
