@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from verselake.functions import signal
 from verselake.functions import text as T
-from verselake.operators import blocks, folds, hooks, metrics, music, speakers, splits
+from verselake.operators import blocks, hooks, metrics, music, speakers, splits
+from verselake.sources import files
 
 
 def test_glide_edges():
@@ -121,3 +122,41 @@ def test_small_text_rules(spark):
     rows = spark.createDataFrame([("é好😀a", "mir1k_amy_3_02", "zh-TW")], "t string, s string, l string")
     r = rows.select(T.ascii_escape("t"), T.singer("s"), T.joiner("l"), T.rolling_context("t", 2), T.rolling_context("t", 0)).first()
     assert tuple(r) == ("\\xe9\\u597d\\U0001f600a", "amy", "", "😀a", "")
+
+
+def test_preparation_and_spectrogram(spark):
+    rate = 8000
+    rng = np.random.default_rng(2)
+    voice = signal.sine(rate, 1.0, 200.0, 0.05)
+    clip = np.concatenate([voice, np.zeros(rate, np.float32)]) + rng.normal(0, 0.002, 2 * rate).astype(np.float32)
+    assert (signal.prepare(clip, rate, "off") == clip).all() and len(signal.prepare(clip[:0], rate)) == 0
+    for profile, gain in (("natural", 6.0), ("speech", 10.0), ("unknown", 6.0)):
+        out = signal.prepare(clip, rate, profile)
+        loud, quiet = signal.rms(out[:rate]) / signal.rms(clip[:rate]), signal.rms(out[rate + 400 :]) / signal.rms(clip[rate + 400 :])
+        assert len(out) == len(clip) and np.abs(out).max() <= signal.HEADROOM and quiet < 0.75 * loud and 1 < loud <= 10 ** (gain / 20)
+    levels = signal.frame_levels(clip, 160, 80)
+    assert np.allclose(levels[:50], [signal.rms(clip[i * 80 : i * 80 + 160]) for i in range(50)])
+    found = signal.spectrogram(voice * 4, rate)
+    shades = np.frombuffer(found["magnitudes"], np.uint8).reshape(found["time_bins"], found["bands"])
+    assert shades.max() == 255 and (shades.argmax(axis=1) == 6).all() and found["bands"] == 64
+    assert sum(x is not None and abs(x - 200) < 2 for x in found["f0"]) >= 0.9 * found["time_bins"]
+    assert signal.spectrogram(clip[:0], rate) is None and signal.spectrogram(voice[:100], rate)["time_bins"] == 1
+    row = spark.createDataFrame([(bytearray(signal.float_to_pcm16(voice * 4)),), (None,)], "b binary").select(signal.spectrograms(F.col("b"), rate).alias("s")).collect()
+    assert len(row[0].s.f0) == found["time_bins"] and row[1].s.time_bins is None
+
+
+def test_corpus_lists(spark, tmp_path):
+    head = "client_id\tpath\tsentence\n"
+    for name, rows in (("train", "s1\ta.mp3\thello\ns2\tb.mp3\tq\"uote\n"), ("test", "s1\tc.mp3\tx\n")):
+        (tmp_path / f"{name}.tsv").write_text(head + rows)
+    folder = str(tmp_path)
+    assert {(r.stem, r.speaker) for r in files.common_voice(spark, folder).collect()} == {("a", "s1"), ("b", "s2"), ("c", "s1")}
+    assert {r.stem for r in files.clip_stems(spark, f"{folder}/train.tsv", f"{folder}/gone.tsv").collect()} == {"a", "b"}
+    (tmp_path / "validated.tsv").write_text(head + "s9\tz.mp3\ty\ns8\tz.mp3\tlater\n")
+    assert [tuple(r) for r in files.common_voice(spark, folder).collect()] == [("z", "s8", "later")]
+    assert files.common_voice(spark, f"{folder}/none").count() == 0 and files.clip_stems(spark, f"{folder}/none.tsv").count() == 0
+    assert files.alignment_gold(spark, f"{folder}/none.jsonl").count() == 0
+    (tmp_path / "pairs.csv").write_text("from,to\na,b\nlonger,c\n")
+    assert files.replacement_pairs(spark, f"{folder}/pairs.csv") == [("longer", "c"), ("a", "b")]
+    with pytest.raises(ValueError):
+        files.replacement_pairs(spark, f"{folder}/pairs.csv", most=1)

@@ -343,3 +343,30 @@ def live_events(t):
 
     make = partial(live.Session, Utterances(rate=1000, longest=3.0))
     return live.live_batch(_pcm(t), make).select("stream_id", "idx", "type", F.round("start_seconds", 6).alias("start_seconds"), F.round("end_seconds", 6).alias("end_seconds"), "text")
+
+
+def _payloads(t) -> DataFrame:
+    return _tones(t).select("event_id", signal.pcm_bytes(F.col("samples")).alias("payload"))
+
+
+@query()
+def spectrogram_tracks(t):
+    found = _payloads(t).select("event_id", signal.spectrograms(F.col("payload"), 8000, 12).alias("s"))
+    voiced = F.size(F.filter("s.f0", lambda x: x.isNotNull()))
+    return found.select("event_id", "s.time_bins", "s.bands", F.octet_length("s.magnitudes").alias("bytes"), voiced.alias("voiced"))
+
+
+@query()
+def prepared_audio(t):
+    """Loudness of each tone before and after preparation."""
+    rows = _payloads(t).select("event_id", signal.pcm_rms(F.col("payload")).alias("before"), signal.pcm_rms(signal.prepared(F.col("payload"), 8000, "speech")).alias("after"))
+    return rows.select("event_id", F.round("before", 5).alias("before"), F.round("after", 5).alias("after"))
+
+
+@query()
+def tempo_estimates(t):
+    """Each user's tones end to end as one recording."""
+    order = F.array_sort(F.collect_list(F.struct("event_id", "payload")))
+    clips = _payloads(t).join(t("events").select("event_id", "user_id"), "event_id").groupBy("user_id").agg(order.alias("p"))
+    whole = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["payload"]))
+    return clips.select("user_id", F.round(signal.pcm_tempo(whole, 8000), 2).alias("bpm"))

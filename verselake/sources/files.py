@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verselake.functions import text as X
+from verselake.operators.splits import validated_or_all
 
 CHARACTER = (
     "char string, startSeconds double, endSeconds double, durationSeconds double, hz double, jianpu string, jianpuStart string, "
@@ -76,6 +80,30 @@ def clip_table(spark: SparkSession, path: str) -> DataFrame:
     return placed.groupBy(stem("path").alias("stem")).agg(F.max_by("client_id", "_at").alias("speaker"), F.max_by("sentence", "_at").alias("sentence"))
 
 
+def clip_stems(spark: SparkSession, *paths: str) -> DataFrame:
+    """(stem) of the clips that any of the lists names; a list that isn't there counts as empty."""
+    found = [clip_table(spark, p).select("stem") for p in paths if exists(spark, p)]
+    return reduce(DataFrame.union, found).distinct() if found else spark.createDataFrame([], "stem string")
+
+
+def common_voice(spark: SparkSession, folder: str) -> DataFrame:
+    """(stem, speaker, sentence) of a corpus folder: its validated list if it has one, else its train, dev and test lists."""
+    lists = [f"{folder}/{n}.tsv" for n in ("validated", "train", "dev", "test")]
+    names = lists[:1] if exists(spark, lists[0]) else [p for p in lists[1:] if exists(spark, p)]
+    if not names:
+        return spark.createDataFrame([], "stem string, speaker string, sentence string")
+    return validated_or_all(None, *(clip_table(spark, p) for p in names))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finds a path, in whatever store it is."""
+    try:
+        spark.read.format("binaryFile").load(path).schema
+        return True
+    except AnalysisException:
+        return False
+
+
 def clip_stem(chunk: Column | str) -> Column:
     """Clip id of a numbered chunk id."""
     return F.regexp_replace(F.regexp_replace(chunk, "^cv_", ""), r"_\d+$", "")
@@ -93,6 +121,9 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def alignment_gold(spark: SparkSession, path: str) -> DataFrame:
+    """(id, words) of rows with words; no rows where there is no such file."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], GOLD)
     return spark.read.json(path, schema=GOLD).filter(F.size("words") > 0)
 
 
