@@ -45,6 +45,28 @@ def test_edit_counts_are_optimal():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+def test_long_texts_align_exactly():
+    """Halved tables give a path as short as a whole one."""
+    rng = random.Random(8)
+    for _ in range(120):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        for cells in (4, 40, 4_000_000):
+            steps = align.diagonals(a, b, cells)
+            changed = sum(a[i] != b[j] for i, j in steps)
+            assert changed + len(a) + len(b) - 2 * len(steps) == brute_cost(a, b)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(steps, steps[1:]))
+
+
+def test_anchored_and_dropped(spark):
+    lyrics = spark.createDataFrame([(1, "abcd\nxy"), (2, "q")], "rec_id int, lyrics string")
+    heard = spark.createDataFrame([(1, c, float(i), i + 1.0) for i, c in enumerate("abzdxy!k")] + [(3, "q", 0.0, 1.0)], "rec_id int, char string, start double, end double")
+    aligned = align.align_lyrics(lyrics, heard)
+    got = {r.char: (r.start, r.matched, r.anchored) for r in aligned.filter("rec_id = 1").collect()}
+    assert got["c"] == (2.0, False, True) and got["x"] == (4.0, True, True)
+    totals = {r.rec_id: (round(r.matched_ratio, 4), r.anchored_ratio, r.dropped) for r in align.alignment_totals(aligned, heard).collect()}
+    assert totals == {1: (0.8333, 1.0, 1), 2: (0.0, 0.0, 0)}
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("g", "abc", "abd"), ("g", "小星星", "心星星")], "g string, ref string, hyp string")
     r = metrics.error_rates(df, ["g"]).first()

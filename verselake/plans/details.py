@@ -370,3 +370,13 @@ def tempo_estimates(t):
     clips = _payloads(t).join(t("events").select("event_id", "user_id"), "event_id").groupBy("user_id").agg(order.alias("p"))
     whole = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["payload"]))
     return clips.select("user_id", F.round(signal.pcm_tempo(whole, 8000), 2).alias("bpm"))
+
+
+@query()
+def lyrics_totals(t):
+    """How much of each text is found again in a version of it with other sounds and a word too many."""
+    lyrics = t("benchmark").select(F.col("item_id").alias("rec_id"), F.col("text").alias("lyrics"))
+    word = F.concat(F.regexp_replace("text", "th", "dx"), F.lit(" extra"))
+    heard = align.even_chars(t("benchmark").select(F.col("item_id").alias("rec_id"), word.alias("word"), F.lit(0.0).alias("start"), F.lit(60.0).alias("end")))
+    out = align.alignment_totals(align.align_lyrics(lyrics, heard), heard)
+    return out.select("rec_id", F.round("matched_ratio", 6).alias("matched_ratio"), F.round("anchored_ratio", 6).alias("anchored_ratio"), "dropped")
