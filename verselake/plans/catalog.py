@@ -434,7 +434,10 @@ def merge_short_lines(t):
     return corpus.merge_lines(corpus.line_ends(_lines(t)), min_dur=60.0, max_dur=600.0, max_gap=300.0)
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT conv_id AS song_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS line, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS text FROM conversations),
+e AS (SELECT song_id, line, 0 AS k, ((turn % 60) * 60 + song_id % 60 + 0.5)::DOUBLE AS start, text FROM l UNION ALL SELECT song_id, line, 1, 541.25, text FROM l)
+SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY start, line, k) - 1 AS pos, start, text FROM e""")
 def lrc_parse(t):
     stamp = F.format_string("[%02d:%02d.50]", F.col("turn") % 60, F.col("conv_id") % 60)
     lines = t("conversations").groupBy(F.col("conv_id").alias("song_id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(stamp, F.lit("[09:01.25]"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("x")))).alias("l"))
