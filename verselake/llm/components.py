@@ -23,9 +23,11 @@ def _with_least(edges: DataFrame, total: int) -> DataFrame:
     is_hub = F.col("n") > max(total // HUBS, 1)
     hubs = F.broadcast(least.filter(is_hub).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
     marked = edges.join(hubs, F.col("u") == F.col("hub"), "left")
-    of_hubs = marked.filter("hub is not null").select("u", "v", F.col("hub_m").alias("m"))
-    rest = marked.filter("hub is null").select("u", "v").join(least.filter(~is_hub).select("u", "m"), "u")
-    return of_hubs.union(rest.select("u", "v", "m"))
+    # The edges of hubs have their answer; spread over keys of their own they fill no task.
+    key = F.when(F.col("hub").isNull(), F.xxhash64("u")).otherwise(F.xxhash64("v", F.lit("hub")))
+    rest = least.select(F.xxhash64("u").alias("key"), F.col("u").alias("_u"), "m")
+    joined = marked.withColumn("key", key).join(rest, ["key"], "left").filter(F.col("hub").isNotNull() | (F.col("u") == F.col("_u")))
+    return joined.select("u", "v", F.coalesce("hub_m", "m").alias("m"))
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:

@@ -263,9 +263,9 @@ def components_of(prints: DataFrame, id_col: str, radius: int, shard_rows: int =
 # blocks to deal shards by. So the BK-trees propose what lies within their radius, and shards by min-hashes propose the rest:
 # each of BANDS shards of a class is named by two min-hashes, and a pair at 0.8 shares none with a chance of
 # (1 - 0.8 ** 2) ** BANDS, under one in a million. Whatever is proposed is held to the exact Jaccard similarity of the shingle
-# sets. First each member of a shard is held to the shard's head, the member that shares its shards with most others (of edited
-# copies, the text that they were made from). A shard whose members are connected by then has nothing left to find; in the
-# others every pair that isn't connected yet is held to it, in cells of bounded size.
+# sets, of 32-bit hashes. First each member of a shard is held to the shard's head, its least member. A shard whose members
+# are connected by then has nothing left to find; in the others every pair that isn't connected yet is held to it, in cells of
+# bounded size.
 BANDS, SIMILAR, RADIUS = 14, 0.8, 2
 #: Shingles that a block of a crowded shard holds on average at most.
 BLOCK_SHINGLES = 1_000_000
@@ -317,38 +317,30 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(rep, folded, set): the distinct shingle hashes of each row, ascending as unsigned numbers."""
+    """(rep, folded, set): 32 bits of the distinct shingle hashes of each row, ascending as unsigned numbers."""
     chosen = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 texts = part.column(1).to_pylist()
-                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
-                columns = [pa.array([folded_digest(t) for t in texts], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
+                sets = [np.unique((shingle_hashes(t, shingle) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in texts]
+                columns = [pa.array([folded_digest(t) for t in texts], pa.binary()), pa.array(sets, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["rep", "folded", "set"])
 
-    return chosen.mapInArrow(run, "rep long, folded binary, set array<long>")
+    return chosen.mapInArrow(run, "rep long, folded binary, set array<int>")
 
 
 def band_members(classes: DataFrame) -> DataFrame:
-    """(s0, s1, n, rep, folded, size): classes by each band value that another class shares; n is the shard's size. Of shards
-    with the same members one is kept."""
+    """(s0, s1, head, rep, folded, size): classes by each band value that another class shares, with the shard's least class.
+    Of shards with the same members one is kept."""
     dealt = classes.select("rep", "folded", "size", F.posexplode("bands").alias("s0", "s1"))
     one = F.xxhash64("rep", "folded")
-    shards = dealt.groupBy("s0", "s1").agg(F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(F.xxhash64(one, F.lit(SEED))).alias("y")).filter("n > 1")
-    chosen = shards.groupBy("n", "x", "y").agg(F.min(F.struct("s0", "s1")).alias("s"))
-    return dealt.join(chosen.select("s.s0", "s.s1", "n"), ["s0", "s1"])
-
-
-def head_pairs(members: DataFrame) -> DataFrame:
-    """(head, rep, folded, size): each member of a shard with the one that shares its shards with most (of equals the least)."""
-    shared = members.groupBy("rep", "folded").agg(F.sum("n").alias("shared"))
-    ranked = F.struct((-F.col("shared")).alias("less"), "rep", "folded", "size")
-    heads = members.join(shared, ["rep", "folded"]).groupBy("s0", "s1").agg(F.min(ranked).alias("h"))
-    # A table of its own, so that a crowded shard's side of the join can be split.
-    heads = written(heads.select("s0", "s1", F.struct("h.rep", "h.folded", "h.size").alias("head")), "heads")
-    return members.join(heads, ["s0", "s1"]).select("head", "rep", "folded", "size")
+    shards = dealt.groupBy("s0", "s1").agg(
+        F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(F.xxhash64(one, F.lit(SEED))).alias("y"), F.min(F.struct("rep", "folded", "size")).alias("head")
+    ).filter("n > 1")
+    chosen = shards.groupBy("n", "x", "y").agg(F.min(F.struct("s0", "s1", "head")).alias("s"))
+    return dealt.join(chosen.select("s.s0", "s.s1", "s.head"), ["s0", "s1"])
 
 
 def tree_pairs(classes: DataFrame, radius: int) -> DataFrame:
@@ -375,10 +367,10 @@ def star_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     placed = heads.union(members).repartition(*key).sortWithinPartitions(*key, "role").select("role", "rep", "set")
 
     def run(batches):
-        head, own = None, np.zeros(0, np.uint64)
+        head, own = None, np.zeros(0, np.uint32)
         for batch in batches:
             role, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            at, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy().view(np.uint64)
+            at, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy().view(np.uint32)
             us, vs = [], []
             edges = [0, *np.flatnonzero(role == 0).tolist(), len(role)]
             for a, z in zip(edges, edges[1:]):
@@ -504,7 +496,7 @@ def similar_components(
     first = (F.any_value(c).alias(c) for c in ("fp", "bands", "size"))
     classes = written(prints.filter("doc is not null").groupBy("folded").agg(F.min("doc").alias("rep"), *first), "classes")
     members = written(band_members(classes), "members")
-    proposed = head_pairs(members).union(tree_pairs(classes, radius)).distinct()
+    proposed = members.select("head", "rep", "folded", "size").union(tree_pairs(classes, radius)).distinct()
     # Sets of less similar sizes can't be as similar.
     sizes = F.col("size"), F.col("head.size")
     apart = (F.col("head.rep") != F.col("rep")) & (F.least(*sizes) >= similarity * F.greatest(*sizes))
