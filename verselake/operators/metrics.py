@@ -10,6 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
 from verselake.functions import text as T
+from verselake.operators.edits import edit_counts
 
 EDITS = StructType([StructField(n, LongType()) for n in ("hits", "subs", "dels", "ins")])
 
@@ -24,34 +25,10 @@ def wer_compat(ref: str = "ref", hyp: str = "hyp") -> Column:
     return F.avg((F.col(ref) != F.col(hyp)).cast("double"))
 
 
-def edit_counts(ref: list, hyp: list) -> tuple[int, int, int, int]:
-    """(hits, substitutions, deletions, insertions) of an optimal alignment, ties to the diagonal."""
-    rows, cols = len(ref), len(hyp)
-    cost = np.zeros((rows + 1, cols + 1), np.int32)
-    cost[0], cost[:, 0] = np.arange(cols + 1), np.arange(rows + 1)
-    other = np.array(hyp, dtype=object)
-    step = np.arange(cols + 1)
-    for i in range(1, rows + 1):
-        best = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (other != ref[i - 1]))
-        cost[i, 1:] = best
-        cost[i] = np.minimum.accumulate(cost[i] - step) + step
-    hits = subs = dels = ins = 0
-    i, j = rows, cols
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
-            same = ref[i - 1] == hyp[j - 1]
-            hits, subs, i, j = hits + same, subs + (not same), i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            dels, i = dels + 1, i - 1
-        else:
-            ins, j = ins + 1, j - 1
-    return hits, subs, dels, ins
-
-
 @pandas_udf(EDITS)
 def edit_path(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Edit counts of two texts by character."""
-    rows = [edit_counts(list(r or ""), list(h or "")) for r, h in zip(ref, hyp)]
+    rows = [edit_counts(r or "", h or "") for r, h in zip(ref, hyp)]
     return pd.DataFrame(rows, columns=["hits", "subs", "dels", "ins"], dtype="int64")
 
 
