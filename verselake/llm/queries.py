@@ -1,4 +1,4 @@
-"""The queries of the ten operators, over whole tables, and their SQL where SQL can express them."""
+"""The queries of the thirteen operators, over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verselake.llm import bpe, decontaminate, html_text, quality_cnn, quality_rules, sharding, simhash, token_files, toxicity, urls
+from verselake.llm import (
+    bpe, decontaminate, fuzzy_hash, html_text, quality_cnn, quality_rules, sharding, simhash, token_files, toxicity, urls, vector_codes, whitening,
+)
 from verselake.session import ship_package, table
 
 END_ID = 2
@@ -65,6 +67,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_hash.with_neighbours(table(spark, sf_dir, "documents"))
+
+
 _ALL = [
     op1_byte_bpe,
     op2_simhash_dedup,
@@ -76,6 +90,9 @@ _ALL = [
     op8_sharding,
     op9_quality_cnn,
     op10_toxicity,
+    op11_vector_codes,
+    op12_whitening,
+    op13_fingerprints,
 ]
 
 
