@@ -1,16 +1,18 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash of the last WINDOW bytes of the UTF-8 text is mixed into 64 bits; where its last k bits are all ones, a chunk of block size
-2^k ends. The block size is the least with at most CHUNKS chunks, so it follows from the text alone and boundaries of a
-block size are boundaries of all smaller ones. A fingerprint is ``k:chunks:chunks``: two letters (12 bits of a CRC) for each
-chunk at 2^k, and the same at 2^(k+1). Two fingerprints are compared by edit distance over chunks at block sizes that
-both have; their likeness is the best of 1 - distance / longer, and 0 where the block sizes are more than a factor of 2 apart.
+2^k ends. The block size is the greatest with FEWEST boundaries or more, so it follows from the text alone and boundaries of a
+block size are boundaries of all smaller ones; a text that repeats a passage so often that this gives more than MOST takes
+the next block size. A fingerprint is ``k:chunks:chunks``: two letters (12 bits of a CRC) for each chunk at 2^k, and the
+same at 2^(k+1); every byte is in one chunk of either. Two fingerprints are compared by edit distance over chunks at block
+sizes that both have; their likeness is the best of 1 - distance / longer, and 0 where the block sizes are more than a
+factor of 2 apart.
 
 ``with_neighbours`` fingerprints a text, an edited text that takes its end from the next document, and compares. Rows are dealt by
 ranges of (id, hash of the text, place), so that a hot id is spread; a task streams its rows in order and leaves its
 first and last row, whose neighbour another task has, as the two edges of its range, which meet in a second small step.
 
-Defined results: a null text is an empty text; an empty text has the fingerprint ``2::`` and likeness 1 to an empty one, 0 to any
+Defined results: a null text is an empty text; an empty text has the fingerprint ``1::`` and likeness 1 to an empty one, 0 to any
 other; null ids come first; rows of one id are ordered by a hash of their text; a single document is its own next one;
 repeated rows each have a result; other columns are ignored, whatever their names; an empty table gives an empty table.
 """
@@ -33,7 +35,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from verselake.operators.edits import distance
 from verselake.session import written
 
-WINDOW, LEAST, CHUNKS = 7, 2, 64
+WINDOW, LEAST = 7, 1
+FEWEST, MOST = 32, 1024
 #: Odd multipliers of the rolling hash and of its mixing.
 ROLL, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Bytes that are hashed at once.
@@ -73,7 +76,8 @@ def fingerprint(text: str | None) -> str:
     data = (text or "").encode("utf-8", "surrogatepass")
     at = levels(data)
     reached = np.cumsum(np.bincount(at, minlength=66)[::-1])[::-1]
-    size = LEAST + int(np.argmax(reached[LEAST:] < CHUNKS))
+    size = max(LEAST, int(np.argmin(reached >= FEWEST)) - 1)
+    size += int(reached[size] > MOST)
     ends = np.flatnonzero(at >= size)
     return f"{size}:{_signature(data, ends)}:{_signature(data, ends[at[ends] > size])}"
 
