@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from verselake.operators import align, corpus, metrics, music, registry, search, speakers, splits, summary
@@ -179,12 +180,54 @@ def test_degrees_round_trip(spark):
     assert one.g == "1↗1̇" and one.b == 1.0
 
 
-def test_tonic_and_clusters():
+def loop_tonic(notes, last_weight=3.0):
+    """The rule note by note."""
+    good = [(f, w if w and w > 0 and np.isfinite(w) else 0.0) for f, w in notes if f and f > 0 and np.isfinite(f)]
+    if not good:
+        return None, 0.0, "empty"
+    thin = (float(np.median([f for f, _ in good])), 0.0, "median")
+    if len(good) < 8:
+        return thin
+    weights = [w for _, w in good] if any(w for _, w in good) else [1.0] * len(good)
+    weights[-1] *= last_weight
+    steps = [12 * np.log2(f / 440) for f, _ in good]
+    mean = sum(w * np.exp(2j * np.pi * s) for w, s in zip(weights, steps))
+    offset = np.angle(mean) / (2 * np.pi)
+    held = [0.0] * 12
+    for w, s in zip(weights, steps):
+        held[int(np.rint(s - offset)) % 12] += w
+    if sum(h >= 0.02 * sum(held) for h in held) < 4 or min(held) == max(held):
+        return thin
+    scores = [np.corrcoef([held[(r + k) % 12] for k in range(12)], p)[0, 1] for p in (music.MAJOR_PROFILE, music.MINOR_PROFILE) for r in range(12)]
+    best = int(np.argmax(scores))
+    root = best if best < 12 else (best - 9) % 12
+    share = sum(held[(root + s) % 12] for s in music.MAJOR_STEPS) / sum(held)
+    if share < 0.75:
+        return thin
+    tonic = 440 * 2 ** ((offset + root) / 12)
+    return float(tonic * 2.0 ** np.floor(np.log2(thin[0] / tonic))), share, "key"
+
+
+def test_tonic_of_recordings(spark):
+    rng = np.random.default_rng(4)
     scale = [0, 2, 4, 5, 7, 9, 11, 12, 7, 4, 0]
-    hz, source = np.array([261.63 * 2 ** (s / 12) for s in scale]), None
-    tonic, confidence, source = music.tonic_of(hz, np.ones(len(hz)))
-    assert source == "key" and confidence > 0.99 and abs(np.log2(tonic / 261.63) % 1) < 0.02
-    assert music.tonic_of(np.array([np.nan]), np.ones(1)) == (None, 0.0, "empty")
+    tunes = {0: [(261.63 * 2 ** (s / 12), 1.0) for s in scale], 1: [(None, 1.0), (float("nan"), 1.0), (-3.0, 1.0)], 2: [(220.0, 0.5)] * 12, 3: [(300.0, 1.0)] * 3, 4: [(131 * 2 ** (s / 12), None) for s in scale]}
+    for k in range(5, 30):
+        root, minor = rng.uniform(100, 400), k % 2
+        steps = [0, 2, 3, 5, 7, 8, 10] if minor else [0, 2, 4, 5, 7, 9, 11]
+        tunes[k] = [(float(root * 2 ** ((rng.choice(steps) + rng.normal(0, 0.05) + 12 * rng.integers(0, 2)) / 12)), float(rng.uniform(-0.1, 1))) for _ in range(rng.integers(5, 60))]
+    for k in range(30, 34):
+        tunes[k] = [(float(rng.uniform(80, 500)), 1.0) for _ in range(40)]
+    rows = [(r, i, f, w) for r, notes in tunes.items() for i, (f, w) in enumerate(notes)]
+    got = {r.rec: r for r in music.estimate_tonic(spark.createDataFrame(rows, "rec int, pos int, hz double, duration double"), "rec", ["pos"]).collect()}
+    for r, notes in tunes.items():
+        tonic, confidence, source = loop_tonic(notes)
+        assert got[r].source == source and got[r].confidence == pytest.approx(confidence), r
+        assert got[r].tonic_hz == (None if tonic is None else pytest.approx(tonic)), r
+    assert got[0].source == "key" and got[1].source == "empty" and got[2].tonic_hz == 220 and {g.source for g in got.values()} == {"key", "median", "empty"}
+
+
+def test_online_clusters_of_few():
     c = speakers.OnlineClusters(2, 0.75)
     assert [c.assign(v) for v in ([1, 0], [0.9, 0.1], [0, 1], [-1, 0], [0, 0], [float("nan"), 1], None)] == [0, 0, 1, 1, None, None, None]
 

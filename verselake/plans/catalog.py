@@ -622,7 +622,20 @@ def note_quantize(t):
     return _notes(t).filter("duration > 0").select("event_id", q["beats"].alias("beats"), q["name"].alias("note_value"))
 
 
-@query()
+_KEYS = ", ".join(f"({i}, {[round(v, 15) for v in row]}::DOUBLE[])" for i, row in enumerate(music.key_matrix()))
+
+
+@query(f"""
+WITH n AS (SELECT user_id, value + 100 AS hz, greatest(value / 6, 0) AS d, 12 * log2((value + 100) / 440.0::DOUBLE) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events WHERE value + 100 > 0),
+w AS (SELECT *, (CASE WHEN back = 1 THEN 3 ELSE 1 END) * (CASE WHEN sum(d) OVER (PARTITION BY user_id) > 0 THEN d ELSE 1 END) AS w FROM n),
+o AS (SELECT user_id, count(*) AS n, median(hz) AS mid, atan2(sum(w * sin(2 * pi() * s)), sum(w * cos(2 * pi() * s))) / (2 * pi()) AS off FROM w GROUP BY 1),
+h AS (SELECT user_id, ((CAST(round_even(s - off, 0) AS BIGINT) % 12) + 12) % 12 AS k, sum(w) AS v FROM w JOIN o USING (user_id) GROUP BY 1, 2),
+a AS (SELECT user_id, list_transform(range(0, 12), lambda j: coalesce(list_sum(list_filter(list(v), lambda v, i: list(k)[i] = j)), 0)) AS h FROM h GROUP BY 1),
+b AS (SELECT user_id, any_value(h) AS h, arg_max(i, list_dot_product(h, p)) AS i FROM a, (VALUES {_KEYS}) AS x(i, p) GROUP BY 1),
+r AS (SELECT *, CASE WHEN i < 12 THEN i ELSE (i - 12 + 3) % 12 END AS root, list_sum(h) AS total FROM b),
+z AS (SELECT *, list_sum(list_transform([0, 2, 4, 5, 7, 9, 11], lambda t: h[(root + t) % 12 + 1])) / total AS share, len(list_filter(h, lambda v: v >= 0.02 * total)) AS wide FROM r),
+f AS (SELECT user_id, mid, share, 440 * pow(2.0::DOUBLE, (off + root) / 12) AS tonic, n >= 8 AND wide >= 4 AND share >= 0.75 AS sure FROM z JOIN o USING (user_id))
+SELECT user_id, round(CASE WHEN sure THEN tonic * pow(2.0::DOUBLE, floor(log2(mid / tonic))) ELSE mid END, 4) AS tonic_hz, round(CASE WHEN sure THEN share ELSE 0.0 END, 6) AS confidence, CASE WHEN sure THEN 'key' ELSE 'median' END AS source FROM f""")
 def tonic_estimate(t):
     out = music.estimate_tonic(_notes(t), "user_id", ["ts", "event_id"])
     return out.select("user_id", F.round("tonic_hz", 4).alias("tonic_hz"), F.round("confidence", 6).alias("confidence"), "source")

@@ -299,12 +299,12 @@ def _tones(t) -> DataFrame:
     start, end = 100 + F.col("value") % 200, 100 + (F.col("value") * 3) % 200
     phase = lambda k: 2 * 3.141592653589793 * (start * k / 8000.0 + (end - start) * k * k / (2 * n * 8000.0))
     wave = F.transform(i, lambda k: (F.sin(phase(k)) * 0.3).cast("float"))
-    return t("events").filter("event_type = 'purchase'").select("event_id", "user_id", wave.alias("samples"))
+    return t("events").select("event_id", "user_id", wave.alias("samples"))
 
 
 @query()
 def segment_analysis(t):
-    """Pitch ends, slide and loudness of every purchase's tone."""
+    """Pitch ends, slide and loudness of every event's tone."""
     tones = _tones(t).select("event_id", signal.pcm_bytes(F.col("samples")).alias("payload"))
     return tones.select("event_id", signal.analyze(F.col("payload"), 8000).alias("a")).select("event_id", *(F.round(F.col(f"a.{n}"), 3).alias(n) for n in signal.ANALYSIS))
 
@@ -351,7 +351,7 @@ def _payloads(t) -> DataFrame:
 
 @query()
 def spectrogram_tracks(t):
-    found = _payloads(t).select("event_id", signal.spectrograms(F.col("payload"), 8000, 12).alias("s"))
+    found = _payloads(t).select("event_id", signal.spectrograms(F.col("payload"), 8000).alias("s"))
     voiced = F.size(F.filter("s.f0", lambda x: x.isNotNull()))
     return found.select("event_id", "s.time_bins", "s.bands", F.octet_length("s.magnitudes").alias("bytes"), voiced.alias("voiced"))
 
@@ -369,7 +369,8 @@ def tempo_estimates(t):
     order = F.array_sort(F.collect_list(F.struct("event_id", "payload")))
     clips = _payloads(t).join(t("events").select("event_id", "user_id"), "event_id").groupBy("user_id").agg(order.alias("p"))
     whole = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["payload"]))
-    return clips.select("user_id", F.round(signal.pcm_tempo(whole, 8000), 2).alias("bpm"))
+    found = clips.select("user_id", signal.pcm_tempo(whole, 8000).alias("t"))
+    return found.select("user_id", *(F.round(f"t.{c}", 3).alias(c) for c in ("bpm", "beat_seconds", "phase_seconds", "confidence")))
 
 
 @query()
