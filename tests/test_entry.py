@@ -24,3 +24,14 @@ def test_library_stands_without_llm():
             if n.endswith(".py"):
                 with open(os.path.join(folder, n)) as f:
                     assert "verselake.llm" not in f.read(), n
+
+
+def test_discard(spark):
+    from verselake.session import discard, written
+
+    one = written(spark.range(5))
+    two = written(one.selectExpr("id + 1 as id"))
+    path = one._written_to.removeprefix("file://")
+    assert os.path.isdir(path)
+    discard(one)
+    assert not os.path.exists(path) and two.count() == 5
