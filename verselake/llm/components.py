@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verselake.session import written
+from verselake.session import discard, written
 
 
 #: A node with more than 1/HUBS of the edges is a hub. An edge has two ends, so fewer than 2 * HUBS + 2 nodes are, and their
@@ -51,8 +51,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if not total:
             break
         # A round never adds edges, so the first count bounds them all.
-        now = written(_small_star(_large_star(now, total), total).filter("u <> v").distinct(), "edges")
+        before, now = now, written(_small_star(_large_star(now, total), total).filter("u <> v").distinct(), "edges")
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(before)
         if sums == state:
             break
         state = sums

@@ -26,8 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verselake.llm import skew
 from verselake.llm.components import connected_components
-from verselake.session import unused, written
+from verselake.session import discard, unused, written
 
 BITS = 64
 #: A shard of more classes than this is dealt again by its other bits.
@@ -183,8 +184,8 @@ def sharded(classes: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> Da
     dealt = classes.select(
         "fp", "rep", F.posexplode(F.array(*block_keys(fp, blocks))).alias("s0", "s1")
     )
-    crowded = dealt.groupBy("s0", "s1").count().filter(F.col("count") > shard_rows).select("s0", "s1", F.lit(True).alias("crowded"))
-    marked = dealt.join(crowded, ["s0", "s1"], "left")
+    crowded = dealt.groupBy("s0", "s1").count().filter(F.col("count") > shard_rows).select("s0", "s1", F.lit(True).alias("crowded"), "count")
+    marked = skew.join(dealt, crowded, ["s0", "s1"], "count", classes.count() * blocks, "left")
     sub = F.lit(None)
     for i in reversed(range(blocks)):
         bits, n = other_bits(fp, blocks, i)
@@ -249,14 +250,14 @@ def near_duplicates(
 
 def components_of(prints: DataFrame, id_col: str, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``near_duplicates`` of given fingerprints (id_col, fp)."""
-    classes = written(prints.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("least")), "classes")
-    named = classes.filter("least is not null").select("fp", F.col("least").alias("rep"))
+    classes = written(prints.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("least"), F.count("*").alias("n")), "classes")
+    named = classes.filter("least is not null").select("fp", F.col("least").alias("rep"), "n")
     links = shard_links(sharded(named, radius, shard_rows), radius)
     found = connected_components(links)
     component = named.join(found, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component")
+        "fp", F.coalesce("component", "rep").alias("component"), "n"
     )
-    return prints.join(component, "fp", "left").select(id_col, "fp", "component")
+    return skew.join(prints, component, ["fp"], "n", prints.count(), "left").select(id_col, "fp", "component")
 
 
 # Near-duplicates by similarity. A pair as similar as 0.8 differs in about ten bits of its fingerprints, too many for bit
@@ -340,7 +341,7 @@ def band_members(classes: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(F.xxhash64(one, F.lit(SEED))).alias("y"), F.min(F.struct("rep", "folded", "size")).alias("head")
     ).filter("n > 1")
     chosen = shards.groupBy("n", "x", "y").agg(F.min(F.struct("s0", "s1", "head")).alias("s"))
-    return dealt.join(chosen.select("s.s0", "s.s1", "s.head"), ["s0", "s1"])
+    return skew.join(dealt, chosen.select("s.s0", "s.s1", "s.head", "n"), ["s0", "s1"], "n", classes.count() * BANDS)
 
 
 def tree_pairs(classes: DataFrame, radius: int) -> DataFrame:
@@ -505,8 +506,10 @@ def similar_components(
     sets = written(shingle_sets(rows.join(asked, "doc", "left_semi"), "doc", "text", shingle).dropDuplicates(["rep", "folded"]), "sets")
     stars = written(connected_components(star_links(pairs, sets, similarity)), "stars")
     cells = written(cells_of(members, stars, shard_rows), "cells")
+    discard(members)
     more = cell_links(cells.join(sets, ["rep", "folded"]), similarity)
     found = connected_components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    discard(pairs, sets, stars, cells)
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("folded", F.coalesce("component", "rep").alias("component"))
     out = prints.join(named, "folded", "left")
     return out.select(F.col("doc").alias(id_col), F.when(F.col("doc").isNotNull(), F.col("component")).alias("component"))

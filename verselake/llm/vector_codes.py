@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verselake.llm import skew
 from verselake.llm.vectors import finite, matrices
 from verselake.session import written
 
 SCALE, PARTS, ENTRIES, ROUNDS = 256, 16, 64, 2
 #: Distances of vectors of up to 64 components within this fit 64 bits.
 LIMIT = 1 << 27
-#: A label with more than 1/HOT of the rows has its sum broadcast; fewer than HOT labels are that common.
-HOT = 1000
 
 
 def nearest(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,15 +104,9 @@ def _coded(books: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 
 def with_label_sums(rows: DataFrame, label: str, value: str, out: str) -> DataFrame:
-    """rows with the sum of a value over equal labels, nulls together. Common labels meet their sums by broadcast, so a shuffle
-    brings no more than 1/HOT of the rows to a task by one label."""
+    """rows with the sum of a value over equal labels, nulls together."""
     sums = rows.groupBy(F.col(label).alias("_l")).agg(F.sum(value).alias(out), F.count("*").alias("_n"))
-    limit = max(1, rows.count() // HOT)
-    hot = F.broadcast(sums.filter(F.col("_n") > limit))
-    same = F.col(label).eqNullSafe(F.col("_l"))
-    common = rows.join(hot, same).drop("_l", "_n")
-    rare = rows.join(hot, same, "left_anti").join(sums.filter(F.col("_n") <= limit), same).drop("_l", "_n")
-    return common.unionByName(rare)
+    return skew.join(rows, sums, [], "_n", rows.count(), same=F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
 
 
 def codebook_digest(books: np.ndarray) -> str:
