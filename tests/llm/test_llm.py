@@ -371,6 +371,38 @@ def test_html_skipped_elements_end():
         assert html_text.main_text(page) == want, page
 
 
+def test_html_containers_are_judged_by_what_they_hold():
+    """Shapes of saved pages: wrappers named after what else they hold, comments that call themselves content or articles."""
+    one, two = "A long first paragraph of the article. " * 5, "A long second paragraph of it. " * 5
+    want, body = f"{one.strip()}\n\n{two.strip()}", f"<p>{one}</p><p>{two}</p>"
+    side = "<div class='sidebar'><p>Some other words of a side bar that go on for a while here.</p></div>"
+    com = "<p>A reader says a lot of things about this, really a lot of things.</p>" * 3
+    second = "<p>A long second"
+    for page in (
+        f'<div class="has-sidebar"><article>{body}</article>{side}</div>',
+        f'<div class="layout sidebar left"><article>{body}</article></div>',
+        f'<div class="share"><main>{body}</main></div>',
+        f'<div class="widget"><div class="article">{body}</div></div>',
+        f'<body class="comments-open has-nav"><div class="content with-sidebar">{body}</div>{side}</body>',
+        f'<div class="has-sidebar"><div>{body}</div>{side}</div>',
+        f'<article>{body}</article><div class="comment content">{com}</div>',
+        f'<article>{body}</article><div class="replies">{com}</div>',
+        f'<article>{body}</article><section id="comments"><article>{com}</article><article>{com}</article></section>',
+        f'<div><article>{body}</article><ol class="commentlist"><li><article class="comment">{com * 4}</article></li></ol></div>',
+        f'<div class="post-comments-on"><article class="post has-comments">{body}<div id="disqus_thread">{com}</div></article></div>',
+        f'<div class=content>{body}</div><div class="comments">{com * 5}</div>',
+        f'<body><div><a href=1>Imprint</a> <a href=2>Jobs</a></div><article>{body}</article><div class="comment content">{com}</div></body>',
+        f'<article>{body.replace(second, "<div class=ad><p>Buy it now.</p></div>" + second)}<div class="share"><a href=1>Tweet</a></div></article>',
+        f'<main><article>{body}</article><div class="related"><p>Other story with a text of its own here</p></div></main>',
+    ):
+        assert html_text.main_text(page) == want, page
+    inside = f'<article><p>{one}</p><section class="related-work"><p>{two}</p></section><p class="social">Social matters.</p><p><label>Name</label> <math><mi>x</mi></math></p></article>'
+    assert html_text.main_text(inside) == f"{want}\n\nSocial matters.\n\nName x"
+    assert html_text.main_text(f"<div class=comments>{com}</div>").count("A reader") == 3
+    long = f'<div class="has-sidebar">{side}<article>' + body * 5000 + "</article></div>"
+    assert html_text.main_text(long) == "\n\n".join([want] * 5000)
+
+
 def test_token_files(spark, odd, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     plain = tokenizers.Tokenizer.from_file(WORDS)

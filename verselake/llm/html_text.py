@@ -3,11 +3,15 @@
 The standard library's parser is fed in pieces; its events build lines (one for each block element) that hold text, the
 number of tags seen while the line was open, and the chain of containers around it. A line's text-to-tag ratio is
 smoothed by a Gaussian over its neighbours; lines above the threshold (a share of the ratios' standard deviation) are
-clustered, and the content region is the innermost container with all of the clustered text, or the outermost article
-or main element around it. Every line of the region is kept, short ones and headings too, but for what is marked as something
+clustered, and the content region is the article or main element that holds most of the clustered text, or else the innermost
+container with all of it. Every line of the region is kept, short ones and headings too, but for what is something
 else (menus, headers and footers, sidebars, notices, adverts, forms, comments), and for lines of nothing but links under the
 threshold and outside any article, main element or heading.
 
+A container's class or id alone never takes a page away: names only mark it, and what it holds decides once the page
+is read. One that holds the page's article stays, and so does one with nearly all of the text that nothing marks; inside an
+article only names of what an article doesn't have mark at all. Comments are marked whatever else their names say.
+
 Defined results: null and empty pages give an empty text; broken markup is read as far as the parser goes; repeated rows
 give repeated rows; null ids are kept; other columns are ignored, whatever their names; an empty table gives an empty
 table. Memory grows with the longest page.
@@ -35,17 +39,27 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article aside blockquote body center details div dl fieldset figure footer form header main menu nav ol section table td ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset(
-    "aside button canvas datalist dialog footer form head iframe label math menu nav noscript object script select style svg template textarea title".split()
+    "aside button canvas datalist dialog footer form head iframe menu nav noscript object script select style svg template textarea title".split()
+)
+
+
+def _named(words: str) -> re.Pattern:
+    return re.compile(r"(?:^|[\s_-])(?:" + "|".join(words.split()) + r")(?:$|[\s_-])")
+
+
+#: Names of reader comments, of what isn't part of an article, and of what is so only outside one.
+COMMENTS = _named("comment comments commentlist disqus replies respond")
+FOREIGN = _named(
+    "ad ads advert adverts advertisement banner banners breadcrumb breadcrumbs cc-window consent cookie cookies gdpr masthead menu menubar modal nav navbar "
+    "navigation newsletter notice notices pager pagination popup popups promo promoted promotion rail sidebar signup skip-link sponsor sponsored subscribe "
+    "subscription toolbar topbar"
 )
-_NAMES = (
-    "ad ads advert adverts advertisement banner banners breadcrumb breadcrumbs byline cc-window comment comments consent cookie cookies copyright "
-    "disclaimer disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup "
-    "popups promo promoted promotion related respond rail share sharing sidebar signup skip-link social sponsor sponsored subscribe subscription "
-    "tagcloud teaser toolbar topbar widget widgets"
-).split()
-MARKED = re.compile(r"(?:^|[\s_-])(?:" + "|".join(_NAMES) + r")(?:$|[\s_-])")
-#: Containers that say themselves that they hold the article are never skipped by their other names.
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|story|entry)(?:$|[\s_-])")
+BESIDE = _named("byline copyright disclaimer footer header related share sharing social tagcloud teaser widget widgets")
+#: With one of these names a container isn't marked by those of BESIDE.
+CONTENT = _named("article content main post story entry")
+#: How many times the unmarked text a marked container must hold to stay, and the share of the clustered text of an article
+#: that is the region by itself.
+HOLDS, ARTICLE_SHARE = 3, 2 / 3
 ROLES = frozenset("banner complementary contentinfo dialog alert form menu menubar navigation search".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -79,6 +93,7 @@ class Lines(HTMLParser):
         self.serial = 0
         self.inner: list[str] = []  # the skipped element and what is open in it
         self.forms: dict[int, bool] = {}  # whether a form holds an article or main element
+        self.marks: dict[int, str] = {}  # containers whose names say that they are something else
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -86,22 +101,38 @@ class Lines(HTMLParser):
             self.lines.append(Line(text, self.tags, self.chain, not self.free))
         self.text, self.tags, self.free = [], 0, False
 
-    def _skips(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _within(self, *tags: str) -> bool:
+        return any(t in tags for t, _ in self.open)
+
+    def _skips(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        """Whether an element is left out as soon as it begins."""
         if tag in ("html", "body", "article", "main"):
             return False
         if tag in SKIPPED and tag != "form":
             return True
-        of = dict(attrs)
-        if "hidden" in of or of.get("aria-hidden") == "true" or (of.get("role") or "").lower() in (ROLES - {"form"} if tag == "form" else ROLES):
-            return True
-        if re.search(r"display\s*:\s*none", of.get("style") or "", re.I):
+        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I):
             return True
         if tag == "header":
-            return not any(t in ("article", "main") for t, _ in self.open)
-        if tag not in BLOCKS and tag not in ("span", "ins", "section"):
+            return not self._within("article", "main")
+        if tag in CONTAINERS or (tag not in BLOCKS and tag not in ("span", "ins")):
             return False
-        names = f"{of.get('class') or ''} {of.get('id') or ''}".lower()
-        return bool(names.strip()) and bool(MARKED.search(names)) and not CONTENT.search(names)
+        return self._mark(tag, attrs) is not None
+
+    def _mark(self, tag: str, attrs: dict[str, str | None]) -> str | None:
+        """What an element's names say it is, if that isn't part of the article."""
+        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
+        role = (attrs.get("role") or "").lower()
+        if COMMENTS.search(names):
+            return "comment"
+        if tag in ("html", "body", "article", "main"):
+            return None
+        if FOREIGN.search(names) or (role in ROLES and (tag, role) != ("form", "form")):
+            return "foreign"
+        if not BESIDE.search(names) or CONTENT.search(names):
+            return None
+        if tag not in CONTAINERS:
+            return None if self._within("article", "main") else "beside"
+        return "links" if self._within("article") else "aside" if self._within("main") else "beside"
 
     def _ends_skip(self, tag: str) -> bool:
         """Whether a start tag ends the skipped element; closes what it implies within."""
@@ -135,7 +166,8 @@ class Lines(HTMLParser):
             if tag == "br":
                 self.text.append(" ")
             return
-        if self._skips(tag, attrs):
+        of = dict(attrs)
+        if self._skips(tag, of):
             self.text.append(" ")
             self.inner = [tag]
             return
@@ -148,6 +180,9 @@ class Lines(HTMLParser):
             self.open.append((tag, len(self.chain)))
             if tag in CONTAINERS:
                 self.chain += (-self.serial if tag in ("article", "main") else self.serial,)
+                mark = self._mark(tag, of)
+                if mark and tag != "body":
+                    self.marks[self.chain[-1]] = mark
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag in BLOCKS:
@@ -189,7 +224,7 @@ def read_lines(html: str) -> list[Line]:
         parser.feed(html[i : i + PIECE])
     parser.close()
     parser.end_line()
-    return without_forms(parser.lines, parser.forms)
+    return without_marked(without_forms(parser.lines, parser.forms), parser.marks)
 
 
 def without_forms(lines: list[Line], forms: dict[int, bool]) -> list[Line]:
@@ -204,6 +239,60 @@ def without_forms(lines: list[Line], forms: dict[int, bool]) -> list[Line]:
     return [line for line in lines if not gone.intersection(line.chain)]
 
 
+def _texts(lines: list[Line]) -> dict[int, int]:
+    """Characters in each container."""
+    held: dict[int, int] = {}
+    for line in lines:
+        for c in line.chain:
+            held[c] = held.get(c, 0) + len(line.text)
+    return held
+
+
+def main_article(lines: list[Line], marks: dict[int, str]) -> int | None:
+    """The article or main element with most text that isn't a comment, nor among comments if there is another."""
+    inside: dict[int, bool] = {}
+    for line in lines:
+        commented = False
+        for c in line.chain:
+            commented |= marks.get(c) == "comment"
+            if c < 0 and marks.get(c) != "comment":
+                inside[c] = commented
+    held = _texts(lines)
+    return max(inside, key=lambda c: (not inside[c], held[c], c), default=None)
+
+
+def without_marked(lines: list[Line], marks: dict[int, str]) -> list[Line]:
+    """Lines outside marked containers, but for those that hold the page's article or, by far, its text. If all would go, all
+    stay."""
+    held = _texts(lines)
+    # An article with most of the page's text is the article, whatever it is called.
+    left = {c: k for c, k in marks.items() if c in held and not (c < 0 and 2 * held[c] > sum(len(line.text) for line in lines))}
+    article = main_article(lines, left)
+    around = next((line.chain[: line.chain.index(article)] for line in lines if article in line.chain), ())
+    for c in around:
+        left.pop(c, None)
+    free = {c for line in lines if not line.links_only for c in line.chain}
+    parted = any(c < 0 and c != article for c in held) and article is not None
+    for c, kind in list(left.items()):
+        # A list of links in an article is a menu; a container with text is not. Beside an article in the main element it is.
+        if (kind == "links" and c in free) or (kind == "aside" and c in free and not parted):
+            del left[c]
+    outer = lambda line: next((c for c in line.chain if c in left), None)
+    while True:
+        sums: dict[int | None, int] = {}
+        for line in lines:
+            c = outer(line)
+            inner = next((k for k in reversed(line.chain) if k in left), None)
+            if c is None or (c == inner and (article is None or article in line.chain[: line.chain.index(c)])):
+                sums[c] = sums.get(c, 0) + len(line.text) * (c is not None or not line.links_only)
+        large = [c for c, n in sums.items() if c is not None and left[c] != "comment" and n > HOLDS * sums.get(None, 0)]
+        if not large:
+            break
+        del left[max(large, key=lambda c: sums[c])]
+    kept = [line for line in lines if outer(line) is None]
+    return kept or lines
+
+
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     reach = max(1, int(3 * sigma))
     x = np.arange(-reach, reach + 1)
@@ -227,6 +316,11 @@ def content_lines(lines: list[Line]) -> list[str]:
         same = next((k for k, (a, b) in enumerate(zip(region, chain)) if a != b), min(len(region), len(chain)))
         region = region[:same]
     region = next((region[: k + 1] for k, c in enumerate(region) if c < 0), region)
+    clustered = [line for line, good in zip(lines, chosen) if good]
+    article = main_article(clustered, {})
+    if article is not None and _texts(clustered)[article] >= ARTICLE_SHARE * sum(len(line.text) for line in clustered):
+        chain = next(line.chain for line in clustered if article in line.chain)
+        region = next(chain[: k + 1] for k, c in enumerate(chain) if c < 0)
     inside = lambda line: line.chain[: len(region)] == region
     # Smoothing lifts what stands next to long text, so a line of links is held to the threshold by its own ratio.
     only = lambda line, ratio: listed and line.links_only and ratio < THRESHOLD * smooth.std() and min(line.chain, default=0) >= 0
