@@ -56,7 +56,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for half in (None, halves[1]):
         if half is not None:
             half.coalesce(1).write.mode("append").parquet(source)
-        stream = segment_stream(spark.readStream.schema(schema).parquet(source), make)
+        stream = segment_stream(spark.readStream.schema(schema).parquet(source), make, idle=None)
         query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", mark).trigger(availableNow=True).start()
         query.awaitTermination(120)
     got = sorted((r.stream_id, r.idx, r.start_seconds, r.end_seconds) for r in spark.read.parquet(sink).collect())
@@ -87,17 +87,17 @@ def test_live_stream_equals_batch(spark, tmp_path):
     row = lambda r: tuple(r)
     whole = sorted(map(row, live.live_batch(df, make, models).collect()), key=str)
     kinds = {r[2] for r in whole}
-    assert kinds == {"partial", "final", "stats"} and not any("社群" in r[5] for r in whole) and any("WELCOME" in r[5] for r in whole)
+    assert kinds == {"ready", "partial", "final", "stats"} and not any("社群" in r[5] for r in whole) and any("WELCOME" in r[5] for r in whole)
     assert all(r[6] == r[5].upper() and r[7] in (0, 1) for r in whole if r[2] == "final")
     source, sink, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     for part in (df.filter("seq < 9"), df.filter("seq >= 9")):
         part.coalesce(1).write.mode("append").parquet(source)
-        out = live.live_stream(spark.readStream.schema(schema).parquet(source), make, models)
+        out = live.live_stream(spark.readStream.schema(schema).parquet(source), make, models, idle=None)
         query = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", mark).trigger(availableNow=True).start()
         query.awaitTermination(120)
     got = sorted(map(row, spark.read.parquet(sink).collect()), key=str)
     ended = lambda all_rows: [r for r in all_rows if r[0] != "open"]
-    assert ended(got) == ended(whole) and {r[2] for r in got if r[0] == "open"} <= {"partial", "final"}
+    assert ended(got) == ended(whole) and {r[2] for r in got if r[0] == "open"} <= {"ready", "partial", "final"}
 
 
 def test_idle_streams_are_flushed(spark, tmp_path):

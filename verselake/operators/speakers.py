@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verselake.operators.folds import ordered_fold
+
 
 def norm(v: Column | str) -> Column:
     v = F.col(v) if isinstance(v, str) else v
@@ -73,16 +76,23 @@ class OnlineClusters:
         return k
 
 
-def online_clusters(vectors: DataFrame, session: str, order: str, vec: str, most: int = 6, threshold: float = 0.75) -> DataFrame:
-    """(session, order, speaker) by a fold over each session's vectors in order; null for an unusable vector."""
-    types = {f.name: f.dataType.simpleString() for f in vectors.schema}
+class Clustered:
+    """Online clusters as a fold over rows (order, vector)."""
+
+    def __init__(self, most: int = 6, threshold: float = 0.75):
+        self.clusters = OnlineClusters(most, threshold)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(order)
-        clusters = OnlineClusters(most, threshold)
-        return pd.DataFrame({session: rows[session], order: rows[order], "speaker": pd.array([clusters.assign(v) for v in rows[vec]], "Int32")})
+    def add(self, at, vector):
+        return ((at, self.clusters.assign(vector)),)
 
-    return vectors.select(session, order, vec).groupBy(session).applyInPandas(run, f"`{session}` {types[session]}, `{order}` {types[order]}, speaker int")
+    def finish(self):
+        return ()
+
+
+def online_clusters(vectors: DataFrame, session: str, order: str, vec: str, most: int = 6, threshold: float = 0.75) -> DataFrame:
+    """(session, order, speaker) by a fold over each session's vectors in order; null for an unusable vector."""
+    kind = vectors.schema[order].dataType.simpleString()
+    return ordered_fold(vectors, [session], [order], [order, vec], partial(Clustered, most, threshold), f"`{order}` {kind}, speaker int")
 
 
 def gate(windows: DataFrame, min_seconds: float, min_rms: float) -> DataFrame:

@@ -6,22 +6,20 @@ carries the object's fields as state from batch to batch, so both give the same
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from verselake.functions import signal as S
 from verselake.functions import text as T
-from verselake.operators.speakers import OnlineClusters
+from verselake.operators.folds import ordered_fold
+from verselake.operators.speakers import Clustered
+from verselake.streaming.folds import IDLE, folded_stream
 
 WINDOW_SCHEMA = "stream_id string, idx int, start_seconds double, end_seconds double, rms double, kind string, samples binary"
-#: With an idle time, state that saw no row for so many seconds of processing time goes. Such a query looks at the clock again
-#: and again, so it runs until it is stopped; a run over what is there (availableNow) must do without.
-IDLE = None
 #: Part of a segment, counted from its start, in which a forced split looks for a quiet place.
 SPLIT_FROM, SPLIT_TO = 0.75, 0.98
 
@@ -138,12 +136,14 @@ class Transcript:
     text: str = ""
     last_end: float | None = None
     boundary: int = 6
+    #: Characters of the end that are kept to compare with; a context longer than that needs more.
+    keep: int = 4000
 
     def add(self, kind: str, start: float, end: float, text: str) -> str:
         overlapped = self.last_end is not None and start < self.last_end - 1e-3
         cap = None if kind != "utterance" else self.boundary if overlapped else 0
         new = T.novel_part(self.text, text or "", cap)
-        self.text, self.last_end = (self.text + new)[-4000:], end
+        self.text, self.last_end = (self.text + new)[-self.keep :], end
         return new
 
 
@@ -158,89 +158,66 @@ def _window(index: int, start: int, samples: np.ndarray, rate: int, kind: str) -
     }
 
 
-def _rows(stream, segmenter, frame: pd.DataFrame) -> list[dict]:
-    """Feed rows (seq, kind, payload) in order; a stop row ends the stream."""
-    out = []
-    for kind, payload in frame.sort_values("seq")[["kind", "payload"]].itertuples(index=False):
-        if kind == "audio":
-            out += segmenter.feed(S.pcm16_to_float(payload))
-        elif kind == "stop":
-            out += segmenter.finish()
-    return [{"stream_id": stream, **r} for r in out]
+_WINDOWS = WINDOW_SCHEMA.split(", ", 1)[1]
+_FIELDS = [c.split()[0] for c in _WINDOWS.split(", ")]
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in WINDOW_SCHEMA.split(", ")])
+class Segmented:
+    """A segmenter as a fold over rows (kind, payload); a stop row ends what is open."""
 
+    def __init__(self, make):
+        self.segmenter = make()
 
-def _timeout(idle: float | None) -> str:
-    return "NoTimeout" if idle is None else "ProcessingTimeTimeout"
+    def add(self, kind, payload):
+        found = self.segmenter.feed(S.pcm16_to_float(payload)) if kind == "audio" else self.segmenter.finish() if kind == "stop" else ()
+        return [tuple(w[c] for c in _FIELDS) for w in found]
 
+    def finish(self):
+        return [tuple(w[c] for c in _FIELDS) for w in self.segmenter.finish()]
 
-def _wait(state, idle: float | None) -> None:
-    if idle is not None:
-        state.setTimeoutDuration(int(idle * 1000))
 
+class _Stopped(Segmented):
+    """In a batch only a stop row ends a stream."""
 
-def segment_batch(stream: DataFrame, make) -> DataFrame:
-    """Windows of whole streams (stream_id, seq, kind, payload); ``make`` builds the state object."""
+    def finish(self):
+        return ()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _frame(_rows(frame["stream_id"].iloc[0], make(), frame))
 
-    return stream.select("stream_id", "seq", "kind", "payload").groupBy("stream_id").applyInPandas(run, WINDOW_SCHEMA)
+def segment_batch(stream: DataFrame, make) -> DataFrame:
+    """Windows of whole streams (stream_id, seq, kind, payload); ``make`` builds the state object."""
+    return ordered_fold(stream, ["stream_id"], ["seq"], ["kind", "payload"], partial(_Stopped, make), _WINDOWS)
 
 
 def segment_stream(stream: DataFrame, make, idle: float | None = IDLE) -> DataFrame:
     """The same over a streaming DataFrame; the object is the state of its stream and goes at its stop row, or, flushed, after
-    ``idle`` seconds without a row (see ``IDLE``)."""
-
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            segmenter = pickle.loads(state.get[0])
-            state.remove()
-            yield _frame([{"stream_id": key[0], **r} for r in segmenter.finish()])
-            return
-        segmenter = pickle.loads(state.get[0]) if state.exists else make()
-        frame = pd.concat(list(frames), ignore_index=True)
-        out = _frame(_rows(key[0], segmenter, frame))
-        if (frame["kind"] == "stop").any():
-            if state.exists:
-                state.remove()
-        else:
-            state.update((pickle.dumps(segmenter),))
-            _wait(state, idle)
-        yield out
-
-    grouped = stream.select("stream_id", "seq", "kind", "payload").groupBy("stream_id")
-    return grouped.applyInPandasWithState(run, WINDOW_SCHEMA, "state binary", "append", _timeout(idle))
+    ``idle`` seconds without a row (see ``folds.IDLE``)."""
+    return folded_stream(stream, ["stream_id"], ["seq"], ["kind", "payload"], partial(Segmented, make), _WINDOWS, lambda kind, payload: kind == "stop", idle)
 
 
 JOINED_SCHEMA = "stream_id string, idx long, novel string"
+_TEXTS = ["idx", "kind", "start_seconds", "end_seconds", "text"]
 
 
-def _joined(stream, transcript: Transcript, frame: pd.DataFrame) -> pd.DataFrame:
-    rows = frame.sort_values("idx")[["idx", "kind", "start_seconds", "end_seconds", "text"]].itertuples(index=False)
-    return pd.DataFrame([(stream, i, transcript.add(k, a, z, t)) for i, k, a, z, t in rows], columns=["stream_id", "idx", "novel"])
+class Joined:
+    """A transcript as a fold over recognised texts."""
+
+    def __init__(self):
+        self.transcript = Transcript()
+
+    def add(self, idx, kind, start, end, text):
+        return ((idx, self.transcript.add(kind, start, end, text)),)
+
+    def finish(self):
+        return ()
 
 
 def join_batch(texts: DataFrame) -> DataFrame:
     """What each recognised text (stream_id, idx, kind, start_seconds, end_seconds, text) adds to its stream's transcript."""
-    return texts.groupBy("stream_id").applyInPandas(lambda f: _joined(f["stream_id"].iloc[0], Transcript(), f), JOINED_SCHEMA)
+    return ordered_fold(texts, ["stream_id"], ["idx"], _TEXTS, Joined, "idx long, novel string")
 
 
 def join_stream(texts: DataFrame, idle: float | None = IDLE) -> DataFrame:
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        transcript = pickle.loads(state.get[0]) if state.exists else Transcript()
-        out = _joined(key[0], transcript, pd.concat(list(frames), ignore_index=True))
-        state.update((pickle.dumps(transcript),))
-        _wait(state, idle)
-        yield out
-
-    return texts.groupBy("stream_id").applyInPandasWithState(run, JOINED_SCHEMA, "state binary", "append", _timeout(idle))
+    return folded_stream(texts, ["stream_id"], ["idx"], _TEXTS, Joined, "idx long, novel string", None, idle)
 
 
 SPEAKER_SCHEMA = "session string, seq long, speaker int"
@@ -248,16 +225,4 @@ SPEAKER_SCHEMA = "session string, seq long, speaker int"
 
 def speakers_stream(vectors: DataFrame, most: int = 6, threshold: float = 0.75, idle: float | None = IDLE) -> DataFrame:
     """Online clustering of a stream of vectors (session, seq, vec)."""
-
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = pickle.loads(state.get[0]) if state.exists else OnlineClusters(most, threshold)
-        frame = pd.concat(list(frames), ignore_index=True).sort_values("seq")
-        found = [kept.assign(v) for v in frame["vec"]]
-        state.update((pickle.dumps(kept),))
-        _wait(state, idle)
-        yield pd.DataFrame({"session": key[0], "seq": frame["seq"], "speaker": pd.array(found, "Int32")})
-
-    return vectors.groupBy("session").applyInPandasWithState(run, SPEAKER_SCHEMA, "state binary", "append", _timeout(idle))
+    return folded_stream(vectors, ["session"], ["seq"], ["seq", "vec"], partial(Clustered, most, threshold), "seq long, speaker int", None, idle)
