@@ -445,7 +445,8 @@ def test_sharding(spark, odd):
     placed = {}
     for r in rows:
         placed.setdefault(texts[r.doc_id] or "", set()).add(r.shard)
-    assert {len(v) for k, v in placed.items() if k != "hot text"} == {1} and 1 < len(placed["hot text"]) <= 4
+    # A third of the rows in one group is no reason to cut it.
+    assert {len(v) for v in placed.values()} == {1}
     for s in range(8):
         slots = sorted(r.slot for r in rows if r.shard == s)
         assert slots == list(range(len(slots)))

@@ -6,8 +6,8 @@ shape; a group above 1/HOT of all bytes, tokens or rows is packed on its own. Ea
 product of its vector with the residual capacity is highest, largest items first; only shards that still have room for
 the item's bytes are asked while there are any.
 
-A group stays whole. The exception is one that is larger than ``ROOM`` of a shard in any of the three, which no shard
-could hold beside its share of the rest: it is cut by row hash into as few parts as fit.
+A group stays whole. The exception is one with more than ``ROOM`` of a shard's bytes, which the law (bytes near equal) doesn't
+let any shard hold beside its share of the rest: it is cut by row hash into as few parts as fit. Rows and tokens never cut one.
 
 Defined results: a null text has size 1 and the crc32 of an empty text; repeated rows are rows of their own; null ids
 are kept (they come first in a shard's order within their pool); other columns are ignored, whatever their names; an empty
@@ -28,7 +28,7 @@ POOLS, CLASSES = 128, 32
 #: A group above 1/HOT of all bytes, tokens or rows is packed on its own; fewer than 3 * HOT such groups exist. Its rows are
 #: numbered in slices of at most about that share, so no task sorts the whole of it.
 HOT = 1024
-#: Share of a shard that a whole group may take.
+#: Share of a shard's bytes that a whole group may take.
 ROOM = 0.9
 
 
@@ -65,7 +65,7 @@ def heavy_groups(rows: DataFrame, hot: int, shards: int) -> DataFrame:
     sums = lambda: (F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
     total = rows.agg(*sums()).first()
     share = F.greatest(*(F.col(c) / F.lit(max(1, total[c] or 0)) for c in "btn"))
-    slices, parts = F.ceil(share * hot).cast("int"), F.ceil(share * shards / ROOM).cast("int")
+    slices, parts = F.ceil(share * hot).cast("int"), F.ceil(F.col("b") / max(1, total["b"] or 0) * shards / ROOM).cast("int")
     heavy = rows.groupBy("grp").agg(*sums()).withColumn("share", share).filter(F.col("share") * hot > 1)
     return heavy.select("grp", slices.alias("slices"), parts.alias("parts"))
 

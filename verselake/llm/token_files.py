@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import os
 import re
 import uuid
@@ -33,6 +34,8 @@ from verselake.session import scratch_path, written
 SEQ_LEN = 2048
 #: Rows of a record batch, and entries of the word cache.
 BATCH_ROWS, CACHE_ENTRIES = 512, 1 << 20
+#: Bytes of text that a file holds about, and rows whose mean size tells how many files that makes.
+FILE_BYTES, SIZED_ROWS = 256 << 20, 1000
 ENDINGS = frozenset(".,;:!?")
 
 
@@ -205,6 +208,14 @@ class Reader:
         self.source.close()
 
 
+def files_for(rows: DataFrame) -> int:
+    """How many files hold the texts at about FILE_BYTES each, by their number and the mean size of a few; at least one for each
+    shuffle partition. It sizes files only: every row is written."""
+    few = rows.limit(SIZED_ROWS).agg(F.avg(F.octet_length("_text")).alias("b")).first()
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, math.ceil(rows.count() * (few["b"] or 0) / FILE_BYTES))
+
+
 def write_files(
     df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, folder: str | None = None
 ) -> DataFrame:
@@ -217,7 +228,7 @@ def write_files(
     chosen = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     kind = chosen.schema["_id"].dataType.simpleString()
     # Ranges of ids alone: the sample that finds them goes to the driver, and texts must not.
-    ordered = chosen.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
+    ordered = chosen.repartitionByRange(files_for(chosen), "_id").sortWithinPartitions("_id", "_text")
 
     def run(batches):
         from pyspark import TaskContext
