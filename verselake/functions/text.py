@@ -324,3 +324,46 @@ def iso_seconds(ts: Column | str) -> Column:
 def stamp(ts: Column | str) -> Column:
     """A time as part of a file name."""
     return F.date_format(_c(ts), "yyyyMMdd-HHmmss")
+
+
+#: Entries of a romanisation table that are sent to every task; a larger one is an error.
+MOST_ROMANISED = 1_000_000
+
+
+def romanised(c: Column | str, table: Mapping[str, str]) -> Column:
+    """Text with what a table knows written in other letters, in one pass from the left: at each place the longest entry that
+    stands there counts, and what no entry fits stays."""
+    if len(table) > MOST_ROMANISED:
+        raise ValueError(f"a romanisation table of {len(table)} entries is more than a task should hold")
+    known = {k: v for k, v in table.items() if k}
+    # Lengths to try by first character: most characters start few entries.
+    tries: dict[str, list[int]] = {}
+    for k in known:
+        tries.setdefault(k[0], []).append(len(k))
+    tries = {ch: sorted(set(n), reverse=True) for ch, n in tries.items()}
+
+    def one(text: str) -> str:
+        out, i = [], 0
+        while i < len(text):
+            for n in tries.get(text[i], ()):
+                hit = known.get(text[i : i + n])
+                if hit is not None:
+                    out.append(hit)
+                    i += n
+                    break
+            else:
+                out.append(text[i])
+                i += 1
+        return "".join(out)
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one, na_action="ignore")
+
+    return run(_c(c))
+
+
+def romanised_words(c: Column | str, table: Mapping[str, str]) -> Column:
+    """Words of the romanised text in lower case, of a to z and apostrophes alone; words without one are left out."""
+    words = F.split(F.lower(romanised(c, table)), r"\s+")
+    return F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[^a-z']", "")), lambda w: w != "")
