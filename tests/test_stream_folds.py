@@ -11,18 +11,21 @@ from verselake.streaming import detector, folds, live
 from verselake.streaming.segmenter import Utterances
 
 
-class Running:
-    """Running count and a text of what was seen, so that order shows."""
+def running():
+    """A fold of its own, as a caller would write it: running count and a text of what was seen, so that order shows."""
 
-    def __init__(self):
-        self.n, self.seen = 0, ""
+    class Running:
+        def __init__(self):
+            self.n, self.seen = 0, ""
 
-    def add(self, name, value):
-        self.n, self.seen = self.n + 1, (self.seen + str(name))[-12:]
-        return ((self.n, self.seen),)
+        def add(self, name, value):
+            self.n, self.seen = self.n + 1, (self.seen + str(name))[-12:]
+            return ((self.n, self.seen),)
 
-    def finish(self):
-        return ((-self.n, self.seen),)
+        def finish(self):
+            return ((-self.n, self.seen),)
+
+    return Running
 
 
 SCHEMA = "key string, at timestamp, id long, name string, value double"
@@ -49,7 +52,7 @@ def test_event_time_gives_the_batch_result(spark, tmp_path):
     late = [("a", start + timedelta(seconds=1), 900, "!", 0.0), ("a", start + timedelta(seconds=2), 901, "!", 0.0), ("b", start, 902, "!", 0.0)]
     # Another key's far event moves the watermark past all others, a further run fires their timers.
     ahead = [[("z", start + timedelta(seconds=1000 * n), n, "z", 0.0)] for n in (1, 2, 3)]
-    args = (["key"], "at", ["id"], ["name", "value"], Running, "n int, seen string")
+    args = (["key"], "at", ["id"], ["name", "value"], running(), "n int, seen string")
     build = lambda df: folds.in_event_time(df, *args, delay=20, bound=200)
     got, query = run_stream(spark, tmp_path, [*cuts, late, *ahead], SCHEMA, build)
     want = folds.event_time_batch(spark.createDataFrame(rows, SCHEMA), *args).collect()
@@ -61,16 +64,20 @@ def test_event_time_gives_the_batch_result(spark, tmp_path):
         folds.in_event_time(spark.createDataFrame(rows, SCHEMA), *args, delay=20, bound=10)
 
 
-def remembering(chunk, memory):
-    """A model with a memory of its own that also needs its context."""
-    memory = 0.7 * (memory or 0.0) + float(np.abs(chunk).mean())
-    return min(1.0, 4 * memory + 0.01 * float(np.abs(chunk[: detector.CONTEXT]).max())), memory
+def stand_ins():
+    """A model with a memory of its own that also needs its context, and one that fails at its sixth chunk."""
+    context = detector.CONTEXT
+
+    def remembering(chunk, memory):
+        memory = 0.7 * (memory or 0.0) + float(np.abs(chunk).mean())
+        return min(1.0, 4 * memory + 0.01 * float(np.abs(chunk[:context]).max())), memory
 
+    def failing(chunk, memory):
+        if memory == 5:
+            raise RuntimeError("gone")
+        return 0.9, (memory or 0) + 1
 
-def failing(chunk, memory):
-    if memory == 5:
-        raise RuntimeError("gone")
-    return 0.9, (memory or 0) + 1
+    return remembering, failing
 
 
 def sound(seed):
@@ -90,6 +97,7 @@ def cut_rows(x, rng, stream="s"):
 
 def test_any_cut_gives_the_same_flags(spark, tmp_path):
     schema, x = "stream_id string, seq long, kind string, payload binary", sound(1)
+    remembering, failing = stand_ins()
     flags = lambda rows: sorted((r.stream_id, r.chunk, r.speech, r.probability, r.degraded) for r in rows)
     samples = S.pcm16_to_float(S.float_to_pcm16(x))
     memory, active, want, before = None, False, [], np.zeros(64, np.float32)

@@ -1,7 +1,7 @@
 """WAV files as a data source: ``spark.read.format("wav")`` and back.
 
-A read gives rows (path, rec_id, rate, first, samples): pieces of at most ``piece`` samples of each file, channels averaged,
--1 to 1. Pieces are partitions (a run of small files shares one), so a long file is read by many tasks, each holding a
+A read gives rows (path, rec_id, rate, first, samples): pieces of at most ``piece`` samples of each file, -1 to 1, of the
+``channel`` asked for or of all averaged. Pieces are partitions (a run of small files shares one), so a long file is read by many tasks, each holding a
 piece. A write takes rows (rec_id, first, samples) that come with each recording's pieces together and in order, as ``write``
 sees to, streams each recording into a file of 16-bit samples, and moves files into place when the whole job has succeeded.
 
@@ -44,8 +44,8 @@ class Format:
     offset: int
     count: int
 
-    def decoded(self, data: bytes) -> np.ndarray:
-        """Samples of whole frames, channels averaged."""
+    def decoded(self, data: bytes, channel: int | None = None) -> np.ndarray:
+        """Samples of whole frames: of one channel (the last one if there are fewer), or of all averaged."""
         if self.real:
             x = np.frombuffer(data, "<f4").astype(np.float32)
         elif self.width == 1:
@@ -55,7 +55,8 @@ class Format:
             x = (np.pad(parts, ((0, 0), (1, 0))).reshape(-1).view("<i4") / 2.0**31).astype(np.float32)
         else:
             x = (np.frombuffer(data, f"<i{self.width}") / 2.0 ** (8 * self.width - 1)).astype(np.float32)
-        return x.reshape(-1, self.channels).mean(axis=1) if self.channels > 1 else x
+        frames = x.reshape(-1, self.channels)
+        return x if self.channels == 1 else frames.mean(axis=1) if channel is None else frames[:, min(channel, self.channels - 1)]
 
 
 def read_format(file, size: int, name: str) -> Format:
@@ -119,6 +120,7 @@ class Pieces(InputPartition):
 class WavReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.piece = options["path"], int(options.get("piece", PIECE))
+        self.channel = int(options["channel"]) if options.get("channel") else None
 
     def partitions(self) -> list[Pieces]:
         """Ranges of pieces of about equal size by the files' lengths alone; no file is opened here."""
@@ -147,7 +149,7 @@ class WavReader(DataSourceReader):
                 while begin < stop:
                     n = min(self.piece, stop - begin)
                     file.seek(form.offset + begin * form.width * form.channels)
-                    samples = form.decoded(file.read(n * form.width * form.channels))
+                    samples = form.decoded(file.read(n * form.width * form.channels), self.channel)
                     row = [[uri], [_rec(uri)], [form.rate], [begin], [samples]]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names)
                     begin += n

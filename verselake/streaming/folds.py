@@ -17,6 +17,7 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -76,7 +77,7 @@ def folded_stream(
                 out += fold.finish()
                 live = False
         if live:
-            state.update((pickle.dumps(fold),))
+            state.update((cloudpickle.dumps(fold),))
             if idle is not None:
                 state.setTimeoutDuration(int(idle * 1000))
         elif state.exists:
@@ -148,7 +149,7 @@ def in_event_time(stream: DataFrame, by: list[str], time: str, order: list[str],
         values = (tuple(map(_plain, v)) for v in frame[inputs].itertuples(index=False, name=None))
         places = (tuple(map(_plain, v)) for v in frame[order].itertuples(index=False, name=None))
         found = list(held.take(zip(frame["_seconds"].tolist(), places, values)))
-        state.update((pickle.dumps(held),))
+        state.update((cloudpickle.dumps(held),))
         wake = max(int(held.newest * 1000) + 1, state.getCurrentWatermarkMs() + 1)
         state.setTimeoutTimestamp(wake)
         yield rows_of(key, found)
