@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verselake.llm.memory import released
+
 OTHER, LETTER, NUMBER, SPACE, BLANK, END = 0, 1, 2, 3, 4, 5
 #: Automaton states: FREE (the next code point is not glued), GLUED (a symbol joins what precedes), and the code
 #: points still owed to a contraction.
@@ -32,7 +34,7 @@ FREE, GLUED, OWE1, OWE2 = 0, 1, 2, 3
 CHUNK_CHARS = 1 << 18
 #: Bytes that one generation of the cache of slices may hold, what an entry costs beside its own bytes, and the longest
 #: slice that is kept.
-CACHE_BYTES, ENTRY_BYTES, CACHED_SLICE = 48 << 20, 200, 64
+CACHE_BYTES, ENTRY_BYTES, CACHED_SLICE = 32 << 20, 200, 64
 #: Rows that are taken out of an Arrow batch at once, and tokens that are decoded at once.
 PART_ROWS, DECODE_TOKENS = 256, 1 << 16
 SCAN_BLOCK = 64
@@ -318,7 +320,12 @@ def _mapped(df: DataFrame, ranks_path: str, id_col: str, text_col: str, decoded:
     chosen = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = chosen.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, ids binary, offsets binary" + (", decoded binary" if decoded else "")
-    return chosen.mapInArrow(lambda batches: _encoded(batches, ranks_path, decoded), schema).withColumnRenamed("_id", id_col)
+
+    def run(batches):
+        yield from released(_encoded(batches, ranks_path, decoded))
+        merger(ranks_path).older = {}
+
+    return chosen.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,6 +12,8 @@ rows every score is 0.5; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from verselake.llm import labelled
+from verselake.llm.memory import released
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
 FILTERS, WIDTH = 16, 6
@@ -143,13 +146,11 @@ def score_column(net: ByteCNN | None, text: Column) -> Column:
     """Probability of label 1."""
     if net is None:
         return F.lit(0.5)
-    tables: list[np.ndarray] = []
 
     @pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if not tables:
-            tables.extend(net.tables())
-        return pd.Series(net.scores(texts.fillna("").tolist(), tables))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tables = net.tables()
+        yield from released(pd.Series(net.scores(texts.fillna("").tolist(), tables)) for texts in batches)
 
     return score(text.cast("string"))
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from verselake.llm import skew
 from verselake.llm.components import connected_components
+from verselake.llm.memory import released
 from verselake.session import discard, unused, written
 
 BITS = 64
@@ -71,7 +72,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["_id", "fp"])
 
-    return chosen.mapInArrow(run, f"_id {kind}, fp long").withColumnRenamed("_id", id_col)
+    return chosen.mapInArrow(lambda batches: released(run(batches)), f"_id {kind}, fp long").withColumnRenamed("_id", id_col)
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -236,7 +237,7 @@ def shard_links(shards: DataFrame, radius: int) -> DataFrame:
                 yield out
 
     placed = shards.repartition(*key).sortWithinPartitions(*key)
-    return placed.mapInPandas(run, "u long, v long")
+    return placed.mapInPandas(lambda batches: released(run(batches)), "u long, v long")
 
 
 def near_duplicates(
@@ -314,7 +315,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
                 columns = [pa.array(folded, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, pa.array(sizes, pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["_id", "folded", "fp", "bands", "size"])
 
-    return chosen.mapInArrow(run, "_id long, folded binary, fp long, bands array<long>, size long").withColumnRenamed("_id", id_col)
+    return chosen.mapInArrow(lambda batches: released(run(batches)), "_id long, folded binary, fp long, bands array<long>, size long").withColumnRenamed("_id", id_col)
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -329,7 +330,7 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                 columns = [pa.array([folded_digest(t) for t in texts], pa.binary()), pa.array(sets, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["rep", "folded", "set"])
 
-    return chosen.mapInArrow(run, "rep long, folded binary, set array<int>")
+    return chosen.mapInArrow(lambda batches: released(run(batches)), "rep long, folded binary, set array<int>")
 
 
 def band_members(classes: DataFrame) -> DataFrame:
@@ -394,7 +395,7 @@ def star_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
                 vs += [head] * len(hits)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return placed.mapInArrow(run, "u long, v long")
+    return placed.mapInArrow(lambda batches: released(run(batches)), "u long, v long")
 
 
 def cells_of(members: DataFrame, found: DataFrame, shard_rows: int) -> DataFrame:
@@ -484,7 +485,7 @@ def cell_links(cells: DataFrame, similarity: float) -> DataFrame:
             yield links()
 
     placed = cells.select(*key, "rep", "set", "label").repartition(*key).sortWithinPartitions(*key)
-    return placed.mapInArrow(run, "u long, v long")
+    return placed.mapInArrow(lambda batches: released(run(batches)), "u long, v long")
 
 
 def similar_components(
