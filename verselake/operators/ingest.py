@@ -179,11 +179,10 @@ def annotated_songs(spark: SparkSession, root: str, lang: str) -> tuple[DataFram
     picked = listed.filter(T.language_matches(F.col(f"`{language}`"), lang, NAMES)).select(stem.alias("stem")).filter("stem <> ''").distinct()
     songs = picked.select(F.concat(F.lit("jamendo_"), "stem").alias("song_id"), "stem", F.lit(lang).alias("lang"), F.lit(True).alias("is_mix"))
     raw = spark.read.option("pathGlobFilter", "*.csv").schema("value string").text(f"{root}/annotations/lines", wholetext=True)
-    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "")
-    rows = raw.select(name.alias("stem"), F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\n")).alias("pos", "line"))
+    rows = raw.select(files.stem(files._name()).alias("stem"), F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\n")).alias("pos", "line"))
     parsed = rows.withColumn("r", F.from_csv("line", "a string, z string, text string", {"escape": '"'}))
     timed = parsed.select("stem", "pos", F.col("r.a").try_cast("double").alias("start"), F.col("r.z").try_cast("double").alias("end"), F.trim("r.text").alias("text"))
-    good = timed.filter("start is not null and end is not null and text <> ''").withColumn("song_id", F.concat(F.lit("jamendo_"), F.url_decode("stem")))
+    good = timed.filter("start is not null and end is not null and text <> ''").withColumn("song_id", F.concat(F.lit("jamendo_"), "stem"))
     lines = good.select("song_id", "pos", "start", "end", "text")
     return songs.join(lines.select("song_id").distinct(), "song_id", "left_semi"), lines
 

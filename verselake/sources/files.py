@@ -37,7 +37,13 @@ def stem(path: Column | str) -> Column:
 
 
 def _name() -> Column:
-    return F.col("_metadata.file_path")
+    """The file's path as it is in its store; in the metadata blanks and the like are escaped."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def file_order() -> Column:
+    """The place of a row in its file: splits by their start, rows of a split as they are read."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_row"))
 
 
 def _whole(spark: SparkSession, folder: str, glob: str, value: str) -> DataFrame:
@@ -76,7 +82,7 @@ def corpus_metadata(spark: SparkSession, path: str) -> DataFrame:
 def clip_table(spark: SparkSession, path: str) -> DataFrame:
     """(stem, speaker, sentence) of a tab-separated clip list; of one stem the last row."""
     rows = spark.read.csv(path, header=True, sep="\t", quote="", schema="client_id string, path string, sentence string")
-    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    placed = rows.withColumn("_at", file_order())
     return placed.groupBy(stem("path").alias("stem")).agg(F.max_by("client_id", "_at").alias("speaker"), F.max_by("sentence", "_at").alias("sentence"))
 
 
@@ -141,7 +147,7 @@ MOST_PAIRS = 10_000
 def replacement_pairs(spark: SparkSession, path: str, most: int = MOST_PAIRS) -> list[tuple[str, str]]:
     """Replacement table, longest source first, of equals in file order. A table of more than ``most`` rows is an error."""
     rows = spark.read.csv(path, schema="old string, new string").filter("old is not null and old <> ''").filter(~F.lower("old").isin("from", "來源"))
-    placed = rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(most + 1).collect()
+    placed = rows.withColumn("_at", file_order()).orderBy("_at").limit(most + 1).collect()
     if len(placed) > most:
         raise ValueError(f"{path} has more than {most} replacements")
     return sorted(((r.old, r.new or "") for r in placed), key=lambda p: -len(p[0]))
