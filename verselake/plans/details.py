@@ -363,16 +363,6 @@ def prepared_audio(t):
     return rows.select("event_id", F.round("before", 5).alias("before"), F.round("after", 5).alias("after"))
 
 
-@query()
-def tempo_estimates(t):
-    """Each user's tones end to end as one recording."""
-    order = F.array_sort(F.collect_list(F.struct("event_id", "payload")))
-    clips = _payloads(t).join(t("events").select("event_id", "user_id"), "event_id").groupBy("user_id").agg(order.alias("p"))
-    whole = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["payload"]))
-    found = clips.select("user_id", signal.pcm_tempo(whole, 8000).alias("t"))
-    return found.select("user_id", *(F.round(f"t.{c}", 3).alias(c) for c in ("bpm", "beat_seconds", "phase_seconds", "confidence")))
-
-
 @query()
 def lyrics_totals(t):
     """How much of each text is found again in a version of it with other sounds and a word too many."""
