@@ -113,9 +113,13 @@ def tokenised(texts: list[str], path: str, dtype: str):
     cache = words(path, dtype)
     for i in range(0, len(texts), 256):
         split = [*map(_split, texts[i : i + 256])]
-        cache.learn(set(itertools.chain.from_iterable(split)))
-        for s in split:
-            yield b"".join(map(cache.__getitem__, s))
+        for k, some in enumerate(split):
+            try:
+                yield b"".join(map(cache.__getitem__, some))
+            except KeyError:
+                # Words that are new come seldom once the cache is warm; then all that the rest of the block has is learned.
+                cache.learn(set(itertools.chain.from_iterable(split[k:])))
+                yield b"".join(map(cache.__getitem__, some))
 
 
 #: str.split() also splits at white space outside ASCII and at the separators 1C to 1F; the vocabulary's own pattern
