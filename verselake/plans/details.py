@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -295,11 +297,15 @@ def favourite_voices(t):
 def _tones(t) -> DataFrame:
     """A quarter of a second at 8 kHz for each event: a slide whose ends and loudness follow its value."""
     n = 2000
-    i = F.sequence(F.lit(0), F.lit(n - 1))
-    start, end = 100 + F.col("value") % 200, 100 + (F.col("value") * 3) % 200
-    phase = lambda k: 2 * 3.141592653589793 * (start * k / 8000.0 + (end - start) * k * k / (2 * n * 8000.0))
-    wave = F.transform(i, lambda k: (F.sin(phase(k)) * 0.3).cast("float"))
-    return t("events").select("event_id", "user_id", wave.alias("samples"))
+
+    @F.pandas_udf("array<float>")
+    def wave(value: pd.Series) -> pd.Series:
+        k = np.arange(n)
+        start, end = (100 + (value.to_numpy(float) * m) % 200 for m in (1, 3))
+        phase = 2 * np.pi * (start[:, None] * k / 8000.0 + (end - start)[:, None] * k * k / (2 * n * 8000.0))
+        return pd.Series(list((np.sin(phase) * 0.3).astype(np.float32)))
+
+    return t("events").select("event_id", "user_id", wave("value").alias("samples"))
 
 
 @query()
