@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from verselake.llm import bpe, decontaminate, html_text, labelled, quality_cnn, quality_rules, sharding, simhash, token_files, toxicity, urls  # noqa: E402
+from verselake.llm import components  # noqa: E402
 from verselake.llm.components import connected_components  # noqa: E402
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -111,6 +112,24 @@ def test_components_of_hubs(spark):
     assert got.items() <= want.items() and all(want[n] == n for n in want.keys() - got.keys())
 
 
+def test_plans_of_components_stay_small(spark, monkeypatch):
+    """No step of a round holds the plan of another one, and stars take no round."""
+    leaves, put = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, label: (leaves.append(df._jdf.queryExecution().analyzed().collectLeaves().size()), put(df, label))[1])
+    path = spark.createDataFrame([(i, i + 1) for i in range(30)], "u long, v long")
+    assert {r.component for r in connected_components(path).collect()} == {0} and max(leaves) <= 4
+    leaves.clear()
+    stars = spark.createDataFrame([(9, 1), (1, 8), (7, 2), (7, 2)], "u long, v long")
+    assert {r.node: r.component for r in connected_components(stars).collect()} == {9: 1, 8: 1, 1: 1, 7: 2, 2: 2} and len(leaves) == 1
+
+
+def test_plans_of_similar_components_stay_small(spark, monkeypatch):
+    leaves, put = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, label: (leaves.append(df._jdf.queryExecution().analyzed().collectLeaves().size()), put(df, label))[1])
+    rows = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, "q r s t u v")], "doc_id long, text string")
+    assert {r.doc_id: r.component for r in simhash.similar_components(rows, "doc_id", "text").collect()} == {1: 1, 2: 1, 3: 3} and max(leaves) <= 10
+
+
 def test_similar_components(spark, odd):
     words = [f"w{i}" for i in range(200)]
     near = words[:100] + ["changed"] + words[101:]

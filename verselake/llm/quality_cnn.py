@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from verselake.llm import labelled
-from verselake.llm.memory import released
+from verselake.llm.memory import give_back, released
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
 FILTERS, WIDTH = 16, 6
@@ -156,7 +156,9 @@ def score_column(net: ByteCNN | None, text: Column) -> Column:
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ByteCNN | None:
-    return fit(labelled.sample(docs, labels, "quality", FOLDS, HELD_OUT, id_col, text_col))
+    net = fit(labelled.sample(docs, labels, "quality", FOLDS, HELD_OUT, id_col, text_col))
+    give_back()
+    return net
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -346,13 +346,15 @@ def band_members(classes: DataFrame) -> DataFrame:
 
 
 def tree_pairs(classes: DataFrame, radius: int) -> DataFrame:
-    """(head, rep, folded, size): what the BK-trees over the fingerprints link, and classes of one fingerprint."""
-    named = classes.groupBy("fp").agg(F.min(F.struct("rep", "folded", "size")).alias("first"))
-    by_id = named.groupBy(F.col("first.rep").alias("r")).agg(F.min("first").alias("first"), F.min("fp").alias("fp"))
-    links = shard_links(sharded(by_id.select("fp", F.col("r").alias("rep")), radius), radius)
+    """(head, rep, folded, size), written: what the BK-trees over the fingerprints link, and classes of one fingerprint."""
+    named = written(classes.groupBy("fp").agg(F.min(F.struct("rep", "folded", "size")).alias("first")), "named")
+    by_id = written(named.groupBy(F.col("first.rep").alias("r")).agg(F.min("first").alias("first"), F.min("fp").alias("fp")), "nodes")
+    links = written(shard_links(sharded(by_id.select("fp", F.col("r").alias("rep")), radius), radius), "links")
     roots = links.join(by_id.select(F.col("r").alias("v"), F.col("first").alias("head")), "v").join(by_id.select(F.col("r").alias("u"), "first"), "u")
     alike = classes.join(named, "fp").select(F.col("first").alias("head"), "rep", "folded", "size")
-    return roots.select("head", "first.*").union(alike)
+    out = written(roots.select("head", "first.*").union(alike), "near")
+    discard(named, by_id, links)
+    return out
 
 
 def star_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -498,11 +500,13 @@ def similar_components(
     first = (F.any_value(c).alias(c) for c in ("fp", "bands", "size"))
     classes = written(prints.filter("doc is not null").groupBy("folded").agg(F.min("doc").alias("rep"), *first), "classes")
     members = written(band_members(classes), "members")
-    proposed = members.select("head", "rep", "folded", "size").union(tree_pairs(classes, radius)).distinct()
+    near = tree_pairs(classes, radius)
+    proposed = members.select("head", "rep", "folded", "size").union(near).distinct()
     # Sets of less similar sizes can't be as similar.
     sizes = F.col("size"), F.col("head.size")
     apart = (F.col("head.rep") != F.col("rep")) & (F.least(*sizes) >= similarity * F.greatest(*sizes))
     pairs = written(proposed.filter(apart).select("head", "rep", "folded"), "pairs")
+    discard(near)
     asked = members.select(F.col("rep").alias("doc")).union(pairs.select("rep")).union(pairs.select("head.rep")).distinct()
     sets = written(shingle_sets(rows.join(asked, "doc", "left_semi"), "doc", "text", shingle).dropDuplicates(["rep", "folded"]), "sets")
     stars = written(connected_components(star_links(pairs, sets, similarity)), "stars")
