@@ -112,6 +112,21 @@ def test_components_of_hubs(spark):
     assert got.items() <= want.items() and all(want[n] == n for n in want.keys() - got.keys())
 
 
+def test_words_are_learned_without_offsets():
+    """The call that keeps offsets of characters isn't made, and the ids are the library's."""
+    class Fast:
+        def __init__(self, whole):
+            self.encode_batch_fast = whole.encode_batch_fast
+
+    texts = ["The cats, the CATS; Été été. a. . ### <s>x. don't", "ab\x1ccd\x85ef\u3000gh 好. É! ǅ. İs, 555-7800", "", "<UNK> </s>. Z"]
+    cache = token_files.Words(WORDS, "<u2")
+    whole, cache.tokenizer = cache.tokenizer, Fast(cache.tokenizer)
+    split = [*map(token_files._split, texts)]
+    cache.learn({w for s in split for w in s})
+    got = [np.frombuffer(b"".join(map(cache.__getitem__, s)), "<u2").tolist() for s in split]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_plans_of_components_stay_small(spark, monkeypatch):
     """No step of a round holds the plan of another one, and stars take no round."""
     leaves, put = [], components.written

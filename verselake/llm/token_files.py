@@ -64,39 +64,44 @@ class Words(dict):
         return word.isalpha() and (word.isascii() or (max(word) < "ɐ" and "İ" not in word))
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
+        new = words.difference(self)
         if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
-            new = list(words)
-        parts: dict[str, tuple[str, ...]] = {}
-        ask = set()
+            new = words
+        plain, ask, alias, parts = set(), set(), [], []
         for w in new:
             low = w.lower() if w.isascii() else w
-            if "<" in w and self.added.search(low):
-                low = w
-            if len(low) > 1 and low[-1] in ENDINGS and self._plain(low[:-1]):
-                parts[w] = (low[:-1], low[-1])
-            elif low != w:
-                parts[w] = (low,)
-            for p in parts.get(w, (w,)):
-                if p not in self:
-                    ask.add(p)
-        plain = [w for w in ask if self._plain(w)]
-        for k in range(0, len(plain), 256):
-            some = plain[k : k + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            if self._plain(low):
+                plain.add(low)
+            elif low[-1] in ENDINGS and self._plain(low[:-1]):
+                plain.add(low[:-1])
+                ask.add(low[-1])
+                parts.append((w, low[:-1], low[-1]))
+                continue
+            else:
+                if "<" in w and self.added.search(low):
+                    low = w
+                ask.add(low)
+            if low != w:
+                alias.append((w, low))
+        size = np.dtype(self.dtype).itemsize
+        some_plain = list(plain.difference(self))
+        for k in range(0, len(some_plain), 256):
+            some = some_plain[k : k + 256]
+            # This call keeps no offsets of characters, which nothing reads.
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
             cuts = np.flatnonzero(self.word_end[ids]) + 1
             if len(cuts) != len(some):
                 ask.update(some)
-                self._each(some)
                 continue
             joined = ids.astype(self.dtype).tobytes()
-            edges = [0, *(cuts * np.dtype(self.dtype).itemsize).tolist()]
-            for w, a, b in zip(some, edges, edges[1:]):
-                self[w] = joined[a:b]
+            edges = [0, *(cuts * size).tolist()]
+            self.update(zip(some, [joined[i:j] for i, j in zip(edges, edges[1:])]))
         self._each([w for w in ask if w not in self])
-        for w, p in parts.items():
-            self[w] = b"".join(self[x] for x in p)
+        for w, low in alias:
+            self[w] = self[low]
+        for w, stem, end in parts:
+            self[w] = self[stem] + self[end]
 
     def _each(self, words: list[str]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False) if words else ()):
@@ -128,7 +133,8 @@ _EXOTIC = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u2
 
 
 def _split(text: str) -> list[str]:
-    return [w.decode() for w in text.encode().split()] if _EXOTIC.search(text) else text.split()
+    exotic = any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else _EXOTIC.search(text)
+    return [w.decode() for w in text.encode().split()] if exotic else text.split()
 
 
 def _schema(dtype: str, seq_len: int) -> pa.Schema:
