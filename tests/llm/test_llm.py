@@ -127,6 +127,41 @@ def test_words_are_learned_without_offsets():
     assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_of_words_are_learned_once(monkeypatch, tmp_path):
+    """Latin words are cut without the library, which gets each piece once; a full cache keeps its words as the older generation."""
+    cache, asked = token_files.Words(WORDS, "<u2"), []
+
+    class Model:
+        def __init__(self, model):
+            self.model = model
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(w for t in texts for w in t.split(" "))
+            return self.model.encode_batch_fast(texts, **options)
+
+    whole, cache.tokenizer, cache.pieces = cache.tokenizer, None, Model(cache.pieces)
+    latin = [c for c in map(chr, range(0x21, 0x300)) if c.isprintable() and max(c.lower()) < "\u0300"]
+    some = [w for c in latin for w in (c, f"Ab{c}c", c * 3, f"9{c}'S.", f"'{c}", f"{c}'Re")]
+    cache.learn(dict.fromkeys(some))
+    for w, e in zip(some, whole.encode_batch(some, add_special_tokens=False)):
+        assert np.frombuffer(cache[w], "<u2").tolist() == e.ids, w
+    assert len(asked) == len(set(asked)) and "ab" in asked and "..." in asked and not {"ab$c", "Ab"} & {*asked}
+    monkeypatch.setattr(token_files, "CACHE_ENTRIES", 2 * len(cache))
+    asked.clear()
+    cache.learn(["qzq"])
+    assert len(cache) == 1
+    cache.learn([*some[:9], "ABxyC..."])
+    assert asked == ["qzq", "abxyc"] and all(w in cache for w in some[:9])
+    # A vocabulary that cuts in another way is left to the library alone.
+    whole = pytest.importorskip("tokenizers").Tokenizer.from_file(WORDS)
+    whole.normalizer = None
+    whole.save(f"{tmp_path}/cased.json")
+    cased = token_files.Words(f"{tmp_path}/cased.json", "<u2")
+    cased.learn(some)
+    for w, e in zip(some, whole.encode_batch(some, add_special_tokens=False)):
+        assert np.frombuffer(cased[w], "<u2").tolist() == e.ids, w
+
+
 def test_plans_of_components_stay_small(spark, monkeypatch):
     """No step of a round holds the plan of another one, and stars take no round."""
     leaves, put = [], components.written

@@ -5,9 +5,10 @@ its ids end to end in rows of ``seq_len`` ids with a mask of the same shape (fal
 A row sits at a known place of a mapped file, so any sequence is read without a copy. A manifest row for each document
 names its file and its place in it; files of a repeated task get a name of their own, and only files in the manifest count.
 
-Tokenising splits a text at ASCII white space, where no token of this vocabulary crosses, and asks the tokenizers library
-once for each distinct word of a batch; words and ids are cached up to a bound. A word that holds an added token of the
-vocabulary goes to the library as it is, which takes that token out as its id.
+Tokenising splits a text at ASCII white space, where no token of this vocabulary crosses, and looks its words up in a cache
+of bounded size. New words of Latin letters, digits and symbols are lower-cased and cut as the vocabulary does it, and the
+tokenizers library gets each distinct piece once, many in a call. Other words go to the library as they are, also those that
+may hold an added token, which it takes out as its id, and all words of a vocabulary that doesn't cut like this one.
 
 Defined results: a null text is an empty text (only the end id); rows with one id are ordered by their text; null ids
 come first; other columns are ignored, whatever their names; an empty table gives an empty table and no file.
@@ -20,8 +21,10 @@ import itertools
 import math
 import os
 import re
+import unicodedata
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,15 @@ SEQ_LEN = 2048
 BATCH_ROWS, CACHE_ENTRIES = 512, 1 << 20
 #: Bytes of text that a file holds about, and rows whose mean size tells how many files that makes.
 FILE_BYTES, SIZED_ROWS = 256 << 20, 1000
-ENDINGS = frozenset(".,;:!?")
+#: Characters of the words that are looked up together, and words that go to the library as one text.
+BLOCK_CHARS, JOINED = 1 << 16, 256
+#: Below this code point no character changes with its neighbours when it is normalised, and lower case is the same everywhere.
+LATIN_END = "\u0300"
+_LATIN = [c for c in map(chr, range(0x21, ord(LATIN_END))) if c.isprintable() and max(c.lower()) < LATIN_END]
+_LETTERS = re.escape("".join(c for c in _LATIN if c.isalpha()))
+_NUMBERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
+#: The vocabulary's own split, over printable characters below LATIN_END in lower case.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
 
 
 @functools.lru_cache(maxsize=2)
@@ -47,65 +58,83 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.lru_cache(maxsize=2)
+def pieces(path: str):
+    """The library's tokenizer with the same model, for pieces that are normalised and split already, between spaces."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    out = Tokenizer(tokenizer(path).model)
+    bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), bytes_of])
+    return out
+
+
 class Words(dict):
-    """Cache from a white-space-free word to the bytes of its ids."""
+    """Cache from a white-space-free word to the bytes of its ids. What is full becomes the older generation, from which words
+    that come again move to the newer one. Whether a vocabulary cuts Latin words as ``_PIECES`` does is tried at the start."""
 
     def __init__(self, path: str, dtype: str):
         super().__init__()
-        self.tokenizer, self.dtype = tokenizer(path), dtype
+        self.tokenizer, self.dtype, self.older = tokenizer(path), dtype, {}
         ends = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.word_end = np.array([t.endswith("</w>") for t in ends], bool)
         # Added tokens are looked for before letters are lower-cased; what may hold one in either case is left as it is.
         added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
-
-    def _plain(self, word: str) -> bool:
-        """One pre-token for sure: Latin letters that lower-case to single letters."""
-        return word.isalpha() and (word.isascii() or (max(word) < "ɐ" and "İ" not in word))
-
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self)
-        if len(self) + len(new) > CACHE_ENTRIES:
+        self.pieces, self.latin = pieces(path), True
+        probe = [w for c in _LATIN for w in (c, f"A{c}b", f"9{c}'S", f"{c}'Re")]
+        self.learn(probe)
+        self.latin = all(self[w] == ids for w, ids in zip(probe, self._whole(probe)))
+        self.clear()
+
+    def learn(self, new: Iterable[str]) -> None:
+        """Enters words that the cache lacks."""
+        new = [*new]
+        if len(self) + len(new) > CACHE_ENTRIES // 2:
+            self.older = dict(self)
             self.clear()
-            new = words
-        plain, ask, alias, parts = set(), set(), [], []
+        older, stems, ask, parts = self.older, {}, [], []
         for w in new:
-            low = w.lower() if w.isascii() else w
-            if self._plain(low):
-                plain.add(low)
-            elif low[-1] in ENDINGS and self._plain(low[:-1]):
-                plain.add(low[:-1])
-                ask.add(low[-1])
-                parts.append((w, low[:-1], low[-1]))
+            known = older.get(w)
+            if known is not None:
+                self[w] = known
                 continue
+            low = w.lower()
+            if not self.latin or (not low.isascii() and max(low) >= LATIN_END):
+                ask.append(w)
+            elif low.isalpha():
+                stems[low] = None
+                if low != w:
+                    parts.append((w, (low,)))
+            elif low.isprintable() and not ("<" in low and self.added.search(low)):
+                some = _PIECES.findall(low)
+                stems.update(dict.fromkeys(some))
+                if len(some) > 1 or low != w:
+                    parts.append((w, some))
             else:
-                if "<" in w and self.added.search(low):
-                    low = w
-                ask.add(low)
-            if low != w:
-                alias.append((w, low))
+                ask.append(w)
+        self.update((w, older[w]) for w in stems if w in older)
+        self._joined([w for w in stems if w not in self])
+        self.update(zip(ask, self._whole(ask)))
+        for w, some in parts:
+            self[w] = b"".join([self[p] for p in some])
+
+    def _joined(self, stems: list[str]) -> None:
+        """Pieces that the library takes out of a text as they are; many make one text, whose ids show where each ends."""
         size = np.dtype(self.dtype).itemsize
-        some_plain = list(plain.difference(self))
-        for k in range(0, len(some_plain), 256):
-            some = some_plain[k : k + 256]
+        for k in range(0, len(stems), JOINED):
+            some = stems[k : k + JOINED]
             # This call keeps no offsets of characters, which nothing reads.
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            cuts = np.flatnonzero(self.word_end[ids]) + 1
-            if len(cuts) != len(some):
-                ask.update(some)
-                continue
+            ids = np.array(self.pieces.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            edges = [0, *((np.flatnonzero(self.word_end[ids]) + 1) * size).tolist()]
             joined = ids.astype(self.dtype).tobytes()
-            edges = [0, *(cuts * size).tolist()]
-            self.update(zip(some, [joined[i:j] for i, j in zip(edges, edges[1:])]))
-        self._each([w for w in ask if w not in self])
-        for w, low in alias:
-            self[w] = self[low]
-        for w, stem, end in parts:
-            self[w] = self[stem] + self[end]
+            cut = [joined[i:j] for i, j in zip(edges, edges[1:])]
+            self.update(zip(some, cut if len(cut) == len(some) else self._whole(some)))
 
-    def _each(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False) if words else ()):
-            self[w] = np.array(e.ids, self.dtype).tobytes()
+    def _whole(self, words: list[str]) -> list[bytes]:
+        """The ids of words that the library normalises and splits itself."""
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False) if words else ()
+        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
 
 
 @functools.lru_cache(maxsize=2)
@@ -116,15 +145,29 @@ def words(path: str, dtype: str) -> Words:
 def tokenised(texts: list[str], path: str, dtype: str):
     """The ids of each text as bytes of ``dtype``."""
     cache = words(path, dtype)
-    for i in range(0, len(texts), 256):
-        split = [*map(_split, texts[i : i + 256])]
-        for k, some in enumerate(split):
-            try:
-                yield b"".join(map(cache.__getitem__, some))
-            except KeyError:
-                # Words that are new come seldom once the cache is warm; then all that the rest of the block has is learned.
-                cache.learn(set(itertools.chain.from_iterable(split[k:])))
-                yield b"".join(map(cache.__getitem__, some))
+    for some in _blocks(texts):
+        split = [*map(_split, some)]
+        flat = [*itertools.chain.from_iterable(split)]
+        found = [*map(cache.get, flat)]
+        # In order of appearance, so that what is read next lies near in memory.
+        new = dict.fromkeys(w for w, ids in zip(flat, found) if ids is None)
+        if new:
+            cache.learn(new)
+            found = [cache[w] if ids is None else ids for w, ids in zip(flat, found)]
+        begin = 0
+        for s in split:
+            yield b"".join(found[begin : begin + len(s)])
+            begin += len(s)
+
+
+def _blocks(texts: list[str]) -> Iterator[list[str]]:
+    """Texts that are looked up together."""
+    begin, chars = 0, 0
+    for i, text in enumerate(texts):
+        chars += len(text)
+        if chars >= BLOCK_CHARS or i + 1 == len(texts):
+            yield texts[begin : i + 1]
+            begin, chars = i + 1, 0
 
 
 #: str.split() also splits at white space outside ASCII and at the separators 1C to 1F; the vocabulary's own pattern
