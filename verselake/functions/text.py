@@ -116,10 +116,16 @@ def score_tokens(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.translate(_c(c), marks, " " * len(marks))), r"(?U)\s+"), lambda w: w != "")
 
 
-def strip_gloss(c: Column | str) -> Column:
-    """Without bracketed readings in Latin letters, unless nothing else is there."""
+#: The separators of Unicode's class Zs, which SQL engines trim beside the plain space.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def strip_gloss(c: Column | str, otherwise: Column | str | None = None) -> Column:
+    """Without bracketed readings in Latin letters and spaces around; where nothing else is there, ``otherwise`` (the text
+    itself unless given) without spaces around."""
     c = _c(c)
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(c, GLOSS, "")), F.lit("")), F.trim(c))
+    trimmed = lambda x: F.trim(x, F.lit(SPACES))
+    return F.coalesce(F.nullif(trimmed(F.regexp_replace(c, GLOSS, "")), F.lit("")), trimmed(c if otherwise is None else _c(otherwise)))
 
 
 def strip_furigana(c: Column | str) -> Column:
