@@ -138,19 +138,22 @@ def voice_engine(samples: Column, voice: Column, model: Callable | None, errors:
 
 class Detection:
     """Speech or not, frame by frame of a stream: the model's probability latched between two thresholds, or the frame's RMS
-    where there is no model. What the model carries from chunk to chunk goes through it as ``memory``."""
+    where there is no model, in the samples' single precision; a frame whose loudness is unknown leaves the latch as it is.
+    What the model carries from chunk to chunk goes through it as ``memory``."""
 
     def __init__(self, model: Callable | None = None, on: float = 0.5, off: float = 0.35, rms_on: float = 0.01, rms_off: float = 0.006):
-        self.model, self.limits = model, (on, off) if model else (rms_on, rms_off)
+        self.model, self.limits = model, (on, off) if model else (np.float32(rms_on), np.float32(rms_off))
         self.memory, self.active = None, False
 
     def speech(self, samples: np.ndarray) -> bool:
         if self.model is None:
-            value = signal.rms(samples)
+            value = np.float32(signal.rms(samples))
+            if np.isnan(value):
+                return self.active
         else:
             value, self.memory = self.model(samples, self.memory)
         on, off = self.limits
-        self.active = value >= on or (self.active and value >= off)
+        self.active = bool(value >= on or (self.active and value >= off))
         return self.active
 
     def add(self, seq, samples):
