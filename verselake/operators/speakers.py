@@ -23,6 +23,16 @@ def unit(v: Column | str) -> Column:
     return F.when((n > 1e-9) & ~F.isnan(n) & (n < float("inf")), F.transform(v, lambda x: x.cast("double") / n))
 
 
+def over_length(v: Column | str) -> Column:
+    """Every vector over its length, by the rules of plain division: null components stay null and don't count, a length of
+    zero or one that isn't a number leaves NaN. ``unit`` is what similarities are made from."""
+    v = F.col(v) if isinstance(v, str) else v
+    nothing = F.lit(float("nan"))
+    scaled = lambda n: F.transform(v, lambda x: F.when(x.isNotNull(), F.when(n == 0, nothing).otherwise(x.cast("double") / n)))
+    # An array of the one length, so that it is made once and not for each component.
+    return F.get(F.transform(F.array(norm(F.filter(v, lambda x: x.isNotNull()))), scaled), 0)
+
+
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Dot product of unit vectors."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
