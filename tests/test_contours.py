@@ -58,3 +58,14 @@ def test_romanised(spark):
     df = spark.createDataFrame([("你好吗 你 好 Café!",), (None,), ("",), ("it's 1 2",)], "t string")
     got = df.select(T.romanised("t", table).alias("r"), T.romanised_words("t", table).alias("w")).collect()
     assert [r.r for r in got] == ["nihaoma ni hao Cafe!", None, "", "it's 1 2"] and [r.w for r in got] == [["nihaoma", "ni", "hao", "cafe"], None, [], ["it's"]]
+
+
+def test_a_note_is_read_once(spark):
+    """Each degree of a note stands in the plan once, however many points and columns come from it."""
+    note = F.struct(
+        *(F.lit("").alias(c) for c in ("char", "kind", "degree_start", "degree_end")), F.lit(None).cast("array<double>").alias("contour"), F.lit("3↗5").alias("degree"),
+        *(F.lit(None).cast("double").alias(c) for c in ("hz", "start_hz", "end_hz", "glide_mid")), F.rand().alias("duration"), F.lit(0.1).alias("intensity"),
+    )
+    found = spark.range(3).select(contours.resolved(F.when(F.col("id") >= 0, note), F.lit(220.0), False).alias("r")).select("r.kind", "r.freq", F.size("r.contour").alias("n"))
+    assert [r.n for r in found.collect()] == [9, 9, 9]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 4

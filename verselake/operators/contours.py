@@ -22,8 +22,10 @@ def slide_place(place: Column) -> Column:
 def portamento(first: Column, last: Column, place: Column) -> Column:
     """The first pitch, a straight slide about the place, the last pitch."""
     centre = F.least(F.lit(LATEST), F.greatest(F.lit(EARLIEST), slide_place(place)))
-    done = lambda k: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (k / (POINTS - 1) - centre + HALF_WIDTH) / (2 * HALF_WIDTH)))
-    return F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda k: first + (last - first) * done(k.cast("double")))
+    done = lambda k, at: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (k / (POINTS - 1) - at + HALF_WIDTH) / (2 * HALF_WIDTH)))
+    points = F.sequence(F.lit(0), F.lit(POINTS - 1))
+    whole = F.struct(first.alias("first"), last.alias("last"), centre.alias("centre"))
+    return music.held(whole, lambda s: F.transform(points, lambda k: s["first"] + (s["last"] - s["first"]) * done(k.cast("double"), s["centre"])))
 
 
 def slide_steps(token: Column, first: Column, last: Column) -> Column:
@@ -34,7 +36,7 @@ def slide_steps(token: Column, first: Column, last: Column) -> Column:
     at = F.when(at > 0, at).otherwise(F.locate(music.DOWN, token))
     half = lambda given, own: music.degree_semitones(F.coalesce(F.nullif(given, F.lit("")), F.when(arrow.isNotNull(), own)))
     a, b = half(first, F.substring(token, F.lit(1), at - 1)), half(last, F.substring(token, at + 1, F.length(token)))
-    return F.when(F.abs(a - b) > 1e-6, F.struct(a.alias("first"), b.alias("last")))
+    return music.held(F.struct(a.alias("first"), b.alias("last")), lambda s: F.when(F.abs(s["first"] - s["last"]) > 1e-6, s))
 
 
 def curve(note: Column, tonic: Column, measured: bool) -> Column:
@@ -48,26 +50,21 @@ def curve(note: Column, tonic: Column, measured: bool) -> Column:
         return F.when(F.size(recorded) > 0, recorded).when((note["start_hz"] > 0) & (note["end_hz"] > 0), slide).otherwise(hz)
     steps = slide_steps(F.coalesce(note["degree"], F.lit("")), note["degree_start"], note["degree_end"])
     pitch = lambda s: tonic * F.pow(F.lit(2.0), s / 12)
-    one = music.degree_semitones(note["degree"])
-    known = tonic > 0
-    return (
-        F.when(known & steps.isNotNull(), portamento(pitch(steps["first"]), pitch(steps["last"]), note["glide_mid"]))
-        .when(known & one.isNotNull(), F.array(pitch(one)))
-        .otherwise(hz)
-    )
+    single = music.held(music.degree_semitones(note["degree"]), lambda one: F.when(one.isNotNull(), F.array(pitch(one))).otherwise(hz))
+    slid = lambda s: portamento(pitch(s["first"]), pitch(s["last"]), note["glide_mid"])
+    return F.when(tonic > 0, music.held(steps, lambda s: F.when(s.isNotNull(), slid(s)).otherwise(single))).otherwise(hz)
 
 
 def resolved(note: Column, tonic: Column, measured: bool) -> Column:
     """(char, freq, contour, duration, kind, intensity) of a note that also has char, kind, duration and intensity: voiced with
     a curve, a breath (if it says so), or a rest."""
     breath = F.lower(F.trim(F.coalesce(note["kind"], F.lit("")))) == "breath"
-    contour = F.when(~breath, curve(note, tonic, measured))
     char = F.nullif(F.trim(F.coalesce(note["char"], F.lit(""))), F.lit(""))
-    kind = F.when(breath, "breath").when(contour.isNotNull(), "voiced").otherwise("rest")
-    return F.struct(
+    kind = lambda contour: F.when(breath, "breath").when(contour.isNotNull(), "voiced").otherwise("rest")
+    return music.held(F.when(~breath, curve(note, tonic, measured)), lambda contour: F.struct(
         F.coalesce(char, F.when(breath, BREATH_CHAR).otherwise(VOICED_CHAR)).alias("char"), F.get(contour, 0).alias("freq"), contour.alias("contour"),
-        note["duration"].alias("duration"), kind.alias("kind"), F.coalesce(note["intensity"], F.lit(0.0)).alias("intensity"),
-    )
+        note["duration"].alias("duration"), kind(contour).alias("kind"), F.coalesce(note["intensity"], F.lit(0.0)).alias("intensity"),
+    ))
 
 
 def _between(points: Column, place: Column) -> Column:
