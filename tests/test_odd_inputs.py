@@ -2,7 +2,6 @@
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -41,3 +40,14 @@ def test_control_messages_of_large_ids(spark, tmp_path):
     spark.createDataFrame([(i,) for i in (6, 9, 3_000_000, 5_999_997, 9_000_000_000_000)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id: (r.error, r.languages) for r in entry.queries()["control_messages"](spark, str(tmp_path)).collect()}
     assert got == {6: ("bad sample rate", "en,nan"), 9: (None, "en,nan")} | dict.fromkeys((3_000_000, 5_999_997, 9_000_000_000_000), ("bad sample rate", "en,nan"))
+
+
+@pytest.mark.parametrize("name", ["segment_analysis", "timbre_bands", "spectrogram_tracks", "prepared_audio", "mel_features", "shifted_tones"])
+def test_tones_are_dealt_to_all_cores(spark, tmp_path, name):
+    """One small file of events is analysed by many tasks, each value once, and every event has a row."""
+    values = [10.0, 57.5, 10.0, None, 400.25, 57.5]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = entry.queries()[name](spark, str(tmp_path))
+    rows = {r[0]: tuple(map(str, r[1:])) for r in found.collect()}
+    assert sorted(rows) == list(range(6)) and rows[0] == rows[2] and rows[1] == rows[5] and len({rows[0], rows[1], rows[4]}) > 1 - (name in ("timbre_bands", "spectrogram_tracks"))
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
